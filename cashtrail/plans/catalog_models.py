@@ -1 +1,131 @@
-"""Registered queries of the learned models."""
+"""Registered queries of the learned models, all over the whole complaint table."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from cashtrail import contract
+from cashtrail.operators import clean, learn, neighbours, splits
+from cashtrail.plans.catalog import register
+from cashtrail.session import new_folder
+from cashtrail.sources import demo_tables, readers, writers
+
+# Features that are the same doubles in every engine (no trigonometry in them).
+PLAIN_FEATURES = (
+    "amount_lost",
+    "complaint_lat",
+    "complaint_lng",
+    "predicted_withdrawal_lat",
+    "predicted_withdrawal_lng",
+    "hour",
+    "day_of_week",
+)
+
+
+def _rows(spark, sf):
+    return clean.add_model_features(clean.prepare_complaints(demo_tables.complaints(spark, sf)))
+
+
+def _frames(spark, sf):
+    train, test = splits.train_test(_rows(spark, sf))
+    preprocessor = clean.fit_preprocessor(train)
+    return clean.feature_frame(train, preprocessor), clean.feature_frame(test, preprocessor)
+
+
+@register
+def knn_impute(spark, sf):
+    rows = clean.add_time_features(demo_tables.gappy_complaints(spark, sf))
+    train, _ = splits.train_test(rows)
+    filled = neighbours.knn_impute(rows, train, PLAIN_FEATURES)
+    return filled.select("complaint_id", F.round("amount_lost", 4).alias("amount_lost"))
+
+
+@register
+def knn_regress(spark, sf):
+    train, test = splits.train_test(clean.add_time_features(demo_tables.complaints(spark, sf)))
+    guessed = neighbours.knn_predict(test, train, PLAIN_FEATURES, contract.TARGETS)
+    return guessed.select("complaint_id", *[F.round(learn.hat(t), 6).alias(learn.hat(t)) for t in contract.TARGETS])
+
+
+@register
+def feature_frame(spark, sf):
+    """Assemble, store and read back the model matrix."""
+    rows = _rows(spark, sf)
+    path = new_folder(spark, "matrix")
+    writers.replace_table(clean.feature_frame(rows, clean.fit_preprocessor(rows)), path)
+    values = vector_to_array("features")
+    return readers.read_stage(spark, path).select(
+        "complaint_id",
+        F.size(values).alias("width"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 3).alias("feature_sum"),
+        *contract.TARGETS,
+    )
+
+
+def _single_feature():
+    return LinearRegression(featuresCol="features", labelCol="risk_score", solver="normal", regParam=0.0)
+
+
+@register
+def ols_single(spark, sf):
+    rows = VectorAssembler(inputCols=["amount_lost"], outputCol="features").transform(_rows(spark, sf))
+    model = _single_feature().fit(rows)
+    line = [(float(model.coefficients[0]), float(model.intercept))]
+    return spark.createDataFrame(line, "slope double, intercept double").select(
+        F.round("slope", 10).alias("slope"), F.round("intercept", 6).alias("intercept")
+    )
+
+
+@register
+def model_roundtrip(spark, sf):
+    """Fit a pipeline, store it, load it and score with it."""
+    rows = _rows(spark, sf)
+    stages = [VectorAssembler(inputCols=["amount_lost"], outputCol="features"), _single_feature()]
+    path = new_folder(spark, "model")
+    writers.save_model(Pipeline(stages=stages).fit(rows), path)
+    scored = writers.load_model(PipelineModel, path).transform(rows)
+    return scored.select("complaint_id", F.round("prediction", 4).alias("prediction"))
+
+
+def _scores(spark, sf, *learners):
+    table, _ = learn.evaluate(*_frames(spark, sf), learners=learners)
+    return table
+
+
+@register
+def model_scores(spark, sf):
+    return _scores(spark, sf, learn.learner("Linear Regression"), learn.learner("Ridge Regression"))
+
+
+@register
+def learned_ridge_tree_forest(spark, sf):
+    return _scores(
+        spark,
+        sf,
+        learn.learner("Ridge Regression").with_grid(alpha=(1.0,)),
+        learn.learner("Decision Tree").with_grid(max_depth=(10,)),
+        learn.learner("Random Forest").with_grid(n_estimators=(10,), max_depth=(8,)),
+        learn.learner("Gradient Boosting").with_grid(n_estimators=(10,), learning_rate=(0.2,)),
+    )
+
+
+@register
+def knn_scores(spark, sf):
+    return _scores(spark, sf, learn.learner("KNN").with_grid(n_neighbors=(5,)))
+
+
+@register
+def adaboost(spark, sf):
+    return _scores(spark, sf, learn.learner("AdaBoost").with_grid(n_estimators=(6,)))
+
+
+@register
+def run_log(spark, sf):
+    scores = _scores(spark, sf, learn.learner("Linear Regression"), learn.learner("Ridge Regression"))
+    path = new_folder(spark, "runs")
+    learn.log_runs(scores, path, "2024-01-31")
+    return learn.best_model(learn.read_runs(spark, path))

@@ -710,6 +710,49 @@ BODIES: dict[str, tuple[str, str]] = {
     "bulk_output": (_scored(_rule(), 0.6, 0.3), "SELECT complaint_id, withdrawal_probability, risk_level FROM scored"),
 }
 
+_PLAIN = ("complaint_lat", "complaint_lng", "predicted_withdrawal_lat", "predicted_withdrawal_lng", "hr", "dow")
+
+
+def _gap(columns) -> str:
+    return " + ".join(f"(q.{c} - d.{c}) * (q.{c} - d.{c})" for c in columns)
+
+
+_OLS = "regr_slope(risk_score, amount_lost) AS slope, regr_intercept(risk_score, amount_lost) AS intercept"
+_MATRIX = (
+    "amount_lost + complaint_lat + complaint_lng + predicted_withdrawal_lat + predicted_withdrawal_lng + "
+    f"{_DIST} + hr + dow + {_WEEKEND} + {_PEAK} + 0 + {_NIGHT} + {_BUSINESS} + {_AMOUNT_LEVEL}"
+)
+
+BODIES |= {
+    "knn_impute": (
+        f"""near AS (SELECT q.complaint_id, d.amount_lost, row_number() OVER (PARTITION BY q.complaint_id
+          ORDER BY {_gap(_PLAIN)}, d.complaint_id) AS i
+          FROM gappy q, gappy d WHERE q.amount_lost IS NULL AND d.amount_lost IS NOT NULL AND NOT ({_draw("split", "d.complaint_id")} < 0.2::DOUBLE)),
+        fills AS (SELECT complaint_id, avg(amount_lost) AS fill FROM near WHERE i <= 5 GROUP BY complaint_id)""",
+        f"SELECT complaint_id, {rnd('coalesce(amount_lost, fill)', 4)} AS amount_lost FROM gappy LEFT JOIN fills USING (complaint_id)",
+    ),
+    "knn_regress": (
+        f"""near AS (SELECT q.complaint_id, d.withdrawal_probability AS p, d.risk_score AS s, row_number() OVER (PARTITION BY q.complaint_id
+          ORDER BY {_gap(("amount_lost", *_PLAIN))}, d.complaint_id) AS i
+          FROM complaints q, complaints d WHERE {_draw("split", "q.complaint_id")} < 0.2::DOUBLE AND NOT ({_draw("split", "d.complaint_id")} < 0.2::DOUBLE)
+          QUALIFY i <= 5)""",
+        f"""SELECT complaint_id, {rnd("avg(p)", 6)} AS withdrawal_probability_hat, {rnd("avg(s)", 6)} AS risk_score_hat
+        FROM near GROUP BY complaint_id""",
+    ),
+    "feature_frame": (
+        "",
+        f"SELECT complaint_id, CAST(14 AS INTEGER) AS width, {rnd(_MATRIX, 3)} AS feature_sum, withdrawal_probability, risk_score FROM complaints",
+    ),
+    "ols_single": (
+        f"line AS (SELECT {_OLS} FROM complaints)",
+        f"SELECT {rnd('slope', 10)} AS slope, {rnd('intercept', 6)} AS intercept FROM line",
+    ),
+    "model_roundtrip": (
+        f"line AS (SELECT {_OLS} FROM complaints)",
+        f"SELECT complaint_id, {rnd('intercept + slope * amount_lost', 4)} AS prediction FROM complaints, line",
+    ),
+}
+
 
 def oracle_sql() -> dict[str, str]:
     found = {}

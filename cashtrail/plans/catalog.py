@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # (the rules give at most 0.693, so the default limit would select nothing).
 AS_OF = "2024-01-31 00:00:00"
 ALERT_LIMIT = 0.5
+CITY = "NATION_2"
 
 _QUERIES: dict[str, Query] = {}
 
@@ -589,7 +590,7 @@ def heatmap_cells(spark, sf):
 
 @register
 def heatmap_city(spark, sf):
-    city = _log(spark, sf).transform(clean.where_equal, "input_data.complaint_city", "NATION_7")
+    city = _log(spark, sf).transform(clean.where_equal, "input_data.complaint_city", CITY)
     return heatmap.risk_heatmap(city, 1).withColumn("risk_score", F.round("risk_score", 6))
 
 
@@ -624,19 +625,19 @@ def alerts(spark, sf):
     )
 
 
-def _role():
+def recipient_role():
     """A recipient role per alert, spread over the three kinds."""
     return F.get(F.array(F.lit("lea"), F.lit("bank"), F.lit("other")), draws.bucket(F.col("complaint_id"), 3))
 
 
 @register
 def alert_routing(spark, sf):
-    return scoring.route(scoring.alerts(_scored(spark, sf)), _role()).select("alert_id", "recipient")
+    return scoring.route(scoring.alerts(_scored(spark, sf)), recipient_role()).select("alert_id", "recipient")
 
 
 @register
 def notifications(spark, sf):
-    log = scoring.notifications(scoring.alerts(_scored(spark, sf)), _role())
+    log = scoring.notifications(scoring.alerts(_scored(spark, sf)), recipient_role())
     return scoring.latest_notifications(log, 50).transform(_text_time)
 
 
@@ -698,7 +699,7 @@ def prediction_log(spark, sf):
     """Append the log, then read part of it back by time, city and level."""
     path = new_folder(spark, "predictions")
     writers.append_prediction_log(_log(spark, sf), path)
-    found = readers.read_prediction_log(spark, path, AS_OF, 10, city="NATION_3", risk_level="HIGH")
+    found = readers.read_prediction_log(spark, path, AS_OF, 10, city=CITY, risk_level="HIGH")
     return found.select(
         "complaint_id",
         times.iso_text(_ts()).alias("timestamp"),

@@ -1 +1,78 @@
-"""Registered queries of the streams."""
+"""Registered queries that run a stream over the whole events table and read what it stored."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cashtrail import contract
+from cashtrail.functions import times
+from cashtrail.operators import scoring
+from cashtrail.plans.catalog import ALERT_LIMIT, recipient_role, register
+from cashtrail.session import new_folder
+from cashtrail.sources import demo_tables
+from cashtrail.streaming import alerts as alert_streams
+from cashtrail.streaming import rolling
+
+_LIMITS = contract.Limits(single_high=ALERT_LIMIT)
+
+
+def _stream(spark, sf):
+    return demo_tables.complaints(spark, sf, events=demo_tables.event_stream(spark, sf))
+
+
+def _alerts(spark, sf):
+    return alert_streams.raise_alerts(_stream(spark, sf), _LIMITS)
+
+
+def _log(spark, sf):
+    rows = _stream(spark, sf).drop(*scoring.RESULT_COLUMNS[1:])
+    return scoring.prediction_log(scoring.score(rows, high=ALERT_LIMIT))
+
+
+def _folders(spark, name):
+    base = new_folder(spark, name)
+    return f"{base}/table", f"{base}/progress"
+
+
+@register
+def alerts_stream(spark, sf):
+    path, progress = _folders(spark, "alerts")
+    alert_streams.store_alerts(_alerts(spark, sf), path, progress).awaitTermination()
+    return spark.read.parquet(path).select(
+        "alert_id", "complaint_id", "message", times.iso_text(F.col("timestamp")).alias("timestamp"), "severity"
+    )
+
+
+@register
+def alert_routing_stream(spark, sf):
+    path, progress = _folders(spark, "routed")
+    alert_streams.store_routed(_alerts(spark, sf), recipient_role(), path, progress).awaitTermination()
+    return alert_streams.recipients(spark, path, "bank").select("alert_id", "complaint_id")
+
+
+@register
+def alert_log(spark, sf):
+    path, progress = _folders(spark, "notifications")
+    alert_streams.store_notifications(_alerts(spark, sf), recipient_role(), path, progress).awaitTermination()
+    latest = scoring.latest_notifications(alert_streams.read_notifications(spark, path), 50)
+    return latest.withColumn("timestamp", times.iso_text(F.col("timestamp")))
+
+
+@register
+def rolling_heatmap_stream(spark, sf):
+    path, progress = _folders(spark, "heatmap")
+    rolling.store_windows(rolling.heatmap_windows(_log(spark, sf), 7, 0), path, progress).awaitTermination()
+    return spark.read.parquet(path).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("window_start"),
+        "lat",
+        "lng",
+        F.round("risk_score", 6).alias("risk_score"),
+        "incident_count",
+    )
+
+
+@register
+def rolling_counts_stream(spark, sf):
+    path, progress = _folders(spark, "counts")
+    rolling.store_windows(rolling.count_windows(_log(spark, sf), 7), path, progress).awaitTermination()
+    return spark.read.parquet(path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))

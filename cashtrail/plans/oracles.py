@@ -216,9 +216,6 @@ _RULE_NAMES = (
     "predicted_withdrawal_lng_outside",
     "probability_outside",
 )
-_LOG_CELLS = (
-    "SELECT *, {lat} AS lat, {lng} AS lng FROM scored"
-)
 
 
 def _cells(digits: int) -> str:
@@ -653,7 +650,7 @@ BODIES: dict[str, tuple[str, str]] = {
         f"{_SCORED}, {_cells(2)}",
         _CELL.format(where="WHERE \"timestamp\" BETWEEN TIMESTAMP '2024-01-17 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'"),
     ),
-    "heatmap_city": (f"{_SCORED}, {_cells(1)}", _CELL.format(where="WHERE complaint_city = 'NATION_7'")),
+    "heatmap_city": (f"{_SCORED}, {_cells(1)}", _CELL.format(where="WHERE complaint_city = 'NATION_2'")),
     "recent_counts": (
         _SCORED,
         """SELECT count(*) AS predictions, count(*) FILTER (risk_level = 'HIGH') AS high_risk FROM scored
@@ -705,7 +702,7 @@ BODIES: dict[str, tuple[str, str]] = {
         f"""SELECT complaint_id, {_iso('"timestamp"')} AS "timestamp", amount_lost, withdrawal_probability,
         strftime("timestamp", '%Y-%m-%d') AS log_date, 'rules-1' AS model_version FROM scored
         WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-21 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'
-        AND complaint_city = 'NATION_3' AND risk_level = 'HIGH'""",
+        AND complaint_city = 'NATION_2' AND risk_level = 'HIGH'""",
     ),
     "bulk_output": (_scored(_rule(), 0.6, 0.3), "SELECT complaint_id, withdrawal_probability, risk_level FROM scored"),
 }
@@ -753,6 +750,32 @@ BODIES |= {
     ),
 }
 
+# A stream emits a window once the latest time less one hour has passed its end.
+_CLOSED = """CAST("timestamp" AS DATE) - CAST(b.range AS INTEGER) + 7 <= (SELECT max("timestamp") - INTERVAL 1 HOUR FROM scored)"""
+
+BODIES |= {
+    "alerts_stream": (
+        _SCORED,
+        f"""SELECT {_ALERT_ID} AS alert_id, complaint_id, {_MESSAGE} AS message, {_iso('"timestamp"')} AS "timestamp",
+        'HIGH' AS severity FROM scored WHERE risk_level = 'HIGH'""",
+    ),
+    "alert_routing_stream": (
+        _SCORED,
+        f"SELECT {_ALERT_ID} AS alert_id, complaint_id FROM scored WHERE risk_level = 'HIGH' AND {_ROLE} IN ('bank', 'other')",
+    ),
+    "alert_log": BODIES["notifications"],
+    "rolling_heatmap_stream": (
+        f"{_SCORED}, {_cells(0)}",
+        f"""SELECT strftime(CAST("timestamp" AS DATE) - CAST(b.range AS INTEGER), '%Y-%m-%d') AS window_start, lat, lng,
+        {_CELL_RISK} AS risk_score, count(*) AS incident_count FROM cells, range(7) b WHERE {_CLOSED} GROUP BY 1, lat, lng""",
+    ),
+    "rolling_counts_stream": (
+        _SCORED,
+        f"""SELECT strftime(CAST("timestamp" AS DATE) - CAST(b.range AS INTEGER), '%Y-%m-%d') AS window_start, count(*) AS predictions,
+        count(*) FILTER (risk_level = 'HIGH') AS high_risk FROM scored, range(7) b WHERE {_CLOSED} GROUP BY 1""",
+    ),
+}
+
 
 def oracle_sql() -> dict[str, str]:
     found = {}

@@ -49,12 +49,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a file stream."""
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{sf_dir}/events.parq*")
+
+
+def _reported(events: DataFrame) -> DataFrame:
     """What an event alone tells: no join."""
     event = F.col("event_id")
     amount = (F.col("value").cast("decimal(12,2)") * 2000).cast("double")
     crime = _case(F.col("event_type"), CRIME_OF_EVENT)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         "user_id",
         F.format_string("CG2024%06d", event).alias("complaint_id"),
@@ -72,11 +80,13 @@ def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complaints without place or risk, for questions that need neither."""
-    return _reported(spark, sf_dir).drop("event_id", "user_id")
+    return _reported(table(spark, sf_dir, "events")).drop("event_id", "user_id")
 
 
-def complaints(spark: SparkSession, sf_dir: str, keep_event_id: bool = False) -> DataFrame:
-    """The 18-column complaint table.
+def complaints(
+    spark: SparkSession, sf_dir: str, keep_event_id: bool = False, events: DataFrame | None = None
+) -> DataFrame:
+    """The 18-column complaint table, of all events or of those given (a stream, say).
 
     Customers grow with the data, so that join carries no broadcast hint: the
     planner shuffles it at scale and splits a hot user's partition.
@@ -85,7 +95,7 @@ def complaints(spark: SparkSession, sf_dir: str, keep_event_id: bool = False) ->
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     user, event, base = F.col("user_id"), F.col("event_id"), F.col("n_nationkey") % 7
     placed = (
-        _reported(spark, sf_dir)
+        _reported(table(spark, sf_dir, "events") if events is None else events)
         .join(customer, user == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumns(

@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtrail.session import shared_folder
@@ -40,6 +40,31 @@ class BoostedTrees:
         median = F.coalesce(F.aggregate(ballots, start, step)["p"], last)
         return df.withColumn("prediction", median).drop(*names)
 
+    def write(self) -> _Writer:
+        return _Writer(self)
+
+    @classmethod
+    def load(cls, path: str) -> BoostedTrees:
+        spark = SparkSession.getActiveSession()
+        votes = [r["vote"] for r in spark.read.parquet(f"{path}/votes").orderBy("position").collect()]
+        trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i}") for i in range(len(votes))]
+        return cls(tuple(trees), tuple(votes))
+
+
+class _Writer:
+    def __init__(self, model: BoostedTrees):
+        self.model = model
+
+    def overwrite(self) -> _Writer:
+        return self
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        for i, tree in enumerate(self.model.trees):
+            tree.write().overwrite().save(f"{path}/tree_{i}")
+        rows = [(i, v) for i, v in enumerate(self.model.votes)]
+        spark.createDataFrame(rows, "position int, vote double").write.mode("overwrite").parquet(f"{path}/votes")
+
 
 def fit(
     train: DataFrame,

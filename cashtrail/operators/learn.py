@@ -27,6 +27,7 @@ from cashtrail.contract import LIMITS, TARGETS, Limits
 from cashtrail.operators import adaboost, splits
 from cashtrail.operators.metrics import regression_metrics
 from cashtrail.operators.neighbours import knn_predict
+from cashtrail.sources.writers import save_model
 
 SEED = 42
 KEY = "complaint_id"
@@ -48,6 +49,12 @@ class PerTarget:
         return df
 
 
+    def save(self, path: str) -> None:
+        """One folder per target; boosted trees keep a folder per tree."""
+        for target, model in self.models.items():
+            save_model(model, f"{path}/{target}")
+
+
 class Nearest:
     """K nearest training rows; keeps the training table, not a fitted model."""
 

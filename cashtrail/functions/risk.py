@@ -52,13 +52,17 @@ def base_risk(amount: Column, urgency: Column) -> Column:
     return (_amount_share(amount) + _by_urgency(urgency, 0.8, 0.5, 0.2)) / 2
 
 
+def _hour_factor(hour: int) -> float:
+    if 10 <= hour <= 16:
+        return 1.2
+    if 18 <= hour <= 22:
+        return 1.1
+    return 0.8 if hour <= 6 else 1.0
+
+
 def hour_factor(hour: Column) -> Column:
-    return (
-        F.when(hour.between(10, 16), 1.2)
-        .when(hour.between(18, 22), 1.1)
-        .when(hour.between(0, 6), 0.8)
-        .otherwise(1.0)
-    )
+    """Looked up in a constant array, so the hour is worked out once per row."""
+    return F.get(F.array(*[F.lit(_hour_factor(h)) for h in range(24)]), hour)
 
 
 def rule_probability(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,12 +128,25 @@ def add_model_features(df: DataFrame) -> DataFrame:
     return df.withColumns(added)
 
 
-def assembler(features: Sequence[str] = MODEL_FEATURES) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-
-
 def fit_preprocessor(train: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> PipelineModel:
-    return Pipeline(stages=[assembler(features)]).fit(train)
+    """Features as doubles, gaps filled with the training mean, assembled to a vector.
+
+    Gaps are rare here (a band is null where the amount is not positive);
+    :func:`cashtrail.operators.neighbours.knn_impute` fills them from similar
+    rows beforehand when training.
+    """
+    casts = ", ".join(f"CAST(`{c}` AS DOUBLE) AS `_{c}`" for c in features)
+    return Pipeline(
+        stages=[
+            SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"),
+            Imputer(strategy="mean", inputCols=[f"_{c}" for c in features], outputCols=[f"_{c}_filled" for c in features]),
+            VectorAssembler(inputCols=[f"_{c}_filled" for c in features], outputCol="features"),
+        ]
+    ).fit(train)
+
+
+def drop_working_columns(df: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
+    return df.drop("features", *[f"_{c}" for c in features], *[f"_{c}_filled" for c in features])
 
 
 def feature_frame(

@@ -2,49 +2,67 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cashtrail.session import shared_folder
 
-def _range_of(key: str, value: str, cuts: dict[str, list[float]]) -> Column:
-    """Number of cut points below the value, by the key's own cut points."""
+
+def _with_range(grouped: DataFrame, key: str, value: str, cuts: dict[str, list[float]]) -> DataFrame:
+    """Add ``_range``, the position of the value among its own key's cut points."""
     position = F.lit(0)
-    for name, points in cuts.items():
+    working = []
+    for i, (name, points) in enumerate(cuts.items()):
         if points:
-            below = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < F.col(value)))
-            position = F.when(F.col(key) == name, below).otherwise(position)
-    return position
+            working.append(f"_range_{i}")
+            grouped = Bucketizer(
+                splits=[-math.inf, *points, math.inf], inputCol=value, outputCol=working[-1]
+            ).transform(grouped)
+            position = F.when(F.col(key) == name, F.col(working[-1]).cast("int")).otherwise(position)
+    return grouped.withColumn("_range", position).drop(*working)
 
 
 def running_totals(
     grouped: DataFrame, key: str, value: str, measures: Sequence[str], buckets: int = 256
 ) -> DataFrame:
-    """Add ``<measure>_upto``: the measure summed over all smaller or equal values.
+    """Add ``<measure>_upto``, summed over all smaller or equal values, and ``<measure>_total``.
 
     ``grouped`` has one row per (key, value), with few keys. Approximate
     quantiles of the distinct values cut each key into ranges of similar size;
     the cut points (keys x ``buckets`` numbers) are all that reaches the
     driver. They only steer the work: any cut points give the same totals.
+
+    The distinct values are read three times below, so they are checkpointed
+    rather than counted again from the rows each time.
     """
+    shared_folder(grouped.sparkSession)
+    grouped = grouped.checkpoint()
     shares = [i / buckets for i in range(1, buckets)]
     sampled = grouped.groupBy(key).agg(F.percentile_approx(value, shares, 10000).alias("cuts")).collect()
     cuts = {row[key]: sorted(set(row["cuts"])) for row in sampled}
-    ranged = grouped.withColumn("_range", _range_of(key, value, cuts))
+    ranged = _with_range(grouped, key, value, cuts)
 
-    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(key, "_range")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .select(key, "_range", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_before") for m in measures])
+    everything = Window.partitionBy(key)
+    earlier = everything.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(key, "_range").agg(*[F.sum(m).alias(m) for m in measures])
+    offsets = sums.select(
+        key,
+        "_range",
+        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_before") for m in measures],
+        *[F.sum(m).over(everything).alias(f"{m}_total") for m in measures],
     )
     inside = Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"_{m}_here": F.sum(m).over(inside) for m in measures})
     # keys x buckets rows at most
     joined = local.join(F.broadcast(offsets), [key, "_range"])
     return joined.select(
-        *grouped.columns, *[(F.col(f"_{m}_here") + F.col(f"_{m}_before")).alias(f"{m}_upto") for m in measures]
+        *grouped.columns,
+        *[(F.col(f"_{m}_here") + F.col(f"_{m}_before")).alias(f"{m}_upto") for m in measures],
+        *[f"{m}_total" for m in measures],
     )
 
 
@@ -52,19 +70,11 @@ def exact_medians(df: DataFrame, key: str, value: str, buckets: int = 256) -> Da
     """Median of ``value`` per key: the mean of the two middle values."""
     counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     running = running_totals(counted, key, value, ["n"], buckets)
-    totals = counted.groupBy(key).agg(F.sum("n").alias("rows"))
-    lower = F.floor((F.col("rows") + 1) / 2)
-    upper = F.floor((F.col("rows") + 2) / 2)
+    lower = F.floor((F.col("n_total") + 1) / 2)
+    upper = F.floor((F.col("n_total") + 2) / 2)
 
-    def covers(rank: Column) -> Column:
-        return (F.col("n_upto") >= rank) & (F.col("n_upto") - F.col("n") < rank)
+    def value_at(rank: Column) -> Column:
+        covers = (F.col("n_upto") >= rank) & (F.col("n_upto") - F.col("n") < rank)
+        return F.max(F.when(covers, F.col(value)))
 
-    return (
-        running.join(F.broadcast(totals), key)  # one row per key
-        .groupBy(key)
-        .agg(
-            (
-                (F.max(F.when(covers(lower), F.col(value))) + F.max(F.when(covers(upper), F.col(value)))) / 2
-            ).alias("median")
-        )
-    )
+    return running.groupBy(key).agg(((value_at(lower) + value_at(upper)) / 2).alias("median"))

@@ -206,13 +206,11 @@ def ks_drift(
         .agg(F.sum("in_base").alias("n_base"), F.sum(1 - F.col("in_base")).alias("n_current"))
     )
     running = running_totals(counted, "column_name", "value", ["n_base", "n_current"], buckets)
-    totals = counted.groupBy("column_name").agg(
-        F.sum("n_base").alias("base_rows"), F.sum("n_current").alias("current_rows")
-    )
-    gap = F.abs(F.col("n_base_upto") / F.col("base_rows") - F.col("n_current_upto") / F.col("current_rows"))
+    gap = F.abs(F.col("n_base_upto") / F.col("n_base_total") - F.col("n_current_upto") / F.col("n_current_total"))
     return (
-        running.join(F.broadcast(totals), "column_name")  # one row per column
-        .groupBy("column_name", "base_rows", "current_rows")
+        running.groupBy(
+            "column_name", F.col("n_base_total").alias("base_rows"), F.col("n_current_total").alias("current_rows")
+        )
         .agg(F.max(gap).alias("ks_statistic"))
         .withColumn(
             "p_value",

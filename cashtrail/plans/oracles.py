@@ -717,7 +717,7 @@ def _gap(columns) -> str:
 _OLS = "regr_slope(risk_score, amount_lost) AS slope, regr_intercept(risk_score, amount_lost) AS intercept"
 _MATRIX = (
     "amount_lost + complaint_lat + complaint_lng + predicted_withdrawal_lat + predicted_withdrawal_lng + "
-    f"{_DIST} + hr + dow + {_WEEKEND} + {_PEAK} + 0 + {_NIGHT} + {_BUSINESS} + {_AMOUNT_LEVEL}"
+    f"{_DIST} + hr + dow + {_WEEKEND} + {_PEAK} + 0 + {_NIGHT} + {_BUSINESS} + coalesce(CAST({_AMOUNT_LEVEL} AS DOUBLE), avg({_AMOUNT_LEVEL}) OVER ())"
 )
 
 BODIES |= {

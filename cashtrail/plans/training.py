@@ -112,4 +112,4 @@ def run_training(
 def predict(rows: DataFrame, preprocessor: PipelineModel, model) -> DataFrame:
     """Transform, then predict: ``<target>_hat`` columns for clean complaints."""
     features = clean.add_model_features(rows)
-    return model.transform(preprocessor.transform(features)).drop("features")
+    return clean.drop_working_columns(model.transform(preprocessor.transform(features)))

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Above this size the JVM does not compile a generated method; Spark then
+    # splits the work into smaller ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

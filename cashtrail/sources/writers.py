@@ -6,6 +6,8 @@ from pyspark.ml.util import MLReadable, MLWritable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from cashtrail.contract import NOTIFICATION_COLUMNS
+
 
 # CSV text keeps microseconds.
 CSV_OPTIONS = {"header": True, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -74,6 +76,11 @@ def append_prediction_log(log: DataFrame, path: str) -> None:
     evenly(dated, "log_date").write.mode("append").partitionBy("log_date").parquet(path)
 
 
+def append_notifications(log: DataFrame, path: str) -> int:
+    """Append to the notification log; returns the rows added."""
+    return append_table(log.select(*NOTIFICATION_COLUMNS), path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Store a small report as JSON lines, replacing an earlier one."""
     report.write.mode("overwrite").options(**JSON_OPTIONS).json(path)

@@ -32,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cashtrail.contract import LIMITS
@@ -44,17 +44,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Widens every bound, so that rounding in a distance cannot exclude a neighbour.
 SLACK = 1e-9
 
+MOST_PIVOTS = 512
+
 # Above this many blocks their list is joined by a shuffle instead.
 BROADCAST_BLOCKS = 200_000
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """Where the donors are: pivots, and for each block its pivot and ring."""
+    """Where the donors are: pivots, and for each pivot its blocks, ring by ring."""
 
     pivots: np.ndarray  # pivot x feature
     near: np.ndarray  # pivot x k: smallest donor distances of each pivot
-    owner: np.ndarray  # block -> pivot
     low: np.ndarray  # block -> smallest donor distance
     high: np.ndarray  # block -> largest donor distance
     first: np.ndarray  # pivot -> its first block; one entry more than pivots
@@ -107,19 +108,28 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
 
 
+def _ring_edges(assigned: DataFrame, rings: dict[int, int]) -> dict[int, list[float]]:
+    """Inner ring edges of each pivot: quantiles of its donors' distances.
+
+    Pivots are asked in classes of similar size, so that a pivot with few
+    donors does not return as many edges as the fullest one.
+    """
+    edges: dict[int, list[float]] = {p: [] for p in rings}
+    classes: dict[int, list[int]] = {}
+    for p, n in rings.items():
+        if n > 1:
+            classes.setdefault(2 ** math.ceil(math.log2(n)), []).append(p)
+    for parts, members in classes.items():
+        shares = [i / parts for i in range(1, parts)]
+        cuts = F.percentile_approx("reach", shares, max(10000, 10 * parts))
+        for row in assigned.where(F.col("pivot").isin(members)).groupBy("pivot").agg(cuts.alias("cuts")).collect():
+            edges[row["pivot"]] = sorted(set(row["cuts"]))
+    return edges
+
+
 def _lay_out(assigned: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> Blocks:
     sizes = {r["pivot"]: r["n"] for r in assigned.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rings = {p: max(1, math.ceil(n / block_rows)) for p, n in sizes.items()}
-    finest = max(rings.values())
-    cuts: dict[int, list[float]] = {p: [] for p in rings}
-    if finest > 1:
-        shares = [i / finest for i in range(1, finest)]
-        for row in (
-            assigned.groupBy("pivot").agg(F.percentile_approx("reach", shares, 10000).alias("cuts")).collect()
-        ):
-            wanted = rings[row["pivot"]]
-            picked = {row["cuts"][min(len(shares) - 1, round(i * finest / wanted) - 1)] for i in range(1, wanted)}
-            cuts[row["pivot"]] = sorted(picked)
+    inner = _ring_edges(assigned, {p: math.ceil(n / block_rows) for p, n in sizes.items()})
 
     order = Window.partitionBy("pivot").orderBy("reach")
     near = np.full((len(pivots), k), np.inf)
@@ -128,15 +138,14 @@ def _lay_out(assigned: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -
     ):
         near[row["pivot"], row["i"] - 1] = row["reach"]
 
-    owner, low, high, first = [], [], [], [0]
+    low, high, first = [], [], [0]
     for p in range(len(pivots)):
         if p in sizes:
-            edges = [-math.inf, *cuts[p], math.inf]
-            owner += [p] * (len(edges) - 1)
+            edges = [-math.inf, *inner[p], math.inf]
             low += edges[:-1]
             high += edges[1:]
-        first.append(len(owner))
-    return Blocks(pivots, near, np.array(owner), np.array(low), np.array(high), np.array(first))
+        first.append(len(low))
+    return Blocks(pivots, near, np.array(low), np.array(high), np.array(first))
 
 
 def _block_of(blocks: Blocks, pivot: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -175,47 +184,65 @@ def _home_blocks(queries: DataFrame, blocks: Blocks) -> DataFrame:
     return queries.mapInPandas(run, "query_id string, point array<double>, block long, home long")
 
 
+def _limits(part: pd.DataFrame, to_pivot: np.ndarray, blocks: Blocks, k: int) -> np.ndarray:
+    """For each query, a distance within which its k nearest donors certainly are."""
+    by_pivots = (to_pivot[:, :, None] + blocks.near[None, :, :]).reshape(len(part), -1)
+    limit = np.partition(by_pivots, k - 1, axis=1)[:, k - 1]
+    by_home = np.array([math.sqrt(d[-1]) if len(d) >= k else np.inf for d in part["found"]])
+    limit = np.minimum(limit, by_home)
+    return limit + SLACK * (1 + to_pivot.max(axis=1) + np.where(np.isfinite(limit), limit, 0))
+
+
+def _beyond_planes(to_pivot: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Least distance to any donor of each pivot: those lie on its side of the plane
+    between it and the query's own pivot."""
+    apart = between[to_pivot.argmin(axis=1)]
+    theirs, own = to_pivot**2, (to_pivot.min(axis=1) ** 2)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # less what rounding may have added to the difference of two squares
+        plane = (theirs - own - SLACK * (theirs + own)) / (2 * apart)
+    return np.where(apart > 0, plane, 0.0)
+
+
 def _other_blocks(searched: DataFrame, blocks: Blocks, k: int) -> DataFrame:
-    """(query, block) for every block but the home that may hold a neighbour."""
+    """(query, block) for every block but the home that may hold a neighbour.
+
+    The rings of a pivot within reach are consecutive, so each (query, pivot)
+    gives one range of blocks.
+    """
     width = blocks.pivots.shape[1]
     between = blocks.between_pivots()
-    step = max(1, min(512, 4_000_000 // max(1, len(blocks.owner))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             points = _matrix(frame["point"], width)
-            for start in range(0, len(frame), step):
-                part = frame.iloc[start : start + step]
-                to_pivot = blocks.pivot_distances(points[start : start + step])
-                by_pivots = (to_pivot[:, :, None] + blocks.near[None, :, :]).reshape(len(part), -1)
-                bound = np.partition(by_pivots, min(k, by_pivots.shape[1]) - 1, axis=1)[
-                    :, min(k, by_pivots.shape[1]) - 1
-                ]
-                by_home = np.array([math.sqrt(d[-1]) if len(d) >= k else np.inf for d in part["found"]])
-                bound = np.minimum(bound, by_home)
-                bound = bound + SLACK * (1 + np.where(np.isfinite(bound), bound, 0))
-                # a donor of another pivot lies beyond the plane between the two pivots
-                closest = to_pivot.min(axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (to_pivot**2 - (closest**2)[:, None]) / (
-                        2 * between[to_pivot.argmin(axis=1)]
-                    )
-                plane = np.nan_to_num(plane, nan=0.0, posinf=0.0, neginf=0.0)
-                reachable = plane * (1 - SLACK) - SLACK <= bound[:, None]
-                distance = to_pivot[:, blocks.owner]
-                candidate = (
-                    (distance - bound[:, None] <= blocks.high[None, :])
-                    & (distance + bound[:, None] >= blocks.low[None, :])
-                    & reachable[:, blocks.owner]
-                )
-                candidate[np.arange(len(part)), part["home"].to_numpy()] = False
-                row, block = np.nonzero(candidate)
-                chosen = part.iloc[row]
+            for start in range(0, len(frame), 512):
+                part = frame.iloc[start : start + 512]
+                to_pivot = blocks.pivot_distances(points[start : start + 512])
+                limit = _limits(part, to_pivot, blocks, k)
+                reachable = _beyond_planes(to_pivot, between) <= limit[:, None]
+                rows, found = [], []
+                for p in range(len(blocks.pivots)):
+                    asked = np.flatnonzero(reachable[:, p])
+                    mine = slice(blocks.first[p], blocks.first[p + 1])
+                    if not len(asked) or mine.start == mine.stop:
+                        continue
+                    distance = to_pivot[asked, p]
+                    begin = np.searchsorted(blocks.high[mine], distance - limit[asked], side="left")
+                    end = np.searchsorted(blocks.low[mine], distance + limit[asked], side="right")
+                    count = np.maximum(end - begin, 0)
+                    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    rows.append(np.repeat(asked, count))
+                    found.append(mine.start + np.repeat(begin, count) + offset)
+                row = np.concatenate(rows) if rows else np.zeros(0, dtype=int)
+                block = np.concatenate(found) if found else np.zeros(0, dtype=int)
+                new = block != part["home"].to_numpy()[row]
+                chosen = part.iloc[row[new]]
                 yield pd.DataFrame(
                     {
                         "query_id": chosen["query_id"].to_numpy(),
                         "point": chosen["point"].to_numpy(),
-                        "block": block.astype("int64"),
+                        "block": block[new].astype("int64"),
                     }
                 )
 
@@ -227,7 +254,7 @@ def _search(queries: DataFrame, donors: DataFrame, blocks: Blocks, k: int, chunk
     shares = queries.groupBy("block").agg(
         F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")
     )
-    if len(blocks.owner) <= BROADCAST_BLOCKS:  # one row per block
+    if len(blocks.low) <= BROADCAST_BLOCKS:  # one row per block
         shares = F.broadcast(shares)
     spread = queries.join(shares, "block").withColumn(
         "chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")
@@ -312,28 +339,30 @@ def nearest(
     asked = queries.where(_complete(features)).select(
         F.col(key).cast("string").alias("query_id"), _vector(features).alias("point")
     )
-    same = Window.partitionBy("point").orderBy("donor_id")
-    held = (
-        donors.where(_complete(features))
-        .select(
-            F.col(key).cast("string").alias("donor_id"),
-            _vector(features).alias("point"),
-            _vector(payload).alias("payload") if payload else F.array().cast("array<double>").alias("payload"),
-        )
-        .withColumn("copy", F.row_number().over(same))
-        .where(F.col("copy") <= k)
-        .drop("copy")
-        .checkpoint()
+    offered = donors.where(_complete(features)).select(
+        F.col(key).cast("string").alias("donor_id"),
+        _vector(features).alias("point"),
+        _vector(payload).alias("payload") if payload else F.array().cast("array<double>").alias("payload"),
+    )
+    # the smallest hashes: a repeatable sample, kept by each task as a short list;
+    # the same job counts the donors, which settles how many pivots are used
+    seen = Observation("donors")
+    sample = (
+        offered.observe(seen, F.count(F.lit(1)).alias("rows"))
+        .orderBy(F.xxhash64("donor_id"), "donor_id")
+        .limit(pivots or MOST_PIVOTS)
+        .select("point")
+        .collect()
     )
-    total = held.count()
-    empty = "query_id string, donor_id string, distance2 double, payload array<double>, position int"
-    if total == 0:
-        return spark.createDataFrame([], empty)
-    wanted = pivots or min(512, max(1, math.isqrt(total) // 2))
-    # the smallest hashes: a repeatable sample, kept by each task as a short list
-    sample = held.orderBy(F.xxhash64("donor_id"), "donor_id").limit(wanted).select("point").collect()
-    centres = np.unique(np.array([row["point"] for row in sample], dtype=float), axis=0)
-    assigned = _assign(held, centres)
+    if not sample:
+        return spark.createDataFrame(
+            [], "query_id string, donor_id string, distance2 double, payload array<double>, position int"
+        )
+    wanted = pivots or max(1, math.isqrt(seen.get["rows"]) // 2)
+    centres = np.unique(np.array([row["point"] for row in sample[:wanted]], dtype=float), axis=0)
+    same = Window.partitionBy("point").orderBy("donor_id")
+    held = offered.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
+    assigned = _assign(held, centres).checkpoint()
     blocks = _lay_out(assigned, centres, k, block_rows)
     in_blocks = _in_blocks(assigned, blocks)
 

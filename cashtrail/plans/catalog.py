@@ -238,10 +238,9 @@ def day_part(spark, sf):
 
 @register
 def mask_pii(spark, sf):
-    rows = demo_tables.reports(spark, sf)
-    return clean.mask_phone(rows).select(
-        "complaint_id", F.col("victim_phone").alias("hidden"), texts.mask_phone_digits(F.lit("+91-9812345678")).alias("pattern")
-    )
+    rows = demo_tables.reports(spark, sf).withColumn("pattern", F.col("victim_phone"))
+    masked = rows.transform(clean.mask_phone).transform(clean.mask_phone, "pattern", whole=False)
+    return masked.select("complaint_id", F.col("victim_phone").alias("hidden"), "pattern")
 
 
 @register

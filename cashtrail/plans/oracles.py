@@ -397,7 +397,7 @@ BODIES: dict[str, tuple[str, str]] = {
         """SELECT complaint_id, CASE WHEN hr <= 6 THEN 'late_night' WHEN hr <= 11 THEN 'morning'
         WHEN hr <= 17 THEN 'afternoon' ELSE 'evening' END AS day_part FROM reports""",
     ),
-    "mask_pii": ("", "SELECT complaint_id, '+91-XXXXXXXXXX' AS hidden, '+91-XXXXXXXXXX' AS pattern FROM reports"),
+    "mask_pii": ("", "SELECT complaint_id, '+91-XXXXXXXXXX' AS hidden, '+91-' || regexp_replace(substr(victim_phone, 5), '[0-9]', 'X', 'g') AS pattern FROM reports"),
     "schema_ops": (
         "",
         """SELECT complaint_id, 'Unknown' AS jurisdiction, '2024-01-31T00:00:00' AS event_time,

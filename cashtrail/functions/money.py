@@ -18,15 +18,6 @@ def fraction(percent: Column) -> Column:
     return percent / F.lit(100.0)
 
 
-def exact_sum(amount: Column) -> Column:
-    """Sum in decimal, so the result does not depend on the order of rows."""
-    return F.sum(amount.cast("decimal(18,2)")).cast("double")
-
-
-def exact_mean(value: Column, scale: int = 2) -> Column:
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double") / F.count(value)
-
-
 def alert_priority(risk: Column, amount: Column) -> Column:
     return (
         F.when((risk >= 80) | (amount >= 100000), "High")

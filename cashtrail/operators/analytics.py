@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashtrail.contract import LIMITS
-from cashtrail.functions import money, times
+from cashtrail.functions import money, numbers, times
 from cashtrail.operators import lookup
 
 HIGH = "High"
@@ -25,7 +25,7 @@ def _known(column: str) -> Column:
 
 
 def _amount() -> Column:
-    return F.coalesce(F.col("amount_lost"), F.lit(0.0))
+    return F.coalesce(numbers.known(F.col("amount_lost")), F.lit(0.0))
 
 
 def risk_distribution(df: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def dataset_summary(df: DataFrame, high_risk_score: float = LIMITS.high_risk_sco
         _cases().alias("total_records"),
         F.count_distinct("complaint_state").alias("states_covered"),
         F.count_distinct("complaint_city").alias("cities_covered"),
-        money.exact_sum(F.col("amount_lost")).alias("total_amount_lost"),
-        F.round(money.exact_mean(F.col("amount_lost")), 4).alias("average_amount_lost"),
+        numbers.exact_sum(F.col("amount_lost")).alias("total_amount_lost"),
+        F.round(numbers.exact_mean(F.col("amount_lost"), numbers.MONEY), 4).alias("average_amount_lost"),
         F.count_if(F.col("risk_score") > high_risk_score).alias("high_risk_cases"),
     )
 
@@ -75,7 +75,7 @@ def city_stats(df: DataFrame, n: int = 10, by_state: bool = False) -> DataFrame:
         .groupBy(*keys)
         .agg(
             F.count("complaint_id").alias("incidents"),
-            F.round(money.fraction(money.exact_mean(F.col("risk_score"), 1)), 2).alias("risk_score"),
+            F.round(money.fraction(numbers.exact_mean(F.col("risk_score"))), 2).alias("risk_score"),
         )
         .orderBy(F.desc("incidents"), *names)
         .limit(n)
@@ -88,10 +88,10 @@ def state_stats(df: DataFrame, n: int = 10) -> DataFrame:
         .groupBy(F.col("complaint_state").alias("state"))
         .agg(
             F.count("complaint_id").alias("cases"),
-            F.round(money.exact_sum(F.col("amount_lost")), 2).alias("total_loss"),
-            F.round(money.exact_mean(F.col("amount_lost")), 2).alias("avg_loss"),
-            F.round(money.exact_mean(F.col("risk_score"), 1), 2).alias("avg_risk"),
-            F.round(money.exact_mean(F.col("withdrawal_probability"), 3), 2).alias("avg_withdrawal_prob"),
+            F.round(numbers.exact_sum(F.col("amount_lost")), 2).alias("total_loss"),
+            F.round(numbers.exact_mean(F.col("amount_lost"), numbers.MONEY), 2).alias("avg_loss"),
+            F.round(numbers.exact_mean(F.col("risk_score")), 2).alias("avg_risk"),
+            F.round(numbers.exact_mean(F.col("withdrawal_probability")), 2).alias("avg_withdrawal_prob"),
         )
         .orderBy(F.desc("cases"), "state")
         .limit(n)
@@ -105,8 +105,8 @@ def state_distribution(df: DataFrame, n: int = 10) -> DataFrame:
         df.groupBy(_known("complaint_state").alias("state"))
         .agg(
             _cases().alias("incidents"),
-            F.round(money.crores(money.exact_sum(_amount())), 2).alias("amount_lost"),
-            F.round(money.fraction(money.exact_mean(risk, 1)), 2).alias("risk_score"),
+            F.round(money.crores(numbers.exact_sum(_amount())), 2).alias("amount_lost"),
+            F.round(money.fraction(numbers.exact_mean(risk)), 2).alias("risk_score"),
         )
         .orderBy(F.desc("incidents"), "state")
         .limit(n)
@@ -125,7 +125,7 @@ def crime_type_analysis(df: DataFrame) -> DataFrame:
     columns so that the planner reuses their exchange instead of a second scan.
     """
     by_state = df.groupBy(_known("crime_type").alias("crime_type"), _known("complaint_state").alias("state")).agg(
-        _cases().alias("cases"), F.sum(_amount().cast("decimal(18,2)")).alias("amount")
+        _cases().alias("cases"), F.sum(_amount().cast(numbers.MONEY)).alias("amount")
     )
     total = by_state.agg(F.struct(F.sum("cases").alias("cases"), F.sum("amount").alias("amount"))).scalar()["cases"]
     return (
@@ -145,7 +145,7 @@ def crime_type_analysis(df: DataFrame) -> DataFrame:
 def bank_incidents(df: DataFrame, n: int = 6) -> DataFrame:
     return (
         df.groupBy(_known("bank_involved").alias("bank"))
-        .agg(_cases().alias("incidents"), F.round(money.crores(money.exact_sum(_amount())), 1).alias("amount"))
+        .agg(_cases().alias("incidents"), F.round(money.crores(numbers.exact_sum(_amount())), 1).alias("amount"))
         .orderBy(F.desc("incidents"), "bank")
         .limit(n)
     )
@@ -157,7 +157,7 @@ def month_counts(df: DataFrame) -> DataFrame:
 
 
 def summary_row(df: DataFrame) -> DataFrame:
-    total = money.exact_sum(_amount())
+    total = numbers.exact_sum(_amount())
     return df.agg(
         _cases().alias("total_cases"),
         F.round(money.crores(total), 2).alias("total_amount_lost"),
@@ -194,7 +194,7 @@ def monthly_trend(df: DataFrame, as_of: Column, months: int = 12) -> DataFrame:
         .agg(
             _cases().alias("total_cases"),
             F.count_if(F.col("urgency_level") == HIGH).alias("high_risk"),
-            F.round(money.crores(money.exact_sum(_amount())), 1).alias("amount_lost"),
+            F.round(money.crores(numbers.exact_sum(_amount())), 1).alias("amount_lost"),
         )
     )
     filled = lookup.fill_spine(lookup.month_spine(df.sparkSession, as_of, months), counts, "month_start")

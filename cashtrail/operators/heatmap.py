@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashtrail.functions import geo
+from cashtrail.functions import geo, numbers
 
 
 def _cells(log: DataFrame, digits: int) -> DataFrame:
     return log.select(
         "timestamp",
-        "complaint_id",
         geo.grid_key(F.col("prediction.predicted_withdrawal_lat"), digits).alias("lat"),
         geo.grid_key(F.col("prediction.predicted_withdrawal_lng"), digits).alias("lng"),
         F.col("prediction.withdrawal_probability").alias("p"),
@@ -19,21 +18,28 @@ def _cells(log: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def _first_city() -> Column:
-    return F.min_by("city", F.struct("timestamp", "complaint_id"))
-
-
 def risk_heatmap(log: DataFrame, digits: int = 2) -> DataFrame:
-    """Mean probability, incidents and first city of each grid cell."""
-    return (
+    """Mean probability, incidents and first city of each grid cell.
+
+    Cells are first added up per city, where every running value is a number
+    and the aggregate stays a hash aggregate; the first city is then picked
+    among the few rows left of each cell.
+    """
+    by_city = (
         _cells(log, digits)
-        .groupBy("lat", "lng")
+        .groupBy("lat", "lng", "city")
         .agg(
-            (F.sum(F.col("p").cast("decimal(18,3)")).cast("double") / F.count("p")).alias("risk_score"),
-            F.count(F.lit(1)).alias("incident_count"),
-            _first_city().alias("city"),
+            F.sum(F.col("p").cast(numbers.SCORE)).alias("p_sum"),
+            F.count("p").alias("p_rows"),
+            F.count(F.lit(1)).alias("rows"),
+            F.min("timestamp").alias("first_seen"),
         )
     )
+    return by_city.groupBy("lat", "lng").agg(
+        (F.sum("p_sum").cast("double") / F.sum("p_rows")).alias("risk_score"),
+        F.sum("rows").alias("incident_count"),
+        F.min_by("city", F.struct("first_seen", "city")).alias("city"),
+    )
 
 
 def daily_cells(log: DataFrame, digits: int = 2) -> DataFrame:
@@ -41,7 +47,7 @@ def daily_cells(log: DataFrame, digits: int = 2) -> DataFrame:
     return (
         _cells(log, digits)
         .groupBy(F.to_date("timestamp").alias("day"), "lat", "lng")
-        .agg(F.sum(F.col("p").cast("decimal(18,3)")).alias("p_sum"), F.count(F.lit(1)).alias("incidents"))
+        .agg(F.sum(F.col("p").cast(numbers.SCORE)).alias("p_sum"), F.count(F.lit(1)).alias("incidents"))
     )
 
 

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cashtrail.contract import LIMITS
+from cashtrail.functions import numbers
 from cashtrail.session import shared_folder
 
 # Executors need not have this package: its functions travel with the tasks.
@@ -455,7 +456,7 @@ def knn_impute(
                         F.col("payload")[0].alias("value"),
                     )
                 )
-    means = fitted_on.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in features])
+    means = fitted_on.agg(*[F.avg(numbers.known(F.col(c))).alias(c) for c in features])
     filled = asked.drop("_gaps")
     if not parts:
         return filled.withColumns({c: _fill(c, means) for c in features}) if asked_patterns else filled
@@ -475,6 +476,5 @@ def knn_impute(
 
 
 def _fill(column: str, means: DataFrame, filler: str | None = None) -> Column:
-    present = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-    choices = [present] + ([F.col(filler)] if filler else []) + [means.select(column).scalar()]
+    choices = [numbers.known(F.col(column))] + ([F.col(filler)] if filler else []) + [means.select(column).scalar()]
     return F.coalesce(*choices)

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cashtrail.contract import LIMITS, PROFILE_CATEGORIES, PROFILE_NUMBERS, TARGETS
-from cashtrail.functions import times
+from cashtrail.functions import numbers, times
 from cashtrail.operators.clean import numeric_columns
 
 
@@ -16,13 +17,18 @@ def overview(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("records")).withColumn("features", F.lit(len(df.columns)))
 
 
+def _without_nan(df: DataFrame, column: str) -> Column:
+    kind = df.schema[column].dataType
+    return numbers.known(F.col(column)) if isinstance(kind, T.FractionalType) else F.col(column)
+
+
 def _value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value, n) for every column, nulls included.
 
     Rows are counted per (column, value) before the shuffle, so a value that
     fills a third of a column arrives as one row per task.
     """
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    text = df.select(*[_without_nan(df, c).cast("string").alias(c) for c in columns])
     return (
         text.unpivot([], list(columns), "column_name", "value")
         .groupBy("column_name", "value")
@@ -41,8 +47,8 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         facts = [
             F.struct(
                 F.lit(c).alias("column_name"),
-                F.count_if(F.col(c).isNull()).alias("nulls"),
-                F.approx_count_distinct(c).alias("unique_values"),
+                F.count_if(_without_nan(df, c).isNull()).alias("nulls"),
+                F.approx_count_distinct(_without_nan(df, c)).alias("unique_values"),
             )
             for c in df.columns
         ]
@@ -69,14 +75,13 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] = PROFILE_NUMBERS) ->
     facts = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.min(c).alias("minimum"),
-            F.max(c).alias("maximum"),
-            F.round(F.avg(c), 4).alias("mean"),
-            F.round(F.stddev_samp(c), 4).alias("std"),
-            F.count_if(F.col(c).isNull()).alias("nulls"),
+            F.min(x).alias("minimum"),
+            F.max(x).alias("maximum"),
+            F.round(F.avg(x), 4).alias("mean"),
+            F.round(F.stddev_samp(x), 4).alias("std"),
+            F.count_if(x.isNull()).alias("nulls"),
         )
-        for c in columns
-        if c in df.columns
+        for c, x in ((c, numbers.known(F.col(c))) for c in columns if c in df.columns)
     ]
     return df.agg(F.array(*facts).alias("f")).select(F.inline("f"))
 
@@ -148,7 +153,7 @@ def correlations(
     names = list(features) if features is not None else numeric_columns(df)
 
     def entry(target: str, feature: str) -> Column:
-        r = F.corr(F.col(feature).cast("double"), F.col(target))
+        r = F.corr(numbers.known(F.col(feature)), numbers.known(F.col(target)))
         return F.struct(F.lit(target).alias("target"), F.lit(feature).alias("feature"), r.alias("r"))
 
     pairs = [entry(t, f) for t in targets for f in names if f != t]

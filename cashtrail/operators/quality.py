@@ -17,6 +17,7 @@ from cashtrail.contract import (
     LONGITUDE_COLUMNS,
     Limits,
 )
+from cashtrail.functions import numbers
 from cashtrail.operators.ordered import running_totals
 
 REQUIRED_TARGETS = ("predicted_withdrawal_lat", "predicted_withdrawal_lng", "withdrawal_probability")
@@ -148,7 +149,7 @@ def mean_drift(
     shared = [c for c in columns if c in base.columns and c in current.columns]
 
     def means(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(*[F.avg(c).alias(c) for c in shared]).unpivot([], shared, "column_name", name)
+        return df.agg(*[F.avg(numbers.known(F.col(c))).alias(c) for c in shared]).unpivot([], shared, "column_name", name)
 
     ratio = F.abs(F.col("current_mean") - F.col("base_mean")) / F.abs("base_mean")
     return (

@@ -25,7 +25,8 @@ _QUERIES: dict[str, Query] = {}
 
 
 def register(function: Query) -> Query:
-    _QUERIES[function.__name__] = function
+    """Register under the function's name, without the mark that keeps it from hiding a module."""
+    _QUERIES[function.__name__.removesuffix("_query")] = function
     return function
 
 
@@ -483,7 +484,7 @@ def classification_metrics(spark, sf):
 
 
 @register
-def contract_check(spark, sf):
+def contract_query(spark, sf):
     rows = quality.require_contract(_prepared(spark, sf), types_too=True)
     return quality.contract_report(rows.withColumn("jurisdiction", F.col("complaint_state")).drop("bank_involved"))
 
@@ -581,7 +582,7 @@ def single_score(spark, sf):
 
 
 @register
-def heatmap_cells(spark, sf):
+def heatmap_query(spark, sf):
     recent = _log(spark, sf).transform(clean.within_days, F.lit(AS_OF), 14)
     found = heatmap.risk_heatmap(recent)
     return found.withColumn("risk_score", F.round("risk_score", 6))

@@ -228,7 +228,7 @@ def _cells(digits: int) -> str:
 _CELL_RISK = rnd("CAST(sum(CAST(withdrawal_probability AS DECIMAL(18,3))) AS DOUBLE) / count(*)", 6)
 _CELL = (
     f"SELECT lat, lng, {_CELL_RISK} AS risk_score, count(*) AS incident_count, "
-    'arg_min(complaint_city, ("timestamp", complaint_id)) AS city FROM cells {where} GROUP BY lat, lng'
+    'arg_min(complaint_city, ("timestamp", complaint_city)) AS city FROM cells {where} GROUP BY lat, lng'
 )
 
 
@@ -584,7 +584,7 @@ BODIES: dict[str, tuple[str, str]] = {
         {rnd("coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0)", 9)} AS precision_score,
         {rnd("coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0)", 9)} AS recall_score FROM counted""",
     ),
-    "contract_check": ("", _contract_rows()),
+    "contract": ("", _contract_rows()),
     "content_checks": (
         "",
         "SELECT count(*) AS checked_rows, "
@@ -646,7 +646,7 @@ BODIES: dict[str, tuple[str, str]] = {
         _scored(_rule("0", "2"), 0.7, 0.4, stamp="TIMESTAMP '2024-01-31 00:00:00'"),
         f"SELECT {_RESULT} FROM scored",
     ),
-    "heatmap_cells": (
+    "heatmap": (
         f"{_SCORED}, {_cells(2)}",
         _CELL.format(where="WHERE \"timestamp\" BETWEEN TIMESTAMP '2024-01-17 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'"),
     ),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cashtrail.functions import geo
+from cashtrail.functions import geo, numbers
 
 WATERMARK = "1 hour"
 
@@ -26,7 +26,7 @@ def heatmap_windows(log: DataFrame, days: int = 30, digits: int = 2, watermark:
             geo.grid_key(F.col("prediction.predicted_withdrawal_lng"), digits).alias("lng"),
         )
         .agg(
-            F.sum(F.col("prediction.withdrawal_probability").cast("decimal(18,3)")).alias("p_sum"),
+            F.sum(F.col("prediction.withdrawal_probability").cast(numbers.SCORE)).alias("p_sum"),
             F.count(F.lit(1)).alias("incidents"),
         )
     )

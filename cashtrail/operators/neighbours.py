@@ -77,6 +77,17 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def smallest(values: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest values of each row, in order; the first of equals wins."""
+    k = min(k, values.shape[1])
+    last = np.partition(values, k - 1, axis=1)[:, k - 1]
+    row, column = np.nonzero(values <= last[:, None])
+    order = np.lexsort((column, values[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(values)))[row]
+    return column[rank < k].reshape(len(values), k)
+
+
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, width))
 
@@ -286,16 +297,15 @@ def _search(queries: DataFrame, donors: DataFrame, blocks: Blocks, k: int, chunk
                 }
             )
         held = held.sort_values("donor_id", kind="stable")
-        ids, payloads = held["donor_id"].to_numpy(), held["payload"].to_numpy()
-        points = np.vstack(held["held_point"].to_numpy())
+        ids, points = held["donor_id"].to_numpy(), np.vstack(held["held_point"].to_numpy())
+        payloads = np.vstack(held["payload"].to_numpy())
         donors_out, found_out, payloads_out = [], [], []
         for start in range(0, len(asked), 256):
             distances = squared_distances(np.vstack(asked["point"].iloc[start : start + 256].to_numpy()), points)
-            best = np.argsort(distances, axis=1, kind="stable")[:, :k]
-            for i, columns_of in enumerate(best):
-                donors_out.append(ids[columns_of].tolist())
-                found_out.append(distances[i, columns_of].tolist())
-                payloads_out.append([p.tolist() for p in payloads[columns_of]])
+            best = smallest(distances, k)
+            donors_out += ids[best].tolist()
+            found_out += np.take_along_axis(distances, best, axis=1).tolist()
+            payloads_out += payloads[best].tolist()
         return pd.DataFrame(
             {
                 "query_id": asked["query_id"],
@@ -307,9 +317,13 @@ def _search(queries: DataFrame, donors: DataFrame, blocks: Blocks, k: int, chunk
             }
         )
 
+    # Little data, much arithmetic: a number of partitions that is asked for is
+    # kept, while the adaptive planner would merge small ones into a few tasks.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        spread.groupBy("block", "chunk")
-        .cogroup(copies.groupBy("held_block", "held_chunk"))
+        spread.repartition(tasks, "block", "chunk")
+        .groupBy("block", "chunk")
+        .cogroup(copies.repartition(tasks, "held_block", "held_chunk").groupBy("held_block", "held_chunk"))
         .applyInPandas(
             run,
             "query_id string, point array<double>, block long, donors array<string>, "

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashtrail import contract
-from cashtrail.operators import clean, ordered, quality, splits
+from cashtrail.functions import numbers
+from cashtrail.operators import analytics, clean, ordered, profile, quality, splits
 
 
 def test_contract_names(spark, complaints):
@@ -113,3 +114,23 @@ def test_split_shares(complaints):
     total = complaints.count()
     assert train.count() + test.count() == total
     assert test.count() / total == pytest.approx(0.2, abs=0.05)
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, nan), (nan, 4.0), (5.0, 6.0)], "amount_lost double, risk_score double")
+    row = profile.numeric_profile(df, ["amount_lost"]).first()
+    assert (row["minimum"], row["maximum"], row["mean"], row["nulls"]) == (1.0, 5.0, 3.0, 1)
+    columns = {r["column_name"]: r for r in profile.column_profile(df).collect()}
+    assert (columns["risk_score"]["nulls"], columns["risk_score"]["unique_values"]) == (1, 3)
+    drift = quality.mean_drift(df, df).collect()
+    assert {r["column_name"]: r["base_mean"] for r in drift} == {"amount_lost": 3.0, "risk_score": 4.0}
+    assert analytics.summary_row(df.withColumn("complaint_state", F.lit("Goa"))).first()["avg_case_value"] == 2.0
+
+
+def test_exact_sums_keep_small_scores(spark):
+    df = spark.createDataFrame([(0.123456,), (0.000001,), (None,)], "risk double")
+    assert df.select(numbers.exact_sum(F.col("risk"), numbers.SCORE), numbers.exact_mean(F.col("risk"))).first() == (
+        0.123457,
+        0.0617285,
+    )

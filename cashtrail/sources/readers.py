@@ -11,6 +11,11 @@ from pyspark.errors import AnalysisException
 
 from cashtrail.contract import RAW_SCHEMA
 
+try:
+    import yaml
+except ImportError:  # only YAML contracts need it
+    yaml = None
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, mode: str = "FAILFAST") -> DataFrame:
     """CSV with a header, whose columns may be some of the contract's, in any order.
@@ -54,10 +59,28 @@ def load_complaints(spark: SparkSession, base: str) -> DataFrame:
     return read_json(spark, base + ".json", array=is_array)
 
 
+# Column types a YAML contract may name.
+YAML_TYPES = {
+    "object": T.StringType(),
+    "float64": T.DoubleType(),
+    "int64": T.LongType(),
+    "bool": T.BooleanType(),
+}
+
+
 def load_contract(text: str) -> T.StructType:
-    """A column contract written as Spark schema JSON or as DDL text."""
+    """A column contract written as Spark schema JSON, as DDL, or as YAML.
+
+    The YAML form has a list ``columns`` of one-entry mappings, name to type.
+    It agrees with a table by names; its types are coarser than Spark's.
+    """
     if text.lstrip().startswith("{"):
         return T.StructType.fromJson(json.loads(text))
+    if any(line.strip() == "columns:" for line in text.splitlines()):
+        if yaml is None:
+            raise RuntimeError("a YAML contract needs the yaml package")
+        entries = [next(iter(entry.items())) for entry in yaml.safe_load(text)["columns"]]
+        return T.StructType([T.StructField(name, YAML_TYPES[kind]) for name, kind in entries])
     return T.StructType.fromDDL(text)
 
 

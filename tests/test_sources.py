@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cashtrail import contract
-from cashtrail.operators import scoring
+from cashtrail.operators import quality, scoring
 from cashtrail.session import new_folder
 from cashtrail.sources import readers, writers
 
@@ -85,6 +85,14 @@ def test_contract_texts():
     assert readers.load_contract("a int, b string").names == ["a", "b"]
 
 
+def test_yaml_contract(complaints):
+    pytest.importorskip("yaml")
+    text = "columns:\n" + "".join(f"  - {c}: object\n" for c in contract.RAW_COLUMNS) + "targets:\n  - risk_score\n"
+    loaded = readers.load_contract(text)
+    assert quality.check_contract(complaints, loaded).names_ok
+    assert not quality.check_contract(complaints.drop("status"), loaded).names_ok
+
+
 def test_prediction_log_is_pruned(spark, complaints, folder):
     inputs = complaints.drop(*scoring.RESULT_COLUMNS[1:])
     log = scoring.prediction_log(scoring.score(inputs))

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from cashtrail.plans import catalog, oracles
 from oracle_check import compare, duck
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracles.oracle_sql()
 HEAVY = {"model_scores", "learned_ridge_tree_forest", "knn_scores", "adaboost", "run_log"}
 
 

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashtrail.llm import host_rules
+from cashtrail.llm import host_rules, sanitise, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [host_rules.op9_host_rules]
+    found = [secret_scan.op4_secret_scan, sanitise.op5_sanitise, host_rules.op9_host_rules]
     return {q.__name__: q for q in found}
 
 

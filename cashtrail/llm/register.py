@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashtrail.llm import host_rules, piece_tokens, sanitise, secret_scan
+from cashtrail.llm import host_rules, packing, piece_tokens, sanitise, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [piece_tokens.op1_piece_tokens, secret_scan.op4_secret_scan, sanitise.op5_sanitise, host_rules.op9_host_rules]
+    found = [piece_tokens.op1_piece_tokens, secret_scan.op4_secret_scan, sanitise.op5_sanitise, host_rules.op9_host_rules, packing.op10_packing]
     return {q.__name__: q for q in found}
 
 

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashtrail.llm import host_rules, ngram_join, packing, piece_tokens, sanitise, secret_scan
+from cashtrail.llm import host_rules, maxscore, ngram_join, packing, piece_tokens, sanitise, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [piece_tokens.op1_piece_tokens, secret_scan.op4_secret_scan, sanitise.op5_sanitise, ngram_join.op7_ngram_join, host_rules.op9_host_rules, ngram_join, packing.op10_packing]
+    found = [piece_tokens.op1_piece_tokens, secret_scan.op4_secret_scan, sanitise.op5_sanitise, maxscore.op6_maxscore, ngram_join.op7_ngram_join, host_rules.op9_host_rules, maxscore, ngram_join, packing.op10_packing]
     return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_host_rules": host_rules.OP9_SQL}
+    return {"op6_maxscore": maxscore.OP6_SQL, "op9_host_rules": host_rules.OP9_SQL}

@@ -49,6 +49,18 @@ def word_hashes(texts: list[str | None], kinds: np.ndarray, lower: bool = False)
             group, size = [], 0
 
 
+def word_places(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, lower-cased, and of each word start, end and hash; the words of each text."""
+    group = [(t or "").encode().lower() for t in texts]
+    kinds = classes(False)
+    whole = np.frombuffer(b"\n".join(group) + b"\n", dtype=np.uint8)
+    full = kinds[whole] > 0
+    starts = np.flatnonzero(full & np.concatenate([[True], ~full[:-1]]))
+    ends = np.flatnonzero(full & np.concatenate([~full[1:], [True]])) + 1
+    hashes, counts = _hash_group(group, kinds)
+    return whole, starts, ends, hashes, counts
+
+
 def _hash_group(group: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     whole = np.frombuffer(b"\n".join(group) + b"\n", dtype=np.uint8)
     kind = kinds[whole]

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashtrail.llm import host_rules, maxscore, ngram_join, packing, piece_tokens, quality_model, sanitise, secret_scan
+from cashtrail.llm import host_rules, maxscore, mixing_lm, ngram_join, packing, piece_tokens, quality_model, sanitise, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [piece_tokens.op1_piece_tokens, quality_model.op3_quality_model, secret_scan.op4_secret_scan, sanitise.op5_sanitise, maxscore.op6_maxscore, ngram_join.op7_ngram_join, host_rules.op9_host_rules, maxscore, ngram_join, packing.op10_packing]
+    found = [piece_tokens.op1_piece_tokens, quality_model.op3_quality_model, secret_scan.op4_secret_scan, sanitise.op5_sanitise, maxscore.op6_maxscore, mixing_lm, ngram_join.op7_ngram_join, mixing_lm.op8_mixing_lm, host_rules.op9_host_rules, maxscore, mixing_lm, ngram_join, packing.op10_packing]
     return {q.__name__: q for q in found}
 
 

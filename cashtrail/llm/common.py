@@ -21,6 +21,13 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Stored, and sent to every executor if it is at most so many rows of a few numbers;
+    a larger one is joined by its key."""
+    kept = stored(df, "side")
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; none for a null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashtrail.llm.common import BLANKS, NOT_BLANK, documents, stored, words_of
+from cashtrail.llm.common import BLANKS, NOT_BLANK, documents, small_side, stored, words_of
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
@@ -95,7 +95,7 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", limit: flo
     """
     rows = measured(docs, text)
     rows = stored(rows if keep_text else rows.drop(text), "host-rules")
-    verdicts = host_verdicts(rows, host, limit).select("_host", "host_rate", "host_kept")
+    verdicts = small_side(host_verdicts(rows, host, limit).select("_host", "host_rate", "host_kept"), 100_000)
     out = rows.drop("host_rate", "host_kept", "kept").join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 

@@ -40,7 +40,7 @@ WORDS_BESIDE = 3  # terms on each side of an entity
 CHARS_BESIDE = 80  # they are looked for within so many characters
 TERM = r"[\p{L}][\p{L}\p{M}'-]{3,}"
 GENERALISE, REMOVE = 0.5, 0.9
-LEAST_TEXTS, LEAST_BITS = 3, 6.0
+LEAST_TEXTS, LEAST_BITS = 2, 6.0
 
 
 def _digits(value: Column) -> Column:

@@ -49,47 +49,6 @@ CLEAN_COLUMNS = tuple(CLEAN_SCHEMA.names)
 
 TARGETS = ("withdrawal_probability", "risk_score")
 
-NUMERIC_ROLE = (
-    "amount_lost",
-    "complaint_lat",
-    "complaint_lng",
-    "predicted_withdrawal_lat",
-    "predicted_withdrawal_lng",
-    "withdrawal_probability",
-    "risk_score",
-    "distance_km",
-    "hour",
-    "day_of_week",
-)
-CATEGORY_ROLE = (
-    "crime_type",
-    "urgency_level",
-    "complaint_city",
-    "complaint_state",
-    "status",
-    "reported_by",
-    "investigation_officer",
-    "bank_involved",
-    "alert_priority",
-    "is_weekend",
-    "is_peak_hours",
-)
-FEATURE_ROLE = (
-    "amount_lost",
-    "complaint_lat",
-    "complaint_lng",
-    "crime_type",
-    "urgency_level",
-    "complaint_city",
-    "complaint_state",
-    "distance_km",
-    "alert_priority",
-    "hour",
-    "day_of_week",
-    "is_weekend",
-    "is_peak_hours",
-)
-
 # The numeric columns a model is trained on, after feature engineering.
 MODEL_FEATURES = (
     "amount_lost",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cashtrail.functions import numbers
+
 # fixed values
 EARTH_RADIUS_KM = 6371.0
 KM_PER_DEGREE = 111.32
@@ -19,10 +21,12 @@ HIGH_RISK_JURISDICTIONS = ("mumbai", "delhi", "bangalore", "hyderabad")
 
 
 def haversine_km(lat_a: Column, lng_a: Column, lat_b: Column, lng_b: Column) -> Column:
+    """Great-circle distance; missing where a coordinate is."""
     half_lat = F.sin(F.radians(lat_b - lat_a) / 2)
     half_lng = F.sin(F.radians(lng_b - lng_a) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * half_lng * half_lng
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    distance = 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    return F.when(numbers.all_known(lat_a, lng_a, lat_b, lng_b), distance)
 
 
 def planar_km(lat_a: Column, lng_a: Column, lat_b: Column, lng_b: Column) -> Column:
@@ -31,8 +35,9 @@ def planar_km(lat_a: Column, lng_a: Column, lat_b: Column, lng_b: Column) -> Col
 
 
 def degrees_to_major_city(lat: Column, lng: Column) -> Column:
-    """Manhattan distance in degrees to the closest of the five city points."""
-    return F.least(*[F.abs(lat - y) + F.abs(lng - x) for _, y, x in MAJOR_CITY_POINTS])
+    """Manhattan distance in degrees to the closest of the five city points; missing without a place."""
+    closest = F.least(*[F.abs(lat - y) + F.abs(lng - x) for _, y, x in MAJOR_CITY_POINTS])
+    return F.when(numbers.all_known(lat, lng), closest)
 
 
 def city_factor(lat: Column, lng: Column) -> Column:
@@ -44,7 +49,8 @@ def city_factor(lat: Column, lng: Column) -> Column:
     small enough to be compiled.
     """
     half_degrees = F.least(F.floor(degrees_to_major_city(lat, lng) * 2), F.lit(2)).cast("int")
-    return F.get(F.array(F.lit(1.1), F.lit(1.05), F.lit(1.0)), half_degrees)
+    factor = F.get(F.array(F.lit(1.1), F.lit(1.05), F.lit(1.0)), half_degrees)
+    return F.when(numbers.all_known(lat, lng), factor)
 
 
 def in_major_city_box(lat: Column, lng: Column, half_side: float = 0.3) -> Column:

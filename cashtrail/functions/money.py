@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cashtrail.functions import numbers
+
 # fixed values
 RUPEES_PER_CRORE = 10_000_000
 URGENT_CRIMES = ("Cryptocurrency Fraud", "Digital Payment Fraud")
@@ -19,6 +21,8 @@ def fraction(percent: Column) -> Column:
 
 
 def alert_priority(risk: Column, amount: Column) -> Column:
+    """A missing number reaches no limit."""
+    risk, amount = numbers.known(risk), numbers.known(amount)
     return (
         F.when((risk >= 80) | (amount >= 100000), "High")
         .when((risk >= 60) & (amount >= 50000), "Medium")
@@ -27,7 +31,8 @@ def alert_priority(risk: Column, amount: Column) -> Column:
 
 
 def amount_risk_level(amount: Column) -> Column:
-    """Right-closed bands 1..4; null where the amount is not positive."""
+    """Right-closed bands 1..4; null where the amount is missing or not positive."""
+    amount = numbers.known(amount)
     return (
         F.when(amount <= 0, None)
         .when(amount <= 10000, 1)
@@ -39,10 +44,12 @@ def amount_risk_level(amount: Column) -> Column:
 
 
 def serving_amount_level(amount: Column) -> Column:
+    amount = numbers.known(amount)
     return F.when(amount > 100000, 2).when(amount > 50000, 1).otherwise(0)
 
 
 def urgency_level(amount: Column, crime: Column, urgent_crimes: tuple[str, ...] = URGENT_CRIMES) -> Column:
+    amount = numbers.known(amount)
     return (
         F.when((amount > 200000) | crime.isin(*urgent_crimes), "High")
         .when(amount > 50000, "Medium")
@@ -51,7 +58,8 @@ def urgency_level(amount: Column, crime: Column, urgent_crimes: tuple[str, ...]
 
 
 def requires_bank_alert(amount: Column, urgency: Column) -> Column:
-    return ((amount > 50000) | (urgency == "High")).cast("int")
+    large, urgent = F.coalesce(numbers.known(amount) > 50000, F.lit(False)), F.coalesce(urgency == "High", F.lit(False))
+    return (large | urgent).cast("int")
 
 
 def thousands(number: Column) -> Column:

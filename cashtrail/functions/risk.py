@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cashtrail.functions import geo
+from cashtrail.functions import geo, numbers
 
 # fixed values
 LATE_HOURS = (22, 23, 0, 1, 2, 3)
@@ -19,11 +19,12 @@ def regional_multiplier(state: Column) -> Column:
 
 
 def composite_risk(state_factor: Column, hour: Column, amount: Column, crime: Column) -> Column:
-    """Mean of four factors, at most 0.95 (unrounded)."""
+    """Mean of four factors, at most 0.95 (unrounded); missing if any input is."""
     late = F.when(hour.isin(*LATE_HOURS), 1.2).otherwise(0.8)
     large = F.when(amount > 100000, 1.3).otherwise(0.9)
     payment = F.when(crime.isin(*PAYMENT_CRIMES), 1.1).otherwise(0.95)
-    return F.least(F.lit(0.95), (state_factor + late + large + payment) / 4)
+    mean = F.least(F.lit(0.95), (state_factor + late + large + payment) / 4)
+    return F.when(numbers.all_known(state_factor, hour, amount) & crime.isNotNull(), mean)
 
 
 def composite_probability(risk: Column) -> Column:
@@ -35,7 +36,7 @@ def composite_score(risk: Column) -> Column:
 
 
 def _amount_share(amount: Column) -> Column:
-    return F.least(amount / F.lit(200000.0), F.lit(1.0))
+    return numbers.at_most(numbers.known(amount) / F.lit(200000.0), 1.0)
 
 
 def _by_urgency(urgency: Column, high: float, medium: float, low: float) -> Column:
@@ -68,7 +69,10 @@ def hour_factor(hour: Column) -> Column:
 def rule_probability(
     amount: Column, urgency: Column, hour: Column, day: Column, lat: Column, lng: Column
 ) -> Column:
-    """Withdrawal probability by rule, at most 0.95 (unrounded)."""
+    """Withdrawal probability by rule, at most 0.95 (unrounded).
+
+    Missing where the amount, the time or the place is; a missing urgency counts as one half.
+    """
     weekend = F.when(day >= 5, 0.9).otherwise(1.0)
     product = (
         _by_urgency(urgency, 0.75, 0.50, 0.25)
@@ -77,13 +81,13 @@ def rule_probability(
         * weekend
         * geo.city_factor(lat, lng)
     )
-    return F.least(product, F.lit(0.95))
+    return F.when(numbers.all_known(amount, hour, day, lat, lng), F.least(product, F.lit(0.95)))
 
 
 def hours_band(p: Column) -> tuple[Column, Column]:
     """Earliest hour, and the hour before which the withdrawal is expected."""
-    low = F.when(p > 0.8, 2).when(p > 0.6, 6).when(p > 0.4, 12).otherwise(24)
-    high = F.when(p > 0.8, 8).when(p > 0.6, 18).when(p > 0.4, 36).otherwise(72)
+    low = F.when(p > 0.8, 2).when(p > 0.6, 6).when(p > 0.4, 12).when(p.isNotNull(), 24)
+    high = F.when(p > 0.8, 8).when(p > 0.6, 18).when(p > 0.4, 36).when(p.isNotNull(), 72)
     return low, high
 
 
@@ -102,11 +106,11 @@ def scatter(centre: Column, reach: Column, draw: Column) -> Column:
 
 
 def risk_level(p: Column, high: float, medium: float) -> Column:
-    return F.when(p > high, "HIGH").when(p > medium, "MEDIUM").otherwise("LOW")
+    return F.when(p > high, "HIGH").when(p > medium, "MEDIUM").when(p.isNotNull(), "LOW")
 
 
 def confidence(p: Column) -> Column:
-    return F.least(p * 1.1, F.lit(1.0))
+    return numbers.at_most(p * 1.1, 1.0)
 
 
 def rule_radius_km(p: Column) -> Column:
@@ -118,16 +122,16 @@ def model_radius_km(p: Column) -> Column:
 
 
 def level_radius_km(level: Column) -> Column:
-    return F.when(level == "HIGH", 2.0).when(level == "MEDIUM", 5.0).otherwise(10.0)
+    return F.when(level == "HIGH", 2.0).when(level == "MEDIUM", 5.0).when(level.isNotNull(), 10.0)
 
 
 def clamp_probability(p: Column) -> Column:
-    return F.greatest(F.lit(0.1), F.least(p, F.lit(0.99)))
+    return numbers.between(numbers.known(p), 0.1, 0.99)
 
 
 def model_hours(p: Column) -> Column:
     """Lead time from a model's probability, truncated toward zero, 1 to 72."""
-    return F.greatest(F.lit(1), F.least((24 - p * 48).cast("int"), F.lit(72)))
+    return numbers.between((24 - numbers.known(p) * 48).cast("int"), 1, 72)
 
 
 def urgency_hours(p: Column, urgency: Column) -> Column:

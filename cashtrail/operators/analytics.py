@@ -45,7 +45,7 @@ def dataset_summary(df: DataFrame, high_risk_score: float = LIMITS.high_risk_sco
         F.count_distinct("complaint_city").alias("cities_covered"),
         numbers.exact_sum(F.col("amount_lost")).alias("total_amount_lost"),
         F.round(numbers.exact_mean(F.col("amount_lost"), numbers.MONEY), 4).alias("average_amount_lost"),
-        F.count_if(F.col("risk_score") > high_risk_score).alias("high_risk_cases"),
+        F.count_if(numbers.known(F.col("risk_score")) > high_risk_score).alias("high_risk_cases"),
     )
 
 

@@ -35,10 +35,6 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def numeric_only(df: DataFrame, exclude: Sequence[str] = TARGETS) -> DataFrame:
-    return df.select(*numeric_columns(df, exclude))
-
-
 def require_columns(df: DataFrame, columns: Sequence[str] = SCORING_INPUT) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -59,10 +55,6 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     )
 
 
-def without(df: DataFrame, *columns: str) -> DataFrame:
-    return df.drop(*columns)
-
-
 def where_equal(df: DataFrame, column: str, value: object) -> DataFrame:
     """Equality on a column or on a field nested in one."""
     return df.where(F.col(column) == value)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashtrail.functions import geo
-from cashtrail.operators.ordered import exact_medians
+from cashtrail.operators.ordered import kept, medians_of_counts
 
 
 def geo_error(
@@ -18,16 +18,26 @@ def geo_error(
     radii_km: tuple[float, ...] = (0.5, 1.0, 5.0),
     digits: int = 9,
 ) -> DataFrame:
-    """Mean and exact median distance, and the share of points within each radius."""
-    distance = F.round(geo.haversine_km(*[F.col(c) for c in (*truth, *guess)]), digits)
-    measured = df.select(F.lit("all").alias("scope"), distance.alias("km"))
-    within = [
-        (F.avg((F.col("km") <= r).cast("double")) * 100).alias(f"within_{f'{r:g}'.replace('.', '_')}_km_pct")
-        for r in radii_km
-    ]
-    facts = measured.groupBy("scope").agg(F.avg("km").alias("mean_km"), *within)
+    """Mean and exact median distance, and the share of points within each radius.
+
+    Points without a distance don't count. Distances are rounded to ``digits`` for
+    mean and median; the radius is held against the unrounded distance. All figures
+    come from the counts of the distinct distances, so the points are read once.
+    """
+    distance = geo.haversine_km(*[F.col(c) for c in (*truth, *guess)])
+    measured = df.select(F.lit("all").alias("scope"), distance.alias("_km")).where("_km IS NOT NULL")
+    inside = {f"within_{f'{r:g}'.replace('.', '_')}_km_pct": r for r in radii_km}
+    counted = measured.groupBy("scope", F.round("_km", digits).alias("km")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_km") <= r).alias(name) for name, r in inside.items()]
+    )
+    counted = kept(counted)
+    total = F.sum("n")
+    facts = counted.groupBy("scope").agg(
+        (F.sum(F.col("km") * F.col("n")) / total).alias("mean_km"),
+        *[(F.sum(name) / total * 100).alias(name) for name in inside],
+    )
     # one row each
-    return facts.join(F.broadcast(exact_medians(measured, "scope", "km")), "scope").drop("scope").withColumnRenamed(
+    return facts.join(F.broadcast(medians_of_counts(counted, "scope", "km")), "scope").drop("scope").withColumnRenamed(
         "median", "median_km"
     )
 

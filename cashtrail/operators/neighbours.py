@@ -47,8 +47,6 @@ SLACK = 1e-9
 
 MOST_PIVOTS = 512
 
-# Above this many blocks their list is joined by a shuffle instead.
-BROADCAST_BLOCKS = 200_000
 
 
 @dataclass(frozen=True)
@@ -266,8 +264,6 @@ def _search(queries: DataFrame, donors: DataFrame, blocks: Blocks, k: int, chunk
     shares = queries.groupBy("block").agg(
         F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")
     )
-    if len(blocks.low) <= BROADCAST_BLOCKS:  # one row per block
-        shares = F.broadcast(shares)
     spread = queries.join(shares, "block").withColumn(
         "chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")
     )

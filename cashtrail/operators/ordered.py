@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from cashtrail.session import shared_folder
 
 
+RANGE_ROWS = 50_000  # distinct values that one task sorts
+
+
 def _with_range(grouped: DataFrame, key: str, value: str, cuts: dict[str, list[float]]) -> DataFrame:
     """Add ``_range``, the position of the value among its own key's cut points."""
     position = F.lit(0)
@@ -26,21 +29,26 @@ def _with_range(grouped: DataFrame, key: str, value: str, cuts: dict[str, list[f
     return grouped.withColumn("_range", position).drop(*working)
 
 
+def kept(grouped: DataFrame) -> DataFrame:
+    """Counted values in the shared folder, so that they are not counted again."""
+    shared_folder(grouped.sparkSession)
+    return grouped.checkpoint()
+
+
 def running_totals(
-    grouped: DataFrame, key: str, value: str, measures: Sequence[str], buckets: int = 256
+    grouped: DataFrame, key: str, value: str, measures: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
     """Add ``<measure>_upto``, summed over all smaller or equal values, and ``<measure>_total``.
 
-    ``grouped`` has one row per (key, value), with few keys. Approximate
-    quantiles of the distinct values cut each key into ranges of similar size;
-    the cut points (keys x ``buckets`` numbers) are all that reaches the
-    driver. They only steer the work: any cut points give the same totals.
-
-    The distinct values are read three times below, so they are checkpointed
-    rather than counted again from the rows each time.
+    ``grouped`` has one row per (key, value), with few keys, and is kept already: it
+    is read three times. Approximate quantiles of the distinct values cut each key
+    into ranges of about ``RANGE_ROWS`` values; the cut points (keys x ranges numbers)
+    are all that reaches the driver. They only steer the work: any cut points give
+    the same totals.
     """
-    shared_folder(grouped.sparkSession)
-    grouped = grouped.checkpoint()
+    if buckets is None:
+        most = grouped.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        buckets = max(2, -(-most // RANGE_ROWS))
     shares = [i / buckets for i in range(1, buckets)]
     sampled = grouped.groupBy(key).agg(F.percentile_approx(value, shares, 10000).alias("cuts")).collect()
     cuts = {row[key]: sorted(set(row["cuts"])) for row in sampled}
@@ -57,8 +65,7 @@ def running_totals(
     )
     inside = Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"_{m}_here": F.sum(m).over(inside) for m in measures})
-    # keys x buckets rows at most
-    joined = local.join(F.broadcast(offsets), [key, "_range"])
+    joined = local.join(offsets, [key, "_range"])
     return joined.select(
         *grouped.columns,
         *[(F.col(f"_{m}_here") + F.col(f"_{m}_before")).alias(f"{m}_upto") for m in measures],
@@ -66,9 +73,15 @@ def running_totals(
     )
 
 
-def exact_medians(df: DataFrame, key: str, value: str, buckets: int = 256) -> DataFrame:
-    """Median of ``value`` per key: the mean of the two middle values."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+def exact_medians(df: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
+    """Median of ``value`` per key; values that are missing or no number don't count."""
+    numbers = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = numbers.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    return medians_of_counts(kept(counted), key, value, buckets)
+
+
+def medians_of_counts(counted: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
+    """Median per key, the mean of the two middle values, from kept rows (key, value, n)."""
     running = running_totals(counted, key, value, ["n"], buckets)
     lower = F.floor((F.col("n_total") + 1) / 2)
     upper = F.floor((F.col("n_total") + 2) / 2)

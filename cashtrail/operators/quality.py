@@ -18,7 +18,7 @@ from cashtrail.contract import (
     Limits,
 )
 from cashtrail.functions import numbers
-from cashtrail.operators.ordered import running_totals
+from cashtrail.operators.ordered import kept, running_totals
 
 REQUIRED_TARGETS = ("predicted_withdrawal_lat", "predicted_withdrawal_lng", "withdrawal_probability")
 
@@ -206,7 +206,7 @@ def ks_drift(
         .groupBy("column_name", "value")
         .agg(F.sum("in_base").alias("n_base"), F.sum(1 - F.col("in_base")).alias("n_current"))
     )
-    running = running_totals(counted, "column_name", "value", ["n_base", "n_current"], buckets)
+    running = running_totals(kept(counted), "column_name", "value", ["n_base", "n_current"], buckets)
     gap = F.abs(F.col("n_base_upto") / F.col("n_base_total") - F.col("n_current_upto") / F.col("n_current_total"))
     return (
         running.groupBy(

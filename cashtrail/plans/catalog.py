@@ -250,7 +250,7 @@ def schema_ops(spark, sf):
     rows = demo_tables.gappy_complaints(spark, sf)
     defaults = {"amount_lost": 0.0, "jurisdiction": "Unknown"}
     ready = rows.transform(clean.require_columns).transform(clean.fill_defaults, defaults)
-    ready = ready.where(F.col("bank_involved").isin("HDFC Bank", "ICICI Bank", "Axis Bank"))
+    ready = ready.where(F.col("bank_involved").isin("Harbour Bank", "Meadow Bank", "Summit Bank"))
     stamped = clean.default_timestamp(ready.drop("timestamp"), F.lit(AS_OF))
     numbers = clean.numeric_columns(stamped, exclude=contract.TARGETS)
     return stamped.select(
@@ -601,7 +601,7 @@ def recent_counts(spark, sf):
 
 @register
 def rolling_heatmap(spark, sf):
-    found = heatmap.rolling_heatmap(_log(spark, sf), 30, 0).withColumn("risk_score", F.round("risk_score", 6))
+    found = heatmap.rolling_heatmap(_log(spark, sf), 30, 2).withColumn("risk_score", F.round("risk_score", 6))
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
@@ -663,11 +663,65 @@ def csv_json_roundtrip(spark, sf):
     return shown[0].unionByName(shown[1])
 
 
+@register
+def json_array_roundtrip(spark, sf):
+    """Files of one JSON array each, a thousand complaints at most."""
+    folder = new_folder(spark, "arrays")
+    rows = demo_tables.complaints(spark, sf).transform(_text_time)
+    thousand = F.floor(F.substring("complaint_id", 7, 20).cast("bigint") / 1000)
+    whole = rows.groupBy(thousand.alias("thousand")).agg(F.collect_list(F.struct(*contract.RAW_COLUMNS)).alias("records"))
+    # a text file of one row is one array
+    texts = whole.select(F.to_json("records", {"ignoreNullFields": "false"}).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(f"{folder}/data.json")
+    found = readers.load_complaints(spark, f"{folder}/data")
+    return found.transform(_text_time).select("complaint_id", "timestamp", "crime_type", "amount_lost", "status")
+
+
+@register
+def score_gappy(spark, sf):
+    """Scores of complaints whose amount, place or time is missing or no number."""
+    rows = demo_tables.damaged_complaints(spark, sf).drop(*scoring.RESULT_COLUMNS[1:])
+    p = scoring.rule_probability()
+    low, high = risk.hours_band(p)
+    limits = contract.LIMITS
+    base = risk.base_risk(F.col("amount_lost"), F.col("urgency_level"))
+    return rows.select(
+        "complaint_id",
+        F.round(p, 3).alias("withdrawal_probability"),
+        low.alias("hours_from"),
+        high.alias("hours_before"),
+        risk.risk_level(p, limits.single_high, limits.single_medium).alias("risk_level"),
+        F.round(risk.confidence(p), 3).alias("confidence_score"),
+        F.round(base, 9).alias("base_risk"),
+        risk.model_hours(base).alias("model_hours"),
+        money.serving_amount_level(F.col("amount_lost")).alias("serving_level"),
+        money.amount_risk_level(F.col("amount_lost")).alias("amount_level"),
+        money.requires_bank_alert(F.col("amount_lost"), F.col("urgency_level")).alias("bank_alert"),
+        money.alert_priority(F.lit(0.0), F.col("amount_lost")).alias("priority"),
+    )
+
+
+@register
+def distance_gappy(spark, sf):
+    at = F.col("complaint_lat"), F.col("complaint_lng")
+    to = F.col("predicted_withdrawal_lat"), F.col("predicted_withdrawal_lng")
+    return demo_tables.damaged_complaints(spark, sf).select(
+        "complaint_id", F.round(geo.haversine_km(*at, *to), 4).alias("distance_km"), geo.city_factor(*at).alias("city_factor")
+    )
+
+
+@register
+def alerts_gappy(spark, sf):
+    """No alert without a probability."""
+    rows = demo_tables.damaged_complaints(spark, sf).drop(*scoring.RESULT_COLUMNS[1:])
+    return scoring.alerts(scoring.score(rows, high=ALERT_LIMIT)).select("alert_id", "complaint_id", "severity")
+
+
 @register
 def ingest_roundtrip(spark, sf):
     folder = new_folder(spark, "ingest")
     source = demo_tables.gappy_complaints(spark, sf)
-    source.write.options(**writers.CSV_OPTIONS).csv(f"{folder}/upload.csv")
+    source.repartition(3, "complaint_id").write.options(**writers.CSV_OPTIONS).csv(f"{folder}/upload.csv")
     writers.ingest(spark, f"{folder}/upload.csv", f"{folder}/published")
     return (
         readers.read_stage(spark, f"{folder}/published")

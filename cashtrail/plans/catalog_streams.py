@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from cashtrail import contract
 from cashtrail.functions import times
 from cashtrail.operators import scoring
-from cashtrail.plans.catalog import ALERT_LIMIT, recipient_role, register
+from cashtrail.plans.catalog import ALERT_LIMIT, AS_OF, recipient_role, register
 from cashtrail.session import new_folder
-from cashtrail.sources import demo_tables
+from cashtrail.sources import demo_tables, writers
 from cashtrail.streaming import alerts as alert_streams
 from cashtrail.streaming import rolling
 
@@ -58,21 +58,29 @@ def alert_log(spark, sf):
     return latest.withColumn("timestamp", times.iso_text(F.col("timestamp")))
 
 
+@register
+def notification_log(spark, sf):
+    """A batch and a stream write one log; what both wrote counts once."""
+    path, progress = _folders(spark, "notification-log")
+    rows = demo_tables.complaints(spark, sf).drop(*scoring.RESULT_COLUMNS[1:])
+    raised = scoring.alerts(scoring.score(rows, high=ALERT_LIMIT))
+    early = scoring.notifications(raised, recipient_role()).where(F.col("timestamp") < F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 10 DAYS"))
+    writers.append_notifications(early, path)
+    alert_streams.store_notifications(_alerts(spark, sf), recipient_role(), path, progress).awaitTermination()
+    latest = scoring.latest_notifications(alert_streams.read_notifications(spark, path), 50)
+    return latest.withColumn("timestamp", times.iso_text(F.col("timestamp")))
+
+
 @register
 def rolling_heatmap_stream(spark, sf):
     path, progress = _folders(spark, "heatmap")
-    rolling.store_windows(rolling.heatmap_windows(_log(spark, sf), 7, 0), path, progress).awaitTermination()
-    return spark.read.parquet(path).select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("window_start"),
-        "lat",
-        "lng",
-        F.round("risk_score", 6).alias("risk_score"),
-        "incident_count",
-    )
+    rolling.store_days(rolling.daily_cells(_log(spark, sf)), path, progress).awaitTermination()
+    found = rolling.heatmap_windows(spark, path).withColumn("risk_score", F.round("risk_score", 6))
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @register
 def rolling_counts_stream(spark, sf):
     path, progress = _folders(spark, "counts")
-    rolling.store_windows(rolling.count_windows(_log(spark, sf), 7), path, progress).awaitTermination()
-    return spark.read.parquet(path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    rolling.store_days(rolling.daily_counts(_log(spark, sf)), path, progress).awaitTermination()
+    return rolling.count_windows(spark, path, 7).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))

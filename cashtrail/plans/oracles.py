@@ -403,7 +403,7 @@ BODIES: dict[str, tuple[str, str]] = {
         """SELECT complaint_id, 'Unknown' AS jurisdiction, '2024-01-31T00:00:00' AS event_time,
         coalesce(amount_lost, 0.0::DOUBLE) AS x_amount_lost, complaint_lat AS x_complaint_lat, complaint_lng AS x_complaint_lng,
         predicted_withdrawal_lat AS x_predicted_withdrawal_lat, predicted_withdrawal_lng AS x_predicted_withdrawal_lng
-        FROM gappy WHERE bank_involved IN ('HDFC Bank', 'ICICI Bank', 'Axis Bank')""",
+        FROM gappy WHERE bank_involved IN ('Harbour Bank', 'Meadow Bank', 'Summit Bank')""",
     ),
     "urgent_cases": (
         "",
@@ -565,10 +565,10 @@ BODIES: dict[str, tuple[str, str]] = {
         f"SELECT target, feature, {rnd('r', 6)} AS r FROM pairs WHERE r IS NOT NULL AND NOT isnan(r) AND abs(r) > 0.1",
     ),
     "geo_error": (
-        f"measured AS (SELECT {rnd(_DIST, 4)} AS km FROM complaints)",
+        f"measured AS (SELECT {rnd(_DIST, 4)} AS km, {_DIST} AS d FROM complaints)",
         f"""SELECT {rnd("avg(km)", 4)} AS mean_km, {rnd("median(km)", 4)} AS median_km,
-        {rnd("avg(CAST(km <= 0.5 AS DOUBLE)) * 100", 4)} AS within_0_5_km_pct, {rnd("avg(CAST(km <= 1 AS DOUBLE)) * 100", 4)} AS within_1_km_pct,
-        {rnd("avg(CAST(km <= 5 AS DOUBLE)) * 100", 4)} AS within_5_km_pct, {rnd("avg(CAST(km <= 25 AS DOUBLE)) * 100", 4)} AS within_25_km_pct
+        {rnd("avg(CAST(d <= 0.5 AS DOUBLE)) * 100", 4)} AS within_0_5_km_pct, {rnd("avg(CAST(d <= 1 AS DOUBLE)) * 100", 4)} AS within_1_km_pct,
+        {rnd("avg(CAST(d <= 5 AS DOUBLE)) * 100", 4)} AS within_5_km_pct, {rnd("avg(CAST(d <= 25 AS DOUBLE)) * 100", 4)} AS within_25_km_pct
         FROM measured""",
     ),
     "regression_metrics": (
@@ -657,7 +657,7 @@ BODIES: dict[str, tuple[str, str]] = {
         WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-24 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'""",
     ),
     "rolling_heatmap": (
-        f"{_SCORED}, {_cells(0)}",
+        f"{_SCORED}, {_cells(2)}",
         f"""SELECT strftime(CAST("timestamp" AS DATE) - CAST(b.range AS INTEGER), '%Y-%m-%d') AS window_start, lat, lng,
         {_CELL_RISK} AS risk_score, count(*) AS incident_count FROM cells, range(30) b GROUP BY 1, lat, lng""",
     ),
@@ -750,9 +750,6 @@ BODIES |= {
     ),
 }
 
-# A stream emits a window once the latest time less one hour has passed its end.
-_CLOSED = """CAST("timestamp" AS DATE) - CAST(b.range AS INTEGER) + 7 <= (SELECT max("timestamp") - INTERVAL 1 HOUR FROM scored)"""
-
 BODIES |= {
     "alerts_stream": (
         _SCORED,
@@ -764,16 +761,45 @@ BODIES |= {
         f"SELECT {_ALERT_ID} AS alert_id, complaint_id FROM scored WHERE risk_level = 'HIGH' AND {_ROLE} IN ('bank', 'other')",
     ),
     "alert_log": BODIES["notifications"],
-    "rolling_heatmap_stream": (
-        f"{_SCORED}, {_cells(0)}",
-        f"""SELECT strftime(CAST("timestamp" AS DATE) - CAST(b.range AS INTEGER), '%Y-%m-%d') AS window_start, lat, lng,
-        {_CELL_RISK} AS risk_score, count(*) AS incident_count FROM cells, range(7) b WHERE {_CLOSED} GROUP BY 1, lat, lng""",
-    ),
-    "rolling_counts_stream": (
-        _SCORED,
-        f"""SELECT strftime(CAST("timestamp" AS DATE) - CAST(b.range AS INTEGER), '%Y-%m-%d') AS window_start, count(*) AS predictions,
-        count(*) FILTER (risk_level = 'HIGH') AS high_risk FROM scored, range(7) b WHERE {_CLOSED} GROUP BY 1""",
-    ),
+    "notification_log": BODIES["notifications"],
+    "rolling_heatmap_stream": BODIES["rolling_heatmap"],
+    "rolling_counts_stream": BODIES["rolling_counts"],
+}
+
+# What is no number counts as missing, and what depends on a missing input is missing.
+_DAMAGED = """damaged AS (SELECT * REPLACE (
+    CASE WHEN event_id % 17 > 1 THEN amount_lost END AS amount_lost, CASE WHEN event_id % 13 > 1 THEN complaint_lat END AS complaint_lat,
+    CASE WHEN event_id % 11 > 1 THEN predicted_withdrawal_lng END AS predicted_withdrawal_lng,
+    CASE WHEN event_id % 7 <> 0 THEN "timestamp" END AS "timestamp") FROM complaints)"""
+_DAMAGED_P = f"""{_DAMAGED}, ruled AS (SELECT *,
+    CASE WHEN amount_lost IS NOT NULL AND complaint_lat IS NOT NULL AND "timestamp" IS NOT NULL THEN {_rule()} END AS p,
+    CASE WHEN amount_lost IS NOT NULL THEN (least(amount_lost / 200000.0::DOUBLE, 1.0::DOUBLE) + {_urgency(0.8, 0.5, 0.2)}) / 2 END AS base
+    FROM damaged)"""
+
+BODIES |= {
+    "json_array_roundtrip": ("", f"""SELECT complaint_id, {_iso('"timestamp"')} AS "timestamp", crime_type, amount_lost, status FROM complaints"""),
+    "score_gappy": (
+        _DAMAGED_P,
+        f"""SELECT complaint_id, {rnd("p", 3)} AS withdrawal_probability,
+        CASE WHEN p > 0.8 THEN 2 WHEN p > 0.6 THEN 6 WHEN p > 0.4 THEN 12 WHEN p IS NOT NULL THEN 24 END AS hours_from,
+        CASE WHEN p > 0.8 THEN 8 WHEN p > 0.6 THEN 18 WHEN p > 0.4 THEN 36 WHEN p IS NOT NULL THEN 72 END AS hours_before,
+        CASE WHEN p > 0.7 THEN 'HIGH' WHEN p > 0.4 THEN 'MEDIUM' WHEN p IS NOT NULL THEN 'LOW' END AS risk_level,
+        CASE WHEN p IS NOT NULL THEN {rnd("least(p * 1.1::DOUBLE, 1.0::DOUBLE)", 3)} END AS confidence_score,
+        {rnd("base", 9)} AS base_risk,
+        CASE WHEN base IS NOT NULL THEN CAST(greatest(1, least(trunc(24 - base * 48), 72)) AS INTEGER) END AS model_hours,
+        CASE WHEN amount_lost > 100000 THEN 2 WHEN amount_lost > 50000 THEN 1 ELSE 0 END AS serving_level,
+        CASE WHEN amount_lost IS NOT NULL THEN {_AMOUNT_LEVEL} END AS amount_level,
+        {_flag("coalesce(amount_lost > 50000, false) OR urgency_level = 'High'")} AS bank_alert,
+        CASE WHEN amount_lost >= 100000 THEN 'High' ELSE 'Low' END AS priority FROM ruled""",
+    ),
+    "distance_gappy": (
+        _DAMAGED,
+        f"""SELECT complaint_id,
+        CASE WHEN complaint_lat IS NOT NULL AND predicted_withdrawal_lng IS NOT NULL THEN {rnd(_DIST, 4)} END AS distance_km,
+        CASE WHEN complaint_lat IS NULL THEN NULL WHEN {_CITY} < 0.5::DOUBLE THEN 1.1::DOUBLE
+             WHEN {_CITY} < 1.0::DOUBLE THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END AS city_factor FROM damaged""",
+    ),
+    "alerts_gappy": (_DAMAGED_P, f"SELECT {_ALERT_ID} AS alert_id, complaint_id, 'HIGH' AS severity FROM ruled WHERE p > 0.5::DOUBLE"),
 }
 
 

@@ -20,13 +20,15 @@ except ImportError:  # only YAML contracts need it
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, mode: str = "FAILFAST") -> DataFrame:
     """CSV with a header, whose columns may be some of the contract's, in any order.
 
-    Types come from the contract by name; a column it does not know is text.
+    Types come from the contract by name; a column it does not know is text. Every
+    file's header is checked: files of one path must agree on the order.
     """
     header = spark.read.option("header", True).csv(path).columns
     typed = T.StructType(
         [schema[name] if name in schema.names else T.StructField(name, T.StringType()) for name in header]
     )
-    return spark.read.schema(typed).option("header", True).option("mode", mode).csv(path)
+    reader = spark.read.schema(typed).option("header", True).option("enforceSchema", False)
+    return reader.option("mode", mode).csv(path)
 
 
 def read_json(
@@ -44,19 +46,37 @@ def read_json(
     return spark.read.schema(schema).option("multiLine", array).option("mode", mode).json(path)
 
 
-def load_complaints(spark: SparkSession, base: str) -> DataFrame:
+def _holds_array(spark: SparkSession, path: str) -> bool:
+    """Does every file hold one array? Files of both forms are an error.
+
+    Only files that start with a bracket are looked through, for lines of records;
+    one character of a file and two flags reach the driver.
+    """
+    lines = spark.read.text(path).select(F.ltrim("value").alias("line")).where("line <> ''")
+    first = lines.select(F.substring("line", 1, 1).alias("c")).limit(1).collect()
+    if not first or first[0]["c"] != "[":
+        return False
+    mark = F.substring("line", 1, 1)
+    files = spark.read.text(path).select(F.ltrim("value").alias("line"), F.input_file_name().alias("file")).where("line <> ''")
+    whole = files.groupBy("file").agg(F.bool_or(mark == "[").alias("opens"))
+    if whole.where(~F.col("opens")).limit(1).collect():
+        raise ValueError(f"{path} holds arrays and lines of records: read each form by itself")
+    return True
+
+
+def load_complaints(spark: SparkSession, base: str, array: bool | None = None) -> DataFrame:
     """``base.json`` if it is there, otherwise ``base.csv``; neither is an error.
 
-    The JSON may be one array or one record per line; its first line tells.
+    ``array`` says whether a JSON file is one array or one record per line; without
+    it the files are looked at.
     """
     try:
-        start = spark.read.text(base + ".json").where("trim(value) <> ''").limit(1).collect()
+        is_array = _holds_array(spark, base + ".json") if array is None else array
+        return read_json(spark, base + ".json", array=is_array)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return read_csv(spark, base + ".csv")
-    is_array = bool(start) and start[0]["value"].lstrip().startswith("[")
-    return read_json(spark, base + ".json", array=is_array)
 
 
 # Column types a YAML contract may name.

@@ -59,14 +59,11 @@ def json_records(df: DataFrame, column: str = "record") -> DataFrame:
 
 
 def export_both(df: DataFrame, base: str) -> tuple[str, str]:
-    """Write the table as JSON lines and as CSV; the rows are computed once."""
+    """Write the table as JSON lines and as CSV; the rows are computed once, for the first."""
     json_path, csv_path = base + ".json", base + ".csv"
-    kept = df.persist()
-    try:
-        kept.write.mode("overwrite").options(**JSON_OPTIONS).json(json_path)
-        kept.write.mode("overwrite").options(**CSV_OPTIONS).csv(csv_path)
-    finally:
-        kept.unpersist()
+    df.write.mode("overwrite").options(**JSON_OPTIONS).json(json_path)
+    lines = df.sparkSession.read.schema(df.schema).option("mode", "FAILFAST").json(json_path)
+    lines.write.mode("overwrite").options(**CSV_OPTIONS).csv(csv_path)
     return json_path, csv_path
 
 
@@ -77,8 +74,16 @@ def append_prediction_log(log: DataFrame, path: str) -> None:
 
 
 def append_notifications(log: DataFrame, path: str) -> int:
-    """Append to the notification log; returns the rows added."""
-    return append_table(log.select(*NOTIFICATION_COLUMNS), path)
+    """Append to the notification log, one folder per day; returns the rows added.
+
+    Batches and streams write the same layout. What is written twice, by a batch
+    that ran again or a stream that lost its checkpoint, counts once on reading.
+    """
+    seen = Observation("notified")
+    dated = log.select(*NOTIFICATION_COLUMNS).withColumn("log_date", F.to_date("timestamp"))
+    counted = evenly(dated.observe(seen, F.count(F.lit(1)).alias("rows")), "log_date")
+    counted.write.mode("append").partitionBy("log_date").parquet(path)
+    return seen.get["rows"]
 
 
 def write_report(report: DataFrame, path: str) -> None:

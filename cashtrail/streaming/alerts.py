@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cashtrail.contract import LIMITS, RAW_SCHEMA, Limits
 from cashtrail.operators import scoring
+from cashtrail.sources import writers
 
 
 def read_complaints(
@@ -54,14 +55,10 @@ def store_routed(alerts: DataFrame, role: Column, path: str, checkpoint: str) ->
 
 
 def store_notifications(alerts: DataFrame, role: Column, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a notification log with one folder per micro-batch.
-
-    A batch that is run again after a failure replaces its own folder, so no
-    notification is written twice.
-    """
+    """Append to the notification log that batches write to as well."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        writers.append_notifications(batch, path)
 
     return (
         scoring.notifications(alerts, role)
@@ -73,7 +70,8 @@ def store_notifications(alerts: DataFrame, role: Column, path: str, checkpoint:
 
 
 def read_notifications(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch_id")
+    """The log with each alert once, however often it was written."""
+    return spark.read.parquet(path).drop("log_date").dropDuplicates(["alert_id"])
 
 
 def recipients(spark: SparkSession, path: str, role: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Sliding windows over the prediction stream.
 
-Rows are first added up per day, and the long windows are added up from days.
-The state holds one row per day and cell, not one per row and window, and each
-row is counted once instead of once per window it falls in. Rows later than the
-watermark are dropped; a window is emitted when the watermark passes its end.
+The stream adds rows up per day; the state holds one row per day and cell. Each
+micro-batch hands on the days it changed, open ones included, to a table where the
+latest total of a key counts. Windows of any length are added up from the days when
+they are read, so they are complete at any time and a row is counted once and not
+once per window. Rows later than the watermark are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,8 +20,9 @@ from cashtrail.functions import geo, numbers
 WATERMARK = "1 hour"
 
 
-def heatmap_windows(log: DataFrame, days: int = 30, digits: int = 2, watermark: str = WATERMARK) -> DataFrame:
-    daily = (
+def daily_cells(log: DataFrame, digits: int = 2, watermark: str = WATERMARK) -> DataFrame:
+    """Sum of probabilities and incidents by day and cell."""
+    return (
         log.withWatermark("timestamp", watermark)
         .groupBy(
             F.window("timestamp", "1 day").alias("day"),
@@ -29,40 +33,58 @@ def heatmap_windows(log: DataFrame, days: int = 30, digits: int = 2, watermark:
             F.sum(F.col("prediction.withdrawal_probability").cast(numbers.SCORE)).alias("p_sum"),
             F.count(F.lit(1)).alias("incidents"),
         )
-    )
-    summed = daily.groupBy(F.window("day", f"{days} days", "1 day").alias("span"), "lat", "lng").agg(
-        F.sum("p_sum").alias("p_sum"), F.sum("incidents").alias("incident_count")
-    )
-    return summed.select(
-        F.col("span.start").alias("window_start"),
-        "lat",
-        "lng",
-        (F.col("p_sum").cast("double") / F.col("incident_count")).alias("risk_score"),
-        "incident_count",
+        .withColumn("day", F.col("day.start"))
     )
 
 
-def count_windows(log: DataFrame, days: int = 7, watermark: str = WATERMARK) -> DataFrame:
-    daily = (
+def daily_counts(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Predictions, and those of a high risk, by day."""
+    return (
         log.withWatermark("timestamp", watermark)
         .groupBy(F.window("timestamp", "1 day").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("predictions"),
             F.count_if(F.col("prediction.risk_level") == "HIGH").alias("high_risk"),
         )
+        .withColumn("day", F.col("day.start"))
     )
-    summed = daily.groupBy(F.window("day", f"{days} days", "1 day").alias("span")).agg(
-        F.sum("predictions").alias("predictions"), F.sum("high_risk").alias("high_risk")
-    )
-    return summed.select(F.col("span.start").alias("window_start"), "predictions", "high_risk")
 
 
-def store_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def store_days(days: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the totals that each batch changed; a batch that runs again repeats them."""
+    started = time.time_ns()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumns({"run": F.lit(started), "batch_id": F.lit(batch_id)}).write.mode("append").parquet(path)
+
     return (
-        windows.writeStream.format("parquet")
-        .option("path", path)
+        days.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_days(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
+    """The latest totals of each key."""
+    rows = spark.read.parquet(path)
+    totals = [c for c in rows.columns if c not in (*keys, "run", "batch_id")]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*totals), F.struct("run", "batch_id")).alias("_latest"))
+    return latest.select(*keys, "_latest.*")
+
+
+def _spans(days: DataFrame, length: int) -> DataFrame:
+    return days.withColumn("window_start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.date_sub(F.to_date("day"), i))))
+
+
+def heatmap_windows(spark: SparkSession, path: str, days: int = 30) -> DataFrame:
+    spans = _spans(read_days(spark, path, ("day", "lat", "lng")), days)
+    summed = spans.groupBy("window_start", "lat", "lng").agg(F.sum("p_sum").alias("p_sum"), F.sum("incidents").alias("incident_count"))
+    risk = F.col("p_sum").cast("double") / F.col("incident_count")
+    return summed.select("window_start", "lat", "lng", risk.alias("risk_score"), "incident_count")
+
+
+def count_windows(spark: SparkSession, path: str, days: int = 7) -> DataFrame:
+    spans = _spans(read_days(spark, path, ("day",)), days)
+    return spans.groupBy("window_start").agg(F.sum("predictions").alias("predictions"), F.sum("high_risk").alias("high_risk"))

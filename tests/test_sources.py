@@ -121,3 +121,24 @@ def test_bulk_output_folder(spark, complaints, folder):
     page = scoring.result_page(scored)
     assert page.columns == list(scoring.PAGE_COLUMNS) and page.count() == 10
     assert scoring.result_page(scored, None).count() == complaints.count()
+
+
+def test_files_with_another_column_order_fail(spark, tmp_path):
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("crime_type,status\nPhishing,Open\n")
+    (tmp_path / "two" / "b.csv").write_text("status,crime_type\nOpen,Phishing\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path / "two")).collect()
+
+
+def test_one_line_arrays_and_mixed_folders(spark, tmp_path):
+    records = [{"complaint_id": str(i), "amount_lost": float(i)} for i in range(5000)]
+    (tmp_path / "one.json").write_text(json.dumps(records))
+    assert readers.load_complaints(spark, str(tmp_path / "one")).count() == 5000
+    (tmp_path / "mixed.json").mkdir()
+    (tmp_path / "mixed.json" / "a").write_text(json.dumps(records[:2]))
+    (tmp_path / "mixed.json" / "b").write_text("\n".join(map(json.dumps, records[:2])))
+    with pytest.raises(Exception):
+        readers.load_complaints(spark, str(tmp_path / "mixed")).collect()
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, records[:3])))
+    assert readers.load_complaints(spark, str(tmp_path / "lines"), array=False).count() == 3

@@ -46,4 +46,12 @@ def test_forgetting_parts_changes_nothing(monkeypatch):
     texts = [f"word{i % 7} and{i % 5} more{i}" for i in range(40)]
     for _ in range(2):
         for t in texts:
-            assert list(vocabulary.encode_batch([t])) == [vocabulary.library.encode(t)]
+            (found,) = vocabulary.encode_batch([t])
+            assert found == (vocabulary.library.encode(t), ",".join(map(str, vocabulary.library.encode(t))))
+
+
+def test_both_agendas_agree():
+    vocabulary, draw = piece_tokens.Vocabulary.of(PATH), random.Random(11)
+    for length in (1, 2, 7, 20):
+        parts = ["".join(draw.choices("abcdething▁▁日ß😀\x00é", k=length)) for _ in range(300)]
+        assert vocabulary.merged_together(parts) == [vocabulary.merged(p) for p in parts]

@@ -14,7 +14,7 @@ from cashtrail.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 HAND = [
     None, "", " ", "\n\n", "It's a Test.  Don't!", "É é é", "a b c", "日本 語。", "<|endoftext|> x<|startoftext|>y", "ΑΣ ΟΔΟΣ", "x" * 9000,
-    "word " * 7000, "3.14 2,5 1e9 ...!!!", "\U0001f600 z　w\x0bq\x0ct", "'s 're ll'd don'", "end. End! end? " * 3000,
+    "word " * 7000, "3.14 2,5 1e9 ...!!!", "<|ENDOFTEXT|>, a, B. <|endoftext|>.", "×, ÷. é, É. ñ., x÷, ß, ÿ. Ā, ﬁ. a's, 's, . , .,", "\U0001f600 z　w\x0bq\x0ct", "'s 're ll'd don'", "end. End! end? " * 3000, "İstanbul. ŒUVRE, ŒUVRE,, a., 1. é, É. ǅ. ŉ, ß. ẞ, K. Å,",
 ]
 
 
@@ -99,3 +99,14 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = packing.packed(df.coalesce(1), PATH, with_ids=True).collect()
     assert sorted((r["doc_id"] or 0, len(r["ids"])) for r in rows) == [(0, 2), (0, 2), (1, 1), (1, 1)]
     assert packing.packed(df.filter("doc_id = 4"), PATH).count() == 0
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_STEMS", 3)
+    tokens = packing.WordTokens(PATH)
+    texts = [f"Word{i % 7}, and. more{'x' * i}" for i in range(30)]
+    for text, ids in zip(texts, tokens.batch(texts)):
+        assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    for text in texts:
+        (ids,) = tokens.batch([text])
+        assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids

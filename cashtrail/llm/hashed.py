@@ -49,28 +49,25 @@ def word_hashes(texts: list[str | None], kinds: np.ndarray, lower: bool = False)
             group, size = [], 0
 
 
-def word_places(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, lower-cased, and of each word start, end and hash; the words of each text."""
-    group = [(t or "").encode().lower() for t in texts]
-    kinds = classes(False)
-    whole = np.frombuffer(b"\n".join(group) + b"\n", dtype=np.uint8)
-    full = kinds[whole] > 0
+def joined(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, a line end behind each, A-Z lower-cased or not; where each text ends."""
+    group = [(t or "").encode() for t in texts]
+    whole = b"\n".join(group) + b"\n"
+    ends = np.cumsum([len(g) + 1 for g in group])
+    return np.frombuffer(whole.lower() if lower else whole, dtype=np.uint8), ends
+
+
+def word_ranges(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last byte of each word."""
+    full = classes(False)[whole] > 0
     starts = np.flatnonzero(full & np.concatenate([[True], ~full[:-1]]))
-    ends = np.flatnonzero(full & np.concatenate([~full[1:], [True]])) + 1
-    hashes, counts = _hash_group(group, kinds)
-    return whole, starts, ends, hashes, counts
+    return starts, np.flatnonzero(full & np.concatenate([~full[1:], [True]])) + 1
 
 
-def _hash_group(group: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    whole = np.frombuffer(b"\n".join(group) + b"\n", dtype=np.uint8)
-    kind = kinds[whole]
-    first = kind != 0
-    first[1:] &= kind[1:] != kind[:-1]
-    starts = np.flatnonzero(first)
-    ends = np.cumsum([len(g) + 1 for g in group])
-    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+def range_hashes(whole: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Hashes of the words that start there and reach to the next blank or start."""
     if not len(starts):
-        return np.empty(0, dtype=np.uint64), counts
+        return np.empty(0, dtype=np.uint64)
     spans = np.diff(np.append(starts, len(whole)))
     place = np.arange(starts[0], len(whole)) - np.repeat(starts, spans)
     powers = np.full(int(place.max()) + 1, _BASE)
@@ -79,7 +76,25 @@ def _hash_group(group: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.n
     with np.errstate(over="ignore"):
         powers = np.multiply.accumulate(powers)
         terms = values[whole[starts[0] :]] * powers[place]
-        return mixed(np.add.reduceat(terms, starts - starts[0])), counts
+        return mixed(np.add.reduceat(terms, starts - starts[0]))
+
+
+def word_places(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, lower-cased, and of each word start, end and hash; the words of each text."""
+    whole, text_ends = joined(texts)
+    starts, ends = word_ranges(whole)
+    counts = np.diff(np.searchsorted(starts, text_ends), prepend=0)
+    return whole, starts, ends, range_hashes(whole, starts, classes(False)), counts
+
+
+def _hash_group(group: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    whole = np.frombuffer(b"\n".join(group) + b"\n", dtype=np.uint8)
+    kind = kinds[whole]
+    first = kind != 0
+    first[1:] &= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(first)
+    ends = np.cumsum([len(g) + 1 for g in group])
+    return range_hashes(whole, starts, kinds), np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def sequences(words: np.ndarray, size: int) -> np.ndarray:

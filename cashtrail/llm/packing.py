@@ -22,15 +22,17 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from cashtrail.llm.common import documents
+from cashtrail.llm.hashed import classes, joined, range_hashes, word_ranges
 
 LENGTH = 2048
 END_ID = 1
@@ -38,14 +40,35 @@ STRETCH = 1 << 19  # tokens that are planned together
 OPENING = 24  # price of a sequence beside its padding, in tokens
 SENTENCE_CUT, FORCED_CUT = 12, 400  # price of a cut inside a document
 FORCED_STEP = 64
-KEPT_WORDS = 200_000
+KEPT_STEMS = 600_000
+RUN = 4_000_000  # characters whose equal words are looked up once
+MARKS = (",", ".")
+MARK_BYTES = np.frombuffer("".join(MARKS).encode(), dtype=np.uint8)  # in order
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Rows(dict):
+    """Numbers for texts in the order they turn up; ``new`` lists those not seen before."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self[text] = row = len(self)
+        self.new.append(text)
+        return row
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
 class WordTokens:
-    """Ids of a tokenizer that never looks across a space or line end.
+    """Ids of a tokenizer that lower-cases and never looks across a space or line end.
 
-    Words are encoded once and remembered in two generations of bounded size.
+    Every word is a stem and perhaps a mark behind it: a mark behind a letter, at the
+    end of a word, is a token of its own. Equal stems of a run of texts are looked up
+    once; the ids of the stems are remembered, up to a bounded number.
     """
 
     _loaded: dict[str, WordTokens] = {}
@@ -70,41 +93,87 @@ class WordTokens:
             for ids in self._encode([word, f'{word}"', f"{word})", word * 2, word * 3]):
                 if len(ids) == 1:
                     self.sentence_ends[ids[0]] = True
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def _encode(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.young) > KEPT_WORDS:
-            self.old, self.young = self.young, {}
-        new = []
-        for word in words:
-            if word not in self.young:
-                known = self.old.get(word)
-                if known is None:
-                    new.append(word)
-                else:
-                    self.young[word] = known
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.young.update(zip(part, self._encode(part)))
-
-    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        marks = self._encode(list(MARKS))
+        if any(len(ids) != 1 for ids in marks):
+            raise ValueError("a mark must be one token")
+        self.marks = np.array([0, *[ids[0] for ids in marks]], dtype=np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.stems = _Rows()
+        self.starts = np.zeros(0, dtype=np.int64)  # of each stem, in the ids
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.uint32)
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_letters(self, stems: list[str]) -> Iterator[list[int]]:
+        """Words of letters, many to a call: the tokenizer says which token is of which word."""
+        runs = [stems[at : at + 500] for at in range(0, len(stems), 500)]
+        for run, found in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids, ends = found.ids, np.searchsorted(found.word_ids, np.arange(len(run)), side="right").tolist()
+            yield from (ids[a:b] for a, b in zip([0, *ends], ends))
+
+    def _learn(self) -> None:
+        """Take the stems that turned up into the tables."""
+        fresh = self.stems.taken()
+        # Latin letters are one word to the tokenizer ("\u0130" is no single letter in lower case)
+        plain = [s.isascii() and s.isalpha() or s.isalpha() and max(s) < "\u0250" and "\u0130" not in s for s in fresh]
+        letters = self._encode_letters([s for s, p in zip(fresh, plain) if p])
+        other = iter(self._encode([s for s, p in zip(fresh, plain) if not p]))
+        found = [next(letters) if p else next(other) for p in plain]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))])
+
+    def batch(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
         group, size = [], 0
         for text in chain(texts, [None]):
             if text is not None:
-                group.append(text.replace("\n", " ").split(" "))
-                size += len(group[-1])
-            if text is None or size > 200_000:
-                self.learn(set(chain.from_iterable(group)))
-                get = self.young.__getitem__
-                for words in group:
-                    yield np.fromiter(chain.from_iterable(map(get, words)), dtype=np.uint32)
+                group.append(text)
+                size += len(text)
+            if (text is None and group) or size > RUN:
+                yield from self._ids_of(group)
                 group, size = [], 0
 
+    def _ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.stems) > KEPT_STEMS:
+            self._forget()
+        special = any("<|" in t for t in texts)  # names of special tokens are not lower-cased
+        whole, text_ends = joined(texts, lower=not special)
+        starts, ends = word_ranges(whole)
+        words_of = np.diff(np.searchsorted(starts, text_ends), prepend=0)
+        last = np.maximum(ends - 1, 1)
+        before, further = whole[last - 1], whole[np.maximum(last - 2, 0)]
+        letter = (before >= 97) & (before <= 122) | (further == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        marks = np.searchsorted(MARK_BYTES, whole[last]) + 1
+        marks = np.where(letter & (ends - starts > 1) & np.isin(whole[last], MARK_BYTES) & (not special), marks, 0)
+        marked = np.flatnonzero(marks)
+        stems = whole.copy()
+        stems[ends[marked] - 1] = 32
+        word, distinct = pd.factorize(range_hashes(stems, starts, classes(False)))
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[word[::-1]] = np.arange(len(word))[::-1]
+        data = stems.tobytes()
+        stops = (ends - (marks > 0))[first].tolist()
+        spelt = (data[a:b].decode() for a, b in zip(starts[first].tolist(), stops))
+        rows = np.fromiter(map(self.stems.__getitem__, spelt), dtype=np.int64, count=len(distinct))
+        if self.stems.new:
+            self._learn()
+        rows = rows[word]
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes + (marks > 0))
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+        inside = np.ones(len(out), dtype=bool)
+        inside[ends[marked] - 1] = False
+        before = np.cumsum(sizes) - sizes
+        out[inside] = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - before, sizes)]
+        out[ends[marked] - 1] = self.marks[marks[marked]]
+        return np.split(out, np.append(0, ends)[np.cumsum(words_of)][:-1])
+
 
 def cut_places(lengths: np.ndarray, inner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut and the price of each, from 0 to the end.
@@ -134,8 +203,17 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> lis
     p, c = places.tolist(), cost.tolist()
     n = len(p)
     best, back = [0] * n, [0] * n
-    index = {x: i for i, x in enumerate(p)}
+    # (j, i) where the length from i to j is a power of two, by j
     powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
+    pairs = []
+    for power in powers:
+        at = np.minimum(np.searchsorted(places, places - power), n - 1)
+        fits = np.flatnonzero(places[at] == places - power)
+        pairs.append(np.stack([fits, at[fits]], axis=1))
+    exact = np.concatenate(pairs)
+    exact = exact[np.argsort(exact[:, 0], kind="stable")]
+    firsts = np.searchsorted(exact[:, 0], np.arange(n + 1)).tolist()
+    exact_from = exact[:, 1].tolist()
     keys = [0] * n  # best[i] + p[i]
     queue: deque[int] = deque([0])
     keys[0] = p[0]
@@ -144,11 +222,10 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> lis
         least = here - length
         while p[queue[0]] < least:
             queue.popleft()
-        i = queue[0]
-        value, came = keys[i] + length - here, i
-        for power in powers:
-            i = index.get(here - power)
-            if i is not None and best[i] < value:
+        came = queue[0]
+        value = keys[came] + length - here
+        for i in exact_from[firsts[j] : firsts[j + 1]]:
+            if best[i] < value:
                 value, came = best[i], i
         value += OPENING + c[j]
         best[j], back[j] = value, came

@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
@@ -27,7 +28,7 @@ from cashtrail.contract import LIMITS, TARGETS, Limits
 from cashtrail.operators import adaboost, splits
 from cashtrail.operators.metrics import regression_metrics
 from cashtrail.operators.neighbours import knn_predict
-from cashtrail.sources.writers import save_model
+from cashtrail.sources.writers import load_model, save_model
 
 SEED = 42
 KEY = "complaint_id"
@@ -48,11 +49,17 @@ class PerTarget:
             df = model.transform(df).withColumnRenamed("prediction", hat(target))
         return df
 
-
     def save(self, path: str) -> None:
         """One folder per target; boosted trees keep a folder per tree."""
+        kinds = []
         for target, model in self.models.items():
             save_model(model, f"{path}/{target}")
+            kinds.append((target, type(model).__module__, type(model).__name__, 0))
+        _write_parts(path, kinds)
+
+    @classmethod
+    def load(cls, path: str, parts: Sequence) -> PerTarget:
+        return cls({p["part"]: load_model(getattr(import_module(p["module"]), p["kind"]), f"{path}/{p['part']}") for p in parts})
 
 
 class Nearest:
@@ -75,6 +82,29 @@ class Nearest:
         asked, _ = self._flat(df)
         return knn_predict(asked, train, names, self.targets, self.k, KEY).drop(*names)
 
+    def save(self, path: str) -> None:
+        """The training rows; their number of neighbours goes with the parts."""
+        self.train.select(KEY, "features", *self.targets).write.mode("overwrite").parquet(f"{path}/rows")
+        _write_parts(path, [(t, __name__, "Nearest", self.k) for t in self.targets])
+
+    @classmethod
+    def load(cls, path: str, parts: Sequence) -> Nearest:
+        rows = SparkSession.getActiveSession().read.parquet(f"{path}/rows")
+        return cls(rows, [p["part"] for p in parts], parts[0]["neighbours"])
+
+
+def _write_parts(path: str, parts: Sequence[tuple]) -> None:
+    rows = [(i, *part) for i, part in enumerate(parts)]
+    schema = "position int, part string, module string, kind string, neighbours int"
+    SparkSession.getActiveSession().createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/parts")
+
+
+def load(spark: SparkSession, path: str) -> PerTarget | Nearest:
+    """A stored model of any kind; one row per target says what it is made of."""
+    parts = spark.read.parquet(f"{path}/parts").orderBy("position").collect()
+    kind = Nearest if parts[0]["kind"] == "Nearest" else PerTarget
+    return kind.load(path, parts)
+
 
 Fitter = Callable[[DataFrame, Sequence[str], dict], object]
 

@@ -442,30 +442,25 @@ def knn_impute(
 
     parts = []
     for mine in asked_patterns:
-        for i, target in enumerate(features):
-            if not mine >> i & 1:
+        for theirs in held_patterns:
+            shared = [f for j, f in enumerate(features) if not (mine | theirs) >> j & 1]
+            offered = [f for j, f in enumerate(features) if mine >> j & 1 and not theirs >> j & 1]
+            if not shared or not offered:
                 continue
-            for theirs in held_patterns:
-                shared = [f for j, f in enumerate(features) if not (mine | theirs) >> j & 1]
-                if theirs >> i & 1 or not shared:
-                    continue
-                found = nearest(
-                    asked.where(F.col("_gaps") == mine),
-                    held.where(F.col("_gaps") == theirs),
-                    shared,
-                    k,
-                    key,
-                    payload=[target],
-                )
-                parts.append(
-                    found.select(
-                        "query_id",
-                        "donor_id",
-                        F.lit(target).alias("feature"),
-                        (F.col("distance2") * (len(features) / len(shared))).alias("distance2"),
-                        F.col("payload")[0].alias("value"),
-                    )
+            # the search does not depend on what is filled: one serves all features
+            found = nearest(
+                asked.where(F.col("_gaps") == mine), held.where(F.col("_gaps") == theirs), shared, k, key, payload=offered
+            )
+            named = [F.struct(F.lit(f).alias("feature"), F.col("payload")[i].alias("value")) for i, f in enumerate(offered)]
+            parts.append(
+                found.withColumn("_fill", F.explode(F.array(*named))).select(
+                    "query_id",
+                    "donor_id",
+                    F.col("_fill.feature").alias("feature"),
+                    (F.col("distance2") * (len(features) / len(shared))).alias("distance2"),
+                    F.col("_fill.value").alias("value"),
                 )
+            )
     means = fitted_on.agg(*[F.avg(numbers.known(F.col(c))).alias(c) for c in features])
     filled = asked.drop("_gaps")
     if not parts:

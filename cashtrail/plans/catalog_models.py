@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cashtrail import contract
 from cashtrail.operators import clean, learn, neighbours, splits
+from cashtrail.plans import training
 from cashtrail.plans.catalog import register
 from cashtrail.session import new_folder
 from cashtrail.sources import demo_tables, readers, writers
@@ -91,6 +92,21 @@ def model_roundtrip(spark, sf):
     return scored.select("complaint_id", F.round("prediction", 4).alias("prediction"))
 
 
+@register
+def model_bulk_score(spark, sf):
+    """Train on one feature, store the run, load it and score the whole table with it."""
+    rows = _rows(spark, sf)
+    stages = training.Stages(new_folder(spark, "run"), "2024-01-31")
+    writers.write_split(splits.with_split(rows), stages.split)
+    training.transform_stage(spark, stages, ("amount_lost",))
+    train = readers.read_stage(spark, f"{stages.matrix}_train")
+    learn.learner("Linear Regression").fit(train, contract.TARGETS, {}).save(stages.model)
+    scored = training.load_run(spark, stages.base, stages.run_ts).bulk_score(rows)
+    return scored.select(
+        "complaint_id", "withdrawal_probability", "predicted_hours_to_withdrawal", "risk_level", "confidence_score", "alert_radius_km"
+    )
+
+
 def _scores(spark, sf, *learners):
     table, _ = learn.evaluate(*_frames(spark, sf), learners=learners)
     return table

@@ -803,6 +803,21 @@ BODIES |= {
 }
 
 
+BODIES |= {
+    "model_bulk_score": (
+        f"""line AS (SELECT regr_slope(withdrawal_probability, amount_lost) AS slope, regr_intercept(withdrawal_probability, amount_lost) AS base
+          FROM complaints WHERE NOT ({_TEST})),
+        guessed AS (SELECT complaint_id, base + slope * amount_lost AS raw, greatest(0.1::DOUBLE, least(base + slope * amount_lost, 0.99::DOUBLE)) AS p
+          FROM complaints, line)""",
+        f"""SELECT complaint_id, {rnd("p", 3)} AS withdrawal_probability,
+        CAST(greatest(1, least(trunc(24 - raw * 48), 72)) AS INTEGER) AS predicted_hours_to_withdrawal,
+        CASE WHEN p > 0.7 THEN 'HIGH' WHEN p > 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+        {rnd("least(p * 1.1::DOUBLE, 1.0::DOUBLE)", 3)} AS confidence_score, {rnd("1.0::DOUBLE + 4.0::DOUBLE * (1 - p)", 1)} AS alert_radius_km
+        FROM guessed""",
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     found = {}
     for name, (extra, select) in BODIES.items():

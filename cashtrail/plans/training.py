@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtrail.contract import LIMITS, MODEL_FEATURES, TARGETS, Limits
-from cashtrail.operators import clean, learn, neighbours, quality, splits
+from cashtrail.operators import clean, learn, neighbours, quality, scoring, splits
 from cashtrail.sources import readers, writers
 
 
@@ -67,6 +67,8 @@ def transform_stage(
     train, test = (
         clean.add_model_features(readers.read_split(spark, stages.split, name)) for name in ("train", "test")
     )
+    # what fills the gaps is stored with the run: scoring fills them from the same rows
+    writers.replace_table(train.select(learn.KEY, *features), stages.donors)
     train, test = _complete(train, test, features)
     preprocessor = clean.fit_preprocessor(train, features)
     writers.save_model(preprocessor, stages.preprocessor)
@@ -104,8 +106,7 @@ def run_training(
     scores, models = train_stage(spark, stages, learners, limits=limits)
     best = learn.best_model(scores).first()
     chosen = models[best["model"]]
-    if isinstance(chosen, learn.PerTarget):
-        chosen.save(f"{stages.model}")
+    chosen.save(stages.model)
     return TrainingResult(stages, status, scores, best["model"], best["test_r2"], preprocessor, chosen)
 
 
@@ -113,3 +114,30 @@ def predict(rows: DataFrame, preprocessor: PipelineModel, model) -> DataFrame:
     """Transform, then predict: ``<target>_hat`` columns for clean complaints."""
     features = clean.add_model_features(rows)
     return clean.drop_working_columns(model.transform(preprocessor.transform(features)))
+
+
+@dataclass(frozen=True)
+class StoredRun:
+    """A run as it was stored: scores new complaints like the run itself would."""
+
+    preprocessor: PipelineModel
+    model: object
+    donors: DataFrame
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        features = [c for c in self.donors.columns if c != learn.KEY]
+        added = clean.add_model_features(rows)
+        filled = neighbours.knn_impute(added, self.donors, features) if len(features) > 1 else added
+        scored = self.model.transform(self.preprocessor.transform(filled))
+        return clean.drop_working_columns(scored, features)
+
+    def bulk_score(self, rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+        """The prediction columns from the model's probability."""
+        return scoring.from_model(self.predict(rows), learn.hat(TARGETS[0]), limits)
+
+
+def load_run(spark: SparkSession, base: str, run_ts: str) -> StoredRun:
+    stages = Stages(base, run_ts)
+    return StoredRun(
+        writers.load_model(PipelineModel, stages.preprocessor), learn.load(spark, stages.model), readers.read_stage(spark, stages.donors)
+    )

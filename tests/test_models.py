@@ -138,6 +138,9 @@ def test_training_run(spark, complaints):
     assert learn.read_runs(spark, base + "/artifact/runs").count() == 2
     scored = training.predict(spark.read.parquet(result.stages.feature_store), result.preprocessor, result.model)
     assert {"withdrawal_probability_hat", "risk_score_hat"} <= set(scored.columns) and scored.count() == n
+    loaded = training.load_run(spark, base + "/artifact", "20240131").predict(spark.read.parquet(result.stages.feature_store))
+    guess = ["complaint_id", "risk_score_hat"]
+    assert loaded.select(guess).exceptAll(scored.select(guess)).isEmpty()
 
 
 def test_single_score_is_the_bulk_score(spark, complaints):
@@ -185,3 +188,16 @@ def test_cities_of_one_name(spark):
 def test_reports_equal_complaints(spark, sf_dir, complaints):
     reports = demo_tables.reports(spark, sf_dir)
     assert reports.exceptAll(complaints.select(*reports.columns)).isEmpty()
+
+
+def test_every_kind_of_model_can_be_stored(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(str(i), Vectors.dense([float(i), float(i % 3)]), float(i), float(i * 2)) for i in range(40)]
+    train = spark.createDataFrame(rows, ["complaint_id", "features", "a", "b"])
+    for name, params in (("Linear Regression", {}), ("KNN", {"n_neighbors": 3}), ("AdaBoost", {"n_estimators": 3}), ("Decision Tree", {"max_depth": 3})):
+        model = learn.learner(name).fit(train, ["a", "b"], params)
+        path = new_folder(spark, "model")
+        model.save(path)
+        one, other = (m.transform(train).select("complaint_id", "a_hat", "b_hat") for m in (model, learn.load(spark, path)))
+        assert one.exceptAll(other).isEmpty() and other.count() == 40, name

@@ -146,6 +146,7 @@ def _forest(train: DataFrame, target: str, params: dict):
         numTrees=params["n_estimators"],
         maxDepth=params["max_depth"],
         featureSubsetStrategy="all",
+        bootstrap=params.get("bootstrap", True),
         seed=SEED,
     ).fit(train)
 

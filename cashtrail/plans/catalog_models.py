@@ -67,14 +67,58 @@ def feature_frame(spark, sf):
     )
 
 
+def _one_feature(spark, sf, name):
+    """Key, one feature as a vector, and the targets: what is not asked for is not derived."""
+    rows = demo_tables.complaints(spark, sf)
+    wanted = rows if name in rows.columns else clean.add_time_features(rows)
+    wanted = wanted.select("complaint_id", name, *contract.TARGETS).dropna()
+    return VectorAssembler(inputCols=[name], outputCol="features").transform(wanted)
+
+
+def _hats(spark, sf, learner, name, params, digits=6):
+    rows = _one_feature(spark, sf, name)
+    model = learn.learner(learner).fit(rows, contract.TARGETS, params)
+    hats = [learn.hat(t) for t in contract.TARGETS]
+    return model.transform(rows).select("complaint_id", *[F.round(h, digits).alias(h) for h in hats])
+
+
+@register
+def ridge_single(spark, sf):
+    return _hats(spark, sf, "Ridge Regression", "amount_lost", {"alpha": 10.0})
+
+
+@register
+def tree_by_day(spark, sf):
+    """A full tree over the days of the week predicts the mean of each."""
+    return _hats(spark, sf, "Decision Tree", "day_of_week", {"max_depth": 10})
+
+
+@register
+def forest_by_day(spark, sf):
+    return _hats(spark, sf, "Random Forest", "day_of_week", {"n_estimators": 50, "max_depth": 10, "bootstrap": False})
+
+
+@register
+def boosting_by_day(spark, sf):
+    """Trees of depth three hold seven days: the first fits the means, later ones add nothing."""
+    return _hats(spark, sf, "Gradient Boosting", "day_of_week", {"n_estimators": 50, "learning_rate": 0.1}, digits=4)
+
+
+@register
+def cross_validation(spark, sf):
+    """Mean R2 of a line over both targets and three folds."""
+    rows = _one_feature(spark, sf, "amount_lost")
+    found = learn.cross_validate(learn.learner("Linear Regression"), {}, rows)
+    return spark.createDataFrame([(found,)], "cv_r2 double").select(F.round("cv_r2", 6).alias("cv_r2"))
+
+
 def _single_feature():
     return LinearRegression(featuresCol="features", labelCol="risk_score", solver="normal", regParam=0.0)
 
 
 @register
 def ols_single(spark, sf):
-    rows = VectorAssembler(inputCols=["amount_lost"], outputCol="features").transform(_rows(spark, sf))
-    model = _single_feature().fit(rows)
+    model = _single_feature().fit(_one_feature(spark, sf, "amount_lost"))
     line = [(float(model.coefficients[0]), float(model.intercept))]
     return spark.createDataFrame(line, "slope double, intercept double").select(
         F.round("slope", 10).alias("slope"), F.round("intercept", 6).alias("intercept")
@@ -84,7 +128,7 @@ def ols_single(spark, sf):
 @register
 def model_roundtrip(spark, sf):
     """Fit a pipeline, store it, load it and score with it."""
-    rows = _rows(spark, sf)
+    rows = _one_feature(spark, sf, "amount_lost").drop("features")
     stages = [VectorAssembler(inputCols=["amount_lost"], outputCol="features"), _single_feature()]
     path = new_folder(spark, "model")
     writers.save_model(Pipeline(stages=stages).fit(rows), path)

@@ -803,7 +803,39 @@ BODIES |= {
 }
 
 
+def _by_day(digits: int) -> tuple[str, str]:
+    return (
+        "",
+        f"""SELECT complaint_id, {rnd("avg(withdrawal_probability) OVER d", digits)} AS withdrawal_probability_hat,
+        {rnd("avg(risk_score) OVER d", digits)} AS risk_score_hat FROM complaints WINDOW d AS (PARTITION BY dow)""",
+    )
+
+
+def _ridge_line(target: str, alpha: float) -> str:
+    slope = f"regr_sxy({target}, amount_lost) / (regr_sxx({target}, amount_lost) + {_num(alpha)})"
+    return f"{slope} AS slope_{target}, avg({target}) - {slope} * avg(amount_lost) AS base_{target}"
+
+
+def _fold_score(target: str) -> str:
+    error = f"sum(({target} - base_{target} - slope_{target} * amount_lost) ** 2)"
+    return f"1 - {error} / (var_pop({target}) * count(*))"
+
+
 BODIES |= {
+    "ridge_single": (
+        f"line AS (SELECT {', '.join(_ridge_line(t, 10.0) for t in contract.TARGETS)} FROM complaints)",
+        "SELECT complaint_id, " + ", ".join(f"{rnd(f'base_{t} + slope_{t} * amount_lost', 6)} AS {t}_hat" for t in contract.TARGETS) + " FROM complaints, line",
+    ),
+    "tree_by_day": _by_day(6),
+    "forest_by_day": _by_day(6),
+    "boosting_by_day": _by_day(4),
+    "cross_validation": (
+        f"""folded AS (SELECT *, {_hash("complaint_id", "fold")} % 3 AS fold FROM complaints),
+        lines AS (SELECT k.fold, {', '.join(_ridge_line(t, 0.0) for t in contract.TARGETS)}
+          FROM (VALUES (0), (1), (2)) k(fold) JOIN folded f ON f.fold <> k.fold GROUP BY k.fold),
+        scores AS (SELECT fold, ({_fold_score("withdrawal_probability")} + {_fold_score("risk_score")}) / 2 AS r2 FROM folded JOIN lines USING (fold) GROUP BY fold)""",
+        f"SELECT {rnd('avg(r2)', 6)} AS cv_r2 FROM scores",
+    ),
     "model_bulk_score": (
         f"""line AS (SELECT regr_slope(withdrawal_probability, amount_lost) AS slope, regr_intercept(withdrawal_probability, amount_lost) AS base
           FROM complaints WHERE NOT ({_TEST})),

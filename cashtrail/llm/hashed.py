@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-GROUP = 1 << 20  # bytes hashed together; a longer text is a group by itself
+GROUP = 1 << 18  # bytes hashed together; a longer text is a group by itself
 
 _draw = np.random.default_rng(64)
 _BYTE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64)

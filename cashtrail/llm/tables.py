@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cashtrail.llm.common import tidy
+
 BLOCKS = 64
 _KIND = "block int, counts binary"
 
 
-def _batch(blocks: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+def _batch(blocks: list[int], parts: Iterable[np.ndarray]) -> pa.RecordBatch:
     packed = [zlib.compress(p.tobytes(), 1) for p in parts]
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
 
@@ -28,9 +30,14 @@ def added_up(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     width = -(-cells // BLOCKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(width * BLOCKS, dtype=np.int64)
-        table[:cells] = fill(batches)
-        yield _batch(list(range(BLOCKS)), list(table.reshape(BLOCKS, width)))
+        table = fill(batches)
+
+        def parts() -> Iterator[np.ndarray]:
+            for k in range(BLOCKS):
+                some = table[k * width : (k + 1) * width]
+                yield np.concatenate([some, np.zeros(width - len(some), dtype=some.dtype)]).astype(np.int64)
+
+        yield _batch(list(range(BLOCKS)), parts())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -45,6 +52,6 @@ def added_up(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarra
             yield _batch(list(sums), list(sums.values()))
 
     table = np.zeros((BLOCKS, width), dtype=np.int64)
-    for row in df.mapInArrow(count, _KIND).repartition(BLOCKS, "block").mapInArrow(add, _KIND).toLocalIterator():
+    for row in df.mapInArrow(tidy(count), _KIND).repartition(BLOCKS, "block").mapInArrow(tidy(add), _KIND).toLocalIterator():
         table[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
     return table.reshape(-1)[:cells]

@@ -27,21 +27,21 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cashtrail.llm.common import documents, remainder, stored
-from cashtrail.llm.hashed import classes, mixed, word_places
+from cashtrail.llm.common import documents, remainder, small_batches, stored, tidy
+from cashtrail.llm.hashed import joined, mixed, word_places, word_ranges
 from cashtrail.llm.tables import added_up
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 4_000_000  # characters of a block of documents
-BLANK = 0x20
+BLANK, BLANKS = 0x20, [9, 10, 11, 12, 13, 32]
 # Bits of the hashed table of each context: 1 to 4 symbols, the word so far (from the
 # place DEEP on the last six symbols), and the word so far with the kind of the word
 # before, by its last letters (from the place EARLY on the last five symbols).
@@ -58,7 +58,7 @@ SOFT = 0.1  # added to both counts of a predictor
 SEEN_BEHIND, SEEN_WORD, SEEN_FOUR = (0, 2, 8, 40), (0, 1, 4, 20), (0, 15)
 GATES = (len(SEEN_BEHIND) + 1) * (len(SEEN_WORD) + 1) * (len(SEEN_FOUR) + 1)
 MAP = 33  # classes of the refining map
-MIX_SHARE = 4  # the weights are learnt from one text in so many
+MIX_SHARE = 16  # the weights are learnt from one text in so many
 MIX_BATCH = 8192
 FIXED = 1 << 20  # weights travel as whole numbers
 _RESULT = (
@@ -87,6 +87,14 @@ def code_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's key, and the first row of each key."""
+    number, values = pd.factorize(keys)
+    first = np.zeros(len(values), dtype=np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    return number, first
+
+
 class Spelling:
     """The distinct words of a run of texts, and the distinct steps that spell them."""
 
@@ -104,7 +112,7 @@ class Spelling:
         before[np.cumsum(self.words_of) - self.words_of] = 0  # nothing before a text's first word
         with np.errstate(over="ignore"):
             keys = hashes ^ mixed(before + np.uint64(31))
-        _, first, self.token_word = np.unique(keys, return_index=True, return_inverse=True)
+        self.token_word, first = _distinct(keys)
         self.words = hashes[first]
         self.word_count = np.bincount(self.token_word, minlength=len(first))
         starts, sizes, before = starts[first], (ends - starts)[first], before[first]
@@ -113,20 +121,23 @@ class Spelling:
         symbol = whole[np.minimum(np.repeat(starts, sizes + 1) + place, len(whole) - 1)].astype(np.int64)
         symbol[offsets + sizes] = BLANK
         with np.errstate(over="ignore"):
-            weights = mixed(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-            parts = mixed(symbol.astype(np.uint64) + np.uint64(999)) * weights
-            sums = np.cumsum(parts)
-            spelt = sums - parts - np.repeat((sums - parts)[offsets], sizes + 1)
+            weights = (mixed(np.arange(int(sizes.max()) + 1, dtype=np.uint64) + np.uint64(1)) | np.uint64(1))[place]
+            parts = mixed(np.arange(256, dtype=np.uint64) + np.uint64(999))[symbol] * weights
+            earlier = np.cumsum(parts) - parts
+            spelt = earlier - np.repeat(earlier[offsets], sizes + 1)
             prefix = mixed(spelt + place.astype(np.uint64) * SPREAD)
-            lasts = np.zeros(len(symbol), dtype=np.uint64)
-            for k in range(LASTS, 0, -1):
-                earlier = symbol[np.maximum(np.arange(len(symbol)) - k, 0)].astype(np.uint64)
-                lasts = (lasts << np.uint64(8)) | np.where(place >= k, earlier, np.uint64(BLANK))
+            # the last symbols as bytes of one number, blanks before a word's start
+            coded, lasts = symbol.astype(np.uint64), np.zeros(len(symbol), dtype=np.uint64)
+            for k in range(1, LASTS + 1):
+                earlier = coded[:-k] if k < len(coded) else coded[:0]
+                inside = place[k:] >= k
+                lasts[k:] |= np.where(inside, earlier, np.uint64(BLANK)) << np.uint64(8 * (k - 1))
+                lasts[:k] |= np.uint64(BLANK << (8 * (k - 1)))
             prefix = np.where(place < DEEP, prefix, mixed(lasts + SPREAD))
             behind = np.where(place < EARLY, prefix + np.repeat(before, sizes + 1) * SPREAD, lasts & np.uint64((1 << 40) - 1))
             behind = mixed(behind + np.uint64(5))
-            step = np.where(place < EARLY, behind, prefix) ^ mixed(symbol.astype(np.uint64) + np.uint64(7))
-        _, at, self.step_of = np.unique(step, return_index=True, return_inverse=True)
+            step = np.where(place < EARLY, behind, prefix) ^ mixed(np.arange(256, dtype=np.uint64) + np.uint64(7))[symbol]
+        self.step_of, at = _distinct(step)
         self.offsets = offsets
         self.symbol = symbol[at]
         self.contexts = [mixed((lasts[at] & np.uint64((1 << (8 * k)) - 1)) + np.uint64(k << 40)) for k in range(1, 5)]
@@ -177,9 +188,9 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[s
         yield run
 
 
-def _gate(behind_seen: np.ndarray, word_seen: np.ndarray, four_seen: np.ndarray) -> np.ndarray:
-    out = np.searchsorted(SEEN_BEHIND, behind_seen) * (len(SEEN_WORD) + 1) + np.searchsorted(SEEN_WORD, word_seen)
-    return out * (len(SEEN_FOUR) + 1) + np.searchsorted(SEEN_FOUR, four_seen)
+def _gate(behind: np.ndarray, word: np.ndarray, four: np.ndarray) -> np.ndarray:
+    """One number for the count classes of the three contexts."""
+    return (behind * (len(SEEN_WORD) + 1) + word) * (len(SEEN_FOUR) + 1) + four
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -197,17 +208,20 @@ class Model:
         self.codes, self.lengths, self.counts = codes, lengths, counts
         self.weights = np.full((GATES, len(SIZES)), 0.25)
         self.map = _squash(np.tile(np.linspace(-8, 8, MAP), (GATES, 1)))
-        self._stretch: np.ndarray | None = None
+        self._cells: tuple[np.ndarray, np.ndarray] | None = None
 
     def log10(self, spelling: Spelling) -> np.ndarray:
         """log10 of the probability of each step."""
         out = np.zeros(len(spelling.symbol))
-        if self._stretch is None:  # once per worker
-            self._stretch = np.log((self.counts[:, 1] + np.float32(SOFT)) / (self.counts[:, 0] + np.float32(SOFT)))
-        stretch = self._stretch
+        if self._cells is None:  # once per worker
+            soft, seen = np.float32(SOFT), np.zeros(CELLS, dtype=np.uint8)
+            for i, ends in ((3, SEEN_FOUR), (4, SEEN_WORD), (5, SEEN_BEHIND)):
+                part = slice(STARTS[i], STARTS[i + 1])
+                seen[part] = np.searchsorted(ends, self.counts[part].sum(axis=1, dtype=np.int64))
+            self._cells = np.log((self.counts[:, 1] + soft) / (self.counts[:, 0] + soft)), seen
+        stretch, seen = self._cells
         for rows, bit, cells in spelling.bits(self.codes, self.lengths):
-            seen = [self.counts[c].sum(axis=1, dtype=np.int64) for c in (cells[5], cells[4], cells[3])]
-            gate = _gate(*seen)
+            gate = _gate(*[seen[c].astype(np.int64) for c in (cells[5], cells[4], cells[3])])
             mix = np.zeros(len(rows))
             for i, c in enumerate(cells):
                 mix += self.weights[gate, i] * stretch[c]
@@ -232,7 +246,7 @@ class Model:
                     n[np.arange(len(some)), own] = np.maximum(n[np.arange(len(some)), own] - 1, 0)  # without itself
                     inputs[:, i] = np.log((n[:, 1] + SOFT) / (n[:, 0] + SOFT))
                     totals.append(n.sum(axis=1))
-                gate = _gate(totals[5], totals[4], totals[3])
+                gate = _gate(*[np.searchsorted(e, totals[i]) for i, e in ((5, SEEN_BEHIND), (4, SEEN_WORD), (3, SEEN_FOUR))])
                 mix = (self.weights[gate] * inputs).sum(axis=1)
                 np.add.at(hits, (gate, _map_class(mix), own), m.astype(np.int64))
                 slope, size = np.zeros((GATES, len(SIZES))), np.ones((GATES, 1))
@@ -249,18 +263,20 @@ def fitted(docs: DataFrame, text: str = "text") -> Model:
     def count_bytes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         table = np.zeros(256, dtype=np.int64)
         for run in _runs(batches):
-            whole, starts, _, _, words_of = word_places(run)
-            table += np.bincount(whole[classes(False)[whole] > 0], minlength=256)
-            table[BLANK] += len(starts) + len(words_of)
+            whole, ends = joined(run)
+            found = np.bincount(whole, minlength=256)
+            found[BLANKS] = 0
+            found[BLANK] = len(word_ranges(whole)[0]) + len(ends)
+            table += found
         return table
 
     codes, lengths = code_tree(added_up(texts, count_bytes, 256))
 
     def count_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        table = np.zeros(2 * CELLS, dtype=np.int64)
+        table = np.zeros(2 * CELLS, dtype=np.uint32)
         for run in _runs(batches):
             spelling = Spelling(run)
-            times = spelling.step_count(spelling.word_count).astype(np.int64)
+            times = spelling.step_count(spelling.word_count).astype(np.uint32)
             for rows, bit, cells in spelling.bits(codes, lengths):
                 for c in cells:
                     np.add.at(table, 2 * c + bit, times[rows])
@@ -275,18 +291,17 @@ def fitted(docs: DataFrame, text: str = "text") -> Model:
         model, hits, n = Model(codes, lengths, shared.value), np.zeros((GATES, MAP, 2), dtype=np.int64), 0
         for run in _runs(batches):
             spelling = Spelling(run)
-            chosen = np.array([zlib.crc32((t or "").encode()) % MIX_SHARE == 0 for t in run])
-            taken = spelling.token_word[np.repeat(chosen, spelling.words_of)]
-            times = spelling.step_count(np.bincount(taken, minlength=len(spelling.words)))
-            for rate in (0.9, 0.5):
+            times = spelling.step_count(spelling.word_count)
+            for rate in (0.9,):
                 model.learn(spelling, times, np.zeros_like(hits), rate)
-            model.learn(spelling, times, hits, 0.1)
-            n += len(taken)
+            model.learn(spelling, times, hits, 0.2)
+            n += len(spelling.token_word)
         # weights count by the words they were learnt from
         return np.concatenate([np.rint(model.weights.ravel() * n * FIXED).astype(np.int64), hits.ravel(), [n]])
 
     size = GATES * len(SIZES)
-    found = added_up(texts, learn_weights, size + GATES * MAP * 2 + 1)
+    share = texts.filter(F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(MIX_SHARE)) == 0)
+    found = added_up(share, learn_weights, size + GATES * MAP * 2 + 1)
     model = Model(codes, lengths, counts)
     if found[-1]:
         model.weights = (found[:size] / FIXED / found[-1]).reshape(GATES, len(SIZES))
@@ -299,6 +314,7 @@ def fitted(docs: DataFrame, text: str = "text") -> Model:
 def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, base score and model score."""
     spark = docs.sparkSession
+    small_batches(spark)
     fold = remainder(F.col(id_column), FOLDS)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"),
                        F.coalesce(fold != HELD_OUT, F.lit(False)).alias("learnt"))
@@ -313,9 +329,9 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
 
         def listed(block: int, some: list) -> pa.RecordBatch:
             _, _, _, hashes, words_of = word_places([t for t, _ in some])
-            words, inverse = np.unique(hashes, return_inverse=True)
+            number, words = pd.factorize(hashes)
             learnt = np.repeat(np.array([x for _, x in some], dtype=np.int64), words_of)
-            n = np.bincount(inverse, weights=learnt, minlength=len(words)).astype(np.int64)
+            n = np.bincount(number, weights=learnt, minlength=len(words)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words.view(np.int64)), pa.array(n)], ["block", "word", "n"])
 
         size = 0
@@ -328,17 +344,15 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
                     waiting, size = {}, 0
         yield from (listed(b, some) for b, some in waiting.items())
 
-    words = dealt.select("block", "text", "learnt").mapInArrow(list_words, "block long, word long, n long")
+    words = dealt.select("block", "text", "learnt").mapInArrow(tidy(list_words), "block long, word long, n long")
     by_word = Window.partitionBy("word")
-    words = words.select(
-        "block", "word", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block", "n")) == 1).alias("own")
-    )
+    words = words.select("block", "word", F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("own"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left.column("text").to_pylist()
         known, place = np.unique(right.column("word").to_numpy().view(np.uint64), return_index=True)
         c = right.column("c").to_numpy()[place].astype(np.float64)
-        owned = int(np.sum(right.column("own").to_numpy(zero_copy_only=False) & (right.column("c").to_numpy() > 0)))
+        owned = int(np.sum(right.column("own").to_numpy(zero_copy_only=False)[place] & (c > 0)))
         n_tokens, n_known, logs, scores = [], [], [], []
         at, sizes = 0, [len(t or "") for t in texts]
         while at < len(texts):  # a hot block is worked off in runs

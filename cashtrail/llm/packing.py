@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from cashtrail.llm.common import documents
+from cashtrail.llm.common import documents, small_batches, tidy
 from cashtrail.llm.hashed import classes, joined, range_hashes, word_ranges
 
 LENGTH = 2048
@@ -40,8 +40,8 @@ STRETCH = 1 << 19  # tokens that are planned together
 OPENING = 24  # price of a sequence beside its padding, in tokens
 SENTENCE_CUT, FORCED_CUT = 12, 400  # price of a cut inside a document
 FORCED_STEP = 64
-KEPT_STEMS = 600_000
-RUN = 4_000_000  # characters whose equal words are looked up once
+KEPT_STEMS = 250_000
+RUN = 2_000_000  # characters whose equal words are looked up once
 MARKS = (",", ".")
 MARK_BYTES = np.frombuffer("".join(MARKS).encode(), dtype=np.uint8)  # in order
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -97,9 +97,9 @@ class WordTokens:
         if any(len(ids) != 1 for ids in marks):
             raise ValueError("a mark must be one token")
         self.marks = np.array([0, *[ids[0] for ids in marks]], dtype=np.uint32)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.stems = _Rows()
         self.starts = np.zeros(0, dtype=np.int64)  # of each stem, in the ids
         self.sizes = np.zeros(0, dtype=np.int64)
@@ -141,7 +141,7 @@ class WordTokens:
 
     def _ids_of(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.stems) > KEPT_STEMS:
-            self._forget()
+            self.forget()
         special = any("<|" in t for t in texts)  # names of special tokens are not lower-cased
         whole, text_ends = joined(texts, lower=not special)
         starts, ends = word_ranges(whole)
@@ -289,6 +289,8 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
     ``sequence_id`` holds the number of the input partition in its upper bits.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens.of(path)
         stream = _Stream(TaskContext.get().partitionId() << 40, length)
@@ -312,8 +314,9 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
                 if stream.waiting >= STRETCH:
                     yield from rows(last=False)
         yield from rows(last=True)
+        tokens.forget()  # a worker that waits for its next task holds no words
 
-    return docs.select(id_column, text).mapInArrow(run, RESULT + (", ids array<int>" if with_ids else ""))
+    return docs.select(id_column, text).mapInArrow(tidy(run), RESULT + (", ids array<int>" if with_ids else ""))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

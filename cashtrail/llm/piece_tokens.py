@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cashtrail.llm.common import documents
+from cashtrail.llm.common import documents, small_batches, tidy
 
 MARK = "▁"  # stands for a space in pieces
 KEPT_PARTS = 500_000  # parts that a worker remembers
@@ -239,6 +239,8 @@ class Vocabulary:
 def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids, decoded text) of every document."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.of(path)
         for batch in batches:
@@ -249,12 +251,14 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "
                 ["doc_id", "ids", "decoded"],
             )
 
-    return docs.select(id_column, text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(id_column, text).mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Number of ids and the digests of ids and decoded text, without handing the ids on."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.of(path)
         decode = vocabulary.library.decode
@@ -270,7 +274,7 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(id_column, text).mapInArrow(run, RESULT)
+    return docs.select(id_column, text).mapInArrow(tidy(run), RESULT)
 
 
 def op1_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from cashtrail.llm.common import documents, remainder
+from cashtrail.llm.common import documents, remainder, small_batches, tidy
 from cashtrail.llm.hashed import classes, word_hashes
 from cashtrail.llm.tables import added_up
 
@@ -182,7 +182,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
             found = pooled(batch.column(2).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(found), pa.list_(pa.float64()))], ["id", "label", "features"])
 
-    found = rows.select(F.col("_id").cast("string"), "_label", "_text").mapInArrow(run, "id string, label double, features array<double>")
+    found = rows.select(F.col("_id").cast("string"), "_label", "_text").mapInArrow(tidy(run), "id string, label double, features array<double>")
     taken = sorted(found.toLocalIterator(), key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], r["features"]))
     features = np.array([r["features"] for r in taken]).reshape(len(taken), FEATURES)
     return vectors, Network.trained(features, np.array([r["label"] for r in taken]))
@@ -190,6 +190,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
 
 def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
     """Every column of the documents, with the score added or replaced."""
+    small_batches(docs.sparkSession)
     vectors, network = fitted(docs, labels, id_column, text)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     kept = docs.drop(score)
@@ -201,7 +202,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
             found = network.scores(pooled(batch.column(place).to_pylist(), vectors))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, score])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(score, DoubleType()))
+    return kept.mapInArrow(tidy(run), StructType([*kept.schema.fields]).add(score, DoubleType()))
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

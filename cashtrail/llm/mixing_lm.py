@@ -8,7 +8,7 @@ counts of zeros and ones in a hashed table of fixed size, filled from all traini
 stretched, weighted and added; the gate picks the weights by how often the longer
 contexts were seen. The sum is refined by what really followed such sums (an adaptive
 probability map). Weights and map are learnt online, bit by bit in small batches,
-in every task from a share of its training texts; each occurrence is taken out of the
+in every task from all its training texts; each occurrence is taken out of the
 counts it is predicted from, and averaged over all tasks.
 
 Contexts reach back to the kind of the word before and no further, so equal words
@@ -58,7 +58,6 @@ SOFT = 0.1  # added to both counts of a predictor
 SEEN_BEHIND, SEEN_WORD, SEEN_FOUR = (0, 2, 8, 40), (0, 1, 4, 20), (0, 15)
 GATES = (len(SEEN_BEHIND) + 1) * (len(SEEN_WORD) + 1) * (len(SEEN_FOUR) + 1)
 MAP = 33  # classes of the refining map
-MIX_SHARE = 16  # the weights are learnt from one text in so many
 MIX_BATCH = 8192
 FIXED = 1 << 20  # weights travel as whole numbers
 _RESULT = (
@@ -300,8 +299,7 @@ def fitted(docs: DataFrame, text: str = "text") -> Model:
         return np.concatenate([np.rint(model.weights.ravel() * n * FIXED).astype(np.int64), hits.ravel(), [n]])
 
     size = GATES * len(SIZES)
-    share = texts.filter(F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(MIX_SHARE)) == 0)
-    found = added_up(share, learn_weights, size + GATES * MAP * 2 + 1)
+    found = added_up(texts, learn_weights, size + GATES * MAP * 2 + 1)
     model = Model(codes, lengths, counts)
     if found[-1]:
         model.weights = (found[:size] / FIXED / found[-1]).reshape(GATES, len(SIZES))

@@ -103,3 +103,16 @@ def test_code_tree_is_a_prefix_code():
     assert sum(2.0 ** -int(n) for n in lengths) == 1.0
     names = {f"{int(c):064b}"[: int(n)] for c, n in zip(codes, lengths)}
     assert len(names) == 256 and not any(a != b and b.startswith(a) for a in names for b in names)
+
+
+def test_weights_are_learnt_from_all_training_texts(spark):
+    texts = [t for t in (f"the cat {i} and the hat of cat {i * 7}" for i in range(400)) if zlib.crc32(t.encode()) % 16][:200]
+    few = lm.fitted(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    assert not np.allclose(few.weights, 0.25)
+    here = lm.Spelling(texts)
+    model = lm.Model(few.codes, few.lengths, few.counts)
+    hits, times = np.zeros((lm.GATES, lm.MAP, 2), dtype=np.int64), here.step_count(here.word_count)
+    model.learn(here, times, np.zeros_like(hits), 0.9)
+    model.learn(here, times, hits, 0.2)
+    assert np.allclose(few.weights, model.weights, atol=1e-5)
+    assert np.allclose(few.map, np.clip((hits[:, :, 1] + 50 * model.map) / (hits.sum(axis=2) + 50), 1e-5, 1 - 1e-5))

@@ -8,7 +8,7 @@ an entity reveal it: over all documents,
     information      = log2(P(entity | term) / P(entity))
 
 A term is disclosed where P(entity | term) reaches ``GENERALISE``, the two stand
-together in ``LEAST_TEXTS`` different texts, and the information reaches
+together in different texts, and the information reaches
 ``LEAST_BITS``. In the cleaned text an entity becomes its kind, a disclosed term
 becomes its shape, and from ``REMOVE`` on it is taken out.
 
@@ -40,7 +40,7 @@ WORDS_BESIDE = 3  # terms on each side of an entity
 CHARS_BESIDE = 80  # they are looked for within so many characters
 TERM = r"[\p{L}][\p{L}\p{M}'-]{3,}"
 GENERALISE, REMOVE = 0.5, 0.9
-LEAST_TEXTS, LEAST_BITS = 2, 6.0
+LEAST_BITS = 6.0
 
 
 def _digits(value: Column) -> Column:
@@ -121,16 +121,12 @@ def found_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 def disclosing_terms(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
     """(term, entity, share) of the terms that reveal an entity.
 
-    Documents are counted over the whole table, each once for each term.
+    Every figure counts rows of the whole table, each once for each term.
     """
-    pairs = (
-        rows.filter("beside is not null")
-        .select("_id", "_hash", F.explode("beside").alias("b"))
-        .select("_id", "_hash", F.col("b.entity").alias("entity"), F.explode("b.terms.value").alias("term"))
-        .distinct()
-    )
-    together = pairs.groupBy("term", "entity").agg(F.count("*").alias("both"), F.approx_count_distinct("_hash", 0.02).alias("texts"))
-    together = together.filter(F.col("texts") >= LEAST_TEXTS)
+    of_row = F.transform("beside", lambda b: F.transform(b["terms"], lambda s: F.struct(b["entity"].alias("entity"), s["value"].alias("term"))))
+    pairs = rows.filter("beside is not null").select("_hash", F.explode(F.array_distinct(F.flatten(of_row))).alias("p")).select("_hash", "p.*")
+    together = pairs.groupBy("term", "entity").agg(F.count("*").alias("both"), (F.min("_hash") != F.max("_hash")).alias("several"))
+    together = together.filter("several").drop("several")
     entities = (
         rows.filter("beside is not null").select(F.explode(F.array_distinct("beside.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     )
@@ -140,7 +136,7 @@ def disclosing_terms(docs: DataFrame, rows: DataFrame, text: str = "text") -> Da
     with_term = (
         docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term", "left_semi")
     )
-    share = F.least(F.col("both") / F.col("with_term"), F.lit(1.0))
+    share = F.col("both") / F.col("with_term")
     bits = F.log2(share * total / F.col("with_entity"))
     out = together.join(with_term, "term").join(entities, "entity").withColumn("share", share)
     return out.filter((F.col("share") >= GENERALISE) & (bits >= LEAST_BITS)).select("term", "entity", "share")

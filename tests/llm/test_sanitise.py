@@ -43,3 +43,14 @@ def test_nulls_and_repeated_rows(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "-") for r in out) == [(0, "<EMAIL>"), (0, "<EMAIL>"), (1, "-"), (1, "-"), (1, "<EMAIL> x")]
     assert sanitise.scanned(df).count() == 5
     assert sanitise.scanned(df.filter("doc_id > 9")).count() == 0
+
+
+def test_repeated_rows_count_alike_in_every_figure(spark):
+    texts = [f"row {i} Zanzibarite kim@corp.example.org" for i in range(2)]
+    rows = [(i % 2, texts[i % 2]) for i in range(8)] + [(None, "row 2 Zanzibarite kim@corp.example.org")] * 4
+    rows += [(100 + i, f"row {i}") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (found,) = sanitise.disclosing_terms(docs, sanitise.found_spans(docs)).collect()
+    assert (found["term"], found["share"]) == ("zanzibarite", 1.0)
+    out = sanitise.cleaned(docs, length=None).filter("doc_id < 2 or doc_id is null").collect()
+    assert len(out) == 12 and not any("Zanz" in r["text"] for r in out)

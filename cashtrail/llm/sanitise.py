@@ -1,16 +1,20 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
 Base spans are the leftmost matches of four patterns that pass their tests. Their
-values are the protected entities. The method asks which ordinary terms beside
-an entity reveal it: over all documents,
+values are the protected entities. The method asks which ordinary terms reveal an
+entity: over all documents,
 
-    P(entity | term) = documents with both side by side / documents with the term
+    P(entity | term) = documents with both / documents with the term
     information      = log2(P(entity | term) / P(entity))
 
-A term is disclosed where P(entity | term) reaches ``GENERALISE``, the two stand
-together in different texts, and the information reaches
-``LEAST_BITS``. In the cleaned text an entity becomes its kind, a disclosed term
-becomes its shape, and from ``REMOVE`` on it is taken out.
+A document is a row, and every figure counts rows: a row repeated counts each time in
+all of them. Terms are the words and numbers outside the entities, wherever in the
+text they stand. A term is disclosed where P(entity | term) reaches ``GENERALISE``, the
+two stand together in different texts, and the information reaches ``LEAST_BITS``. A
+term of fewer than ``PLAIN`` characters must stand there with a capital, a letter
+without case or a digit, as names and numbers do. In the cleaned text an entity
+becomes its kind; a disclosed term becomes its shape, and from ``REMOVE`` on it is taken
+out, at all its places in all documents.
 
 A null or empty text has no spans. Rows meet their spans again by id and by a hash
 of the text, so repeated rows, repeated ids and null ids are safe; further columns
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtrail.llm import spans
-from cashtrail.llm.common import documents, stored
+from cashtrail.llm.common import documents, small_side, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -36,11 +40,12 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"^(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.|$)){4}$"
 
-WORDS_BESIDE = 3  # terms on each side of an entity
-CHARS_BESIDE = 80  # they are looked for within so many characters
-TERM = r"[\p{L}][\p{L}\p{M}'-]{3,}"
+TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+(?:['-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*+)*+"
+PLAIN = 4  # from so many characters on any term counts
+LIKE_A_NAME = r"[\p{Lu}\p{Lt}\p{Lo}\p{N}]"
 GENERALISE, REMOVE = 0.5, 0.9
 LEAST_BITS = 6.0
+COMMON = 1000  # a common term is in more than one document of so many
 
 
 def _digits(value: Column) -> Column:
@@ -70,40 +75,22 @@ def base_spans(text: Column) -> Column:
     return F.concat(emails, F.coalesce(numbers, spans.none()))
 
 
-def _with_beside(rows: DataFrame, text: str) -> DataFrame:
-    """Add ``beside``: for each base span its entity and the nearest terms before and after it.
-
-    A word cut by the edge of the searched characters is left out. The steps are
-    columns of their own, so that no expression is written out twice.
-    """
-    from_ = lambda s: F.greatest(s["start"] - CHARS_BESIDE, F.lit(0))
-    near = F.transform(
-        "base",
-        lambda s: F.struct(
-            _entity(s["kind"], s["value"]).alias("entity"), from_(s).alias("from"), s["end"].alias("end"),
-            F.substring(F.col(text), from_(s) + 1, s["start"] - from_(s)).alias("before"),
-            F.substring(F.col(text), s["end"] + 1, F.lit(CHARS_BESIDE)).alias("after"),
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of the spans; all positions stay."""
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    walked = F.aggregate(
+        ordered,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(
+                acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
+                F.repeat(F.lit(" "), s["end"] - F.greatest(acc["at"], s["start"])),
+            ).alias("out"),
         ),
     )
-    rows = rows.withColumn("_near", F.when(F.size("base") > 0, near))
-    sides = lambda n: F.struct(
-        n["entity"].alias("entity"), n["from"].alias("from"), n["end"].alias("end"),
-        spans.found(n["before"], TERM, "term").alias("left"), spans.found(n["after"], TERM, "term").alias("right"),
-    )
-    rows = rows.withColumn("_sides", F.transform("_near", sides))
-
-    def moved(found: Column, by: Column) -> Column:
-        return F.transform(
-            found, lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), F.lower(s["value"]).alias("value"))
-        )
-
-    def nearest(n: Column) -> Column:
-        whole_left = F.filter(n["left"], lambda s: (s["start"] > 0) | (n["from"] == 0))
-        whole_right = F.filter(n["right"], lambda s: s["end"] < CHARS_BESIDE)
-        left = moved(F.slice(F.reverse(whole_left), 1, WORDS_BESIDE), n["from"])
-        return F.struct(n["entity"].alias("entity"), F.concat(left, moved(F.slice(whole_right, 1, WORDS_BESIDE), n["end"])).alias("terms"))
-
-    return rows.withColumn("beside", F.transform("_sides", nearest)).drop("_near", "_sides")
+    rest = lambda w: F.concat(w["out"], F.substring(text, w["at"] + 1, F.length(text)))
+    return F.when(F.size(base) == 0, text).otherwise(rest(walked))
 
 
 def _entity(kind: Column, value: Column) -> Column:
@@ -111,64 +98,79 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def found_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_id``, ``_hash`` of the text, ``base`` spans and the ``beside`` terms of each, stored."""
+def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``_id``, ``_hash`` of the text, ``base`` spans, and ``_t``: the text without them."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_column).alias("_id"), F.xxhash64(whole).alias("_hash"), whole.alias("_t"), base_spans(whole).alias("base"))
-    return stored(_with_beside(rows, "_t").drop("_t"), "personal-spans")
+    return rows.withColumn("_t", _blanked(F.col("_t"), F.col("base")))
 
 
-def disclosing_terms(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
-    """(term, entity, share) of the terms that reveal an entity.
+def found_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``_id``, ``_hash``, ``base`` spans, distinct ``terms``, and ``names``: the short terms that count, stored."""
+    rows = _texts(docs, id_column, text).withColumn("_m", F.array_distinct(F.regexp_extract_all("_t", F.lit(TERM), F.lit(0))))
+    names = F.filter("_m", lambda m: (F.length(m) < PLAIN) & m.rlike(LIKE_A_NAME))
+    lower = lambda words: F.array_distinct(F.transform(words, F.lower))
+    names = F.when(F.size("base") > 0, lower(names))
+    return stored(rows.select("_id", "_hash", "base", lower(F.col("_m")).alias("terms"), names.alias("names")), "personal-spans")
+
 
-    Every figure counts rows of the whole table, each once for each term.
+def disclosing_terms(rows: DataFrame) -> DataFrame:
+    """(term, share) of the terms that reveal an entity, stored.
+
+    Entities and terms that can't reach the thresholds go before pairs are made: an
+    entity in one text only, or in so many documents that no term tells enough; and a
+    term in more than share * documents of the most frequent entity left.
     """
-    of_row = F.transform("beside", lambda b: F.transform(b["terms"], lambda s: F.struct(b["entity"].alias("entity"), s["value"].alias("term"))))
-    pairs = rows.filter("beside is not null").select("_hash", F.explode(F.array_distinct(F.flatten(of_row))).alias("p")).select("_hash", "p.*")
-    together = pairs.groupBy("term", "entity").agg(F.count("*").alias("both"), (F.min("_hash") != F.max("_hash")).alias("several"))
-    together = together.filter("several").drop("several")
-    entities = (
-        rows.filter("beside is not null").select(F.explode(F.array_distinct("beside.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    )
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))
     total = rows.count()
-    wanted = together.select("term").distinct()
-    with_term = (
-        docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term", "left_semi")
-    )
+    of_row = F.array_distinct(F.transform("base", lambda s: _entity(s["kind"], s["value"])))
+    holding = rows.filter(F.size("base") > 0).select("_hash", "terms", "names", of_row.alias("entities"))
+    two_texts = F.min("_hash") != F.max("_hash")
+    entities = holding.select("_hash", F.explode("entities").alias("entity")).groupBy("entity")
+    entities = entities.agg(F.count("*").alias("with_entity"), two_texts.alias("several")).filter("several").drop("several")
+    entities = small_side(entities.filter(F.log2(total / F.col("with_entity")) >= LEAST_BITS))
+    most = entities.agg(F.max("with_entity")).first()[0] or 0
+
+    with_term = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).filter("with_term > 1")
+    with_term = stored(with_term, "term-counts")
+    common = F.col("with_term") > max(most / GENERALISE, total / COMMON)
+    hot = small_side(with_term.filter(common).select("term"))
+    pairs = holding.select("_hash", "entities", "names", F.explode("terms").alias("term")).join(hot, "term", "left_anti")
+    named = (F.length("term") >= PLAIN) | F.array_contains("names", F.col("term"))
+    pairs = pairs.select("_hash", "term", named.alias("named"), F.explode("entities").alias("entity")).join(entities.select("entity"), "entity", "left_semi")
+    together = pairs.groupBy("term", "entity").agg(F.count("*").alias("both"), two_texts.alias("several"), F.max("named").alias("named"))
+    # what is left of a hot term is one row for each entity; adaptive execution splits it
+    together = together.filter("several and named").select("term", "entity", "both").join(with_term.filter(~common), "term").join(entities, "entity")
     share = F.col("both") / F.col("with_term")
     bits = F.log2(share * total / F.col("with_entity"))
-    out = together.join(with_term, "term").join(entities, "entity").withColumn("share", share)
-    return out.filter((F.col("share") >= GENERALISE) & (bits >= LEAST_BITS)).select("term", "entity", "share")
-
-
-def disclosed_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term`` spans of each (id, hash); the value says what becomes of them."""
-    places = (
-        rows.filter("beside is not null").dropDuplicates(["_id", "_hash"])
-        .select("_id", "_hash", "base", F.explode("beside").alias("b"))
-        .select("_id", "_hash", "base", F.col("b.entity").alias("entity"), F.explode("b.terms").alias("s"))
-        .withColumn("term", F.col("s.value"))
-        # a term inside an entity goes with it
-        .filter(~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"])))
+    return small_side(together.filter((share >= GENERALISE) & (bits >= LEAST_BITS)).groupBy("term").agg(F.max(share).alias("share")))
+
+
+def disclosed_spans(docs: DataFrame, rows: DataFrame, terms: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``added``: the ``term`` spans of each (_id, _hash) with a disclosed term; the value says what becomes of them."""
+    hits = rows.select("_id", "_hash", F.explode("terms").alias("term")).join(terms, "term")
+    hits = hits.groupBy("_id", "_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
+    found = _on_text(_texts(docs, id_column, text), small_side(hits))
+    share = lambda s: F.col("shares")[F.lower(s["value"])]
+    wanted = spans.found(F.col("_t"), TERM, "term", lambda m: F.map_contains_key("shares", F.lower(m)))
+    found = found.filter("shares is not null").withColumn("_found", wanted)
+    added = F.transform(
+        "_found",
+        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.when(share(s) >= REMOVE, "remove").otherwise("generalise").alias("value")),
     )
-    hits = places.join(terms, ["term", "entity"]).groupBy("_id", "_hash", "s.start", "s.end").agg(F.max("share").alias("share"))
-    span = F.struct(
-        F.lit("term").alias("kind"), F.col("start"), F.col("end"),
-        F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("value"),
-    )
-    return hits.groupBy("_id", "_hash").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    return small_side(found.select("_id", "_hash", added.alias("added")).dropDuplicates(["_id", "_hash"]))
+
+
+def _on_text(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join by ``_id``, which may be null, and ``_hash``."""
+    right = right.withColumnsRenamed({"_id": "_id_r", "_hash": "_hash_r"})
+    return left.join(right, F.col("_id").eqNullSafe(F.col("_id_r")) & (F.col("_hash") == F.col("_hash_r")), "left").drop("_id_r", "_hash_r")
 
 
 def scanned(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id``, ``_hash``, ``base`` and ``added`` spans for every row of the documents."""
     rows = found_spans(docs, id_column, text)
-    added = disclosed_spans(rows, disclosing_terms(docs, rows, text))
-    found = rows.filter("beside is not null").drop("beside").alias("r").join(
-        added.alias("a"), F.col("r._id").eqNullSafe(F.col("a._id")) & (F.col("r._hash") == F.col("a._hash")), "left"
-    )
-    found = found.select("r._id", "r._hash", "r.base", F.coalesce("a.added", spans.none()).alias("added"))
-    return found.unionByName(rows.filter("beside is null").select("_id", "_hash", "base", spans.none().alias("added")))
+    added = disclosed_spans(docs, rows, disclosing_terms(rows), id_column, text)
+    return _on_text(rows, added).select("_id", "_hash", "base", F.coalesce("added", spans.none()).alias("added"))
 
 
 def _mark(whole: Column):
@@ -183,22 +185,20 @@ def _mark(whole: Column):
 def cleaned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents with entities replaced and disclosed terms generalised or removed.
 
-    Texts without an entity pass unchanged and take part in no join. ``length``,
-    if the table has it, gets the new number of code points.
+    Texts with neither pass unchanged. ``length``, if the table has it, gets the new
+    number of code points where the text changes.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    spotted = scanned(docs, id_column, text).filter(F.size("base") > 0).dropDuplicates(["_id", "_hash"])
-    touched = F.size(base_spans(whole)) > 0
-    joined = docs.filter(touched).alias("d").join(
-        spotted.alias("s"), F.col(f"d.{id_column}").eqNullSafe(F.col("s._id")) & (F.xxhash64(F.coalesce(F.col(f"d.{text}"), F.lit(""))) == F.col("s._hash")), "left"
-    )
-    every = spans.by_start(F.concat("s.base", "s.added"), KINDS)
-    joined = joined.select("d.*", every.alias("_spans"))
-    new = spans.replaced(F.col(text), F.col("_spans"), _mark(F.col(text)))
-    changed = joined.withColumn(text, new).drop("_spans")
+    rows = found_spans(docs, id_column, text)
+    added = disclosed_spans(docs, rows, disclosing_terms(rows), id_column, text)
+    joined = _on_text(docs.withColumns({"_id": F.col(id_column), "_hash": F.xxhash64(whole), "_base": base_spans(whole)}), added)
+    joined = joined.withColumn("_spans", spans.by_start(F.concat("_base", F.coalesce("added", spans.none())), KINDS))
+    touched = F.size("_spans") > 0
+    new = F.when(touched, spans.replaced(F.col(text), F.col("_spans"), _mark(F.col(text)))).otherwise(F.col(text))
+    changed = joined.withColumn("_new", new)
     if length and length in docs.columns:
-        changed = changed.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return docs.filter(~touched).unionByName(changed)
+        changed = changed.withColumn(length, F.when(touched, F.length("_new").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return changed.withColumn(text, F.col("_new")).select(*docs.columns)
 
 
 def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,31 +12,36 @@ from pyspark.sql import functions as F
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
-def found(text: Column, pattern: str, kind: str) -> Column:
+def found(text: Column, pattern: str, kind: str, wanted=None) -> Column:
     """Leftmost matches that do not overlap, as an array of SPAN.
 
     A null or empty text and a text without a match give an empty array. The
-    pattern must not match the empty string.
+    pattern must not match the empty string. ``wanted(match)`` says which of them to keep.
     """
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+
+    def longer(acc: Column, x: Column) -> Column:
+        more = F.concat(
+            acc["out"],
+            F.array(
+                F.struct(
+                    F.lit(kind).alias("kind"),
+                    (acc["at"] + F.length(x["p"])).alias("start"),
+                    (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"),
+                    x["m"].alias("value"),
+                )
+            ),
+        )
+        return more if wanted is None else F.when(wanted(x["m"]), more).otherwise(acc["out"])
+
     walked = F.aggregate(
         pairs,
         F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + F.length(x["p"])).alias("start"),
-                        (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"),
-                        x["m"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
+            longer(acc, x).alias("out"),
         ),
         lambda acc: acc["out"],
     )

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from cashtrail.llm import (
+    divergence,
+    hard_negatives,
     host_rules,
+    imatch,
     maxscore,
     mixing_lm,
     ngram_join,
@@ -35,10 +38,19 @@ def queries() -> dict[str, Query]:
         mixing_lm.op8_mixing_lm,
         host_rules.op9_host_rules,
         packing.op10_packing,
+        hard_negatives.op11_hard_negatives,
+        imatch.op12_imatch,
+        divergence.op13_divergence,
     ]
     return {q.__name__: q for q in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_preference": preference.OP2_SQL, "op6_maxscore": maxscore.OP6_SQL, "op9_host_rules": host_rules.OP9_SQL}
+    found = {
+        "op2_preference": preference.OP2_SQL,
+        "op6_maxscore": maxscore.OP6_SQL,
+        "op9_host_rules": host_rules.OP9_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
+        "op13_divergence": divergence.OP13_SQL,
+    }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

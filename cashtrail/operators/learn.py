@@ -156,7 +156,7 @@ def _boosted(train: DataFrame, target: str, params: dict):
         labelCol=target,
         maxIter=params["n_estimators"],
         stepSize=params["learning_rate"],
-        maxDepth=3,
+        maxDepth=params.get("max_depth", 3),
         seed=SEED,
     ).fit(train)
 
@@ -237,6 +237,9 @@ SCORE_SCHEMA = (
 )
 
 
+LOG_SCHEMA = f"{SCORE_SCHEMA}, below_expected boolean, overfit boolean, run_ts string"
+
+
 def evaluate(
     train: DataFrame,
     test: DataFrame,
@@ -284,10 +287,20 @@ def best_model(scores: DataFrame) -> DataFrame:
     return scores.agg(F.max_by("model", "test_r2").alias("model"), F.max("test_r2").alias("test_r2"))
 
 
+def best_of_runs(runs: DataFrame) -> DataFrame:
+    """One row per run: how many models it holds, and its best one with its flags."""
+    order = F.struct(F.round("test_r2", 6), "model")
+    row = F.struct("model", "params", "test_r2", "below_expected", "overfit")
+    best = runs.groupBy("run_ts").agg(F.count(F.lit(1)).alias("models"), F.max_by(row, order).alias("best"))
+    return best.select("run_ts", "models", "best.*")
+
+
 def log_runs(scores: DataFrame, path: str, run_ts: str) -> None:
-    """Append one row per model of a run."""
-    scores.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(path)
+    """One row per model of a run; a run that is logged again replaces its rows."""
+    writer = scores.withColumn("run_ts", F.lit(run_ts)).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The log, with the names of runs as text."""
+    return spark.read.schema(LOG_SCHEMA).parquet(path)

@@ -9,7 +9,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from cashtrail import contract
-from cashtrail.operators import clean, learn, neighbours, splits
+from cashtrail.functions import money
+from cashtrail.operators import clean, learn, neighbours, search, splits
 from cashtrail.plans import training
 from cashtrail.plans.catalog import register
 from cashtrail.session import new_folder
@@ -100,8 +101,9 @@ def forest_by_day(spark, sf):
 
 @register
 def boosting_by_day(spark, sf):
-    """Trees of depth three hold seven days: the first fits the means, later ones add nothing."""
-    return _hats(spark, sf, "Gradient Boosting", "day_of_week", {"n_estimators": 50, "learning_rate": 0.1}, digits=4)
+    """Trees of depth six part seven days in any order of cuts: the first fits the means, later ones add nothing."""
+    params = {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 6}
+    return _hats(spark, sf, "Gradient Boosting", "day_of_week", params, digits=4)
 
 
 @register
@@ -189,3 +191,35 @@ def run_log(spark, sf):
     path = new_folder(spark, "runs")
     learn.log_runs(scores, path, "2024-01-31")
     return learn.best_model(learn.read_runs(spark, path))
+
+
+def _by_level(spark, sf):
+    """Train and test rows whose one feature is the amount's level: four values, which trees of depth three part."""
+    rows = demo_tables.complaints(spark, sf).withColumn("amount_level", money.amount_risk_level(F.col("amount_lost")).cast("double"))
+    rows = rows.select("complaint_id", "amount_level", *contract.TARGETS).dropna()
+    return splits.train_test(VectorAssembler(inputCols=["amount_level"], outputCol="features").transform(rows))
+
+
+@register
+def model_search(spark, sf):
+    """All learners over their whole grids: every candidate, the choice, its scores and flags, the best model."""
+    candidates, scores, _ = search.evaluate(*_by_level(spark, sf))
+    best = "row_number() OVER (ORDER BY round(test_r2, 6) DESC, model) = 1 AS best"
+    scores = scores.drop("cv_r2", "params").selectExpr("*", best, "true AS chosen")
+    figures = ["cv_r2", "train_r2", "train_mse", "train_mae", "test_r2", "test_mse", "test_mae"]
+    return candidates.join(scores, ["model", "chosen"], "left").select(
+        "model", "params", "chosen", *[F.round(c, 6).alias(c) for c in figures], "below_expected", "overfit", "best"
+    )
+
+
+@register
+def run_history(spark, sf):
+    """Two runs of a search in one log, one of them logged twice; the best model of each."""
+    path = new_folder(spark, "runs")
+    quick = [learn.learner(n) for n in ("Decision Tree", "Ridge Regression", "Linear Regression")]
+    _, scores, _ = search.evaluate(*_by_level(spark, sf), learners=quick)
+    for run_ts, kept in (("2024-01-30", "model <> 'Decision Tree'"), ("2024-01-31", "true"), ("2024-01-31", "true")):
+        learn.log_runs(scores.where(kept), path, run_ts)
+    return learn.best_of_runs(learn.read_runs(spark, path)).select(
+        "run_ts", "models", "model", "params", F.round("test_r2", 6).alias("test_r2"), "below_expected", "overfit"
+    )

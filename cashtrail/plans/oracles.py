@@ -850,9 +850,85 @@ BODIES |= {
 }
 
 
+_POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
+
+
+def _search(learners: tuple[str, ...], rounds: int = 100) -> str:
+    """CTEs: what every candidate guesses for each level, its cross-validated R2, and the scores of the chosen."""
+    draw = "CAST(('0x' || substr(md5(complaint_id || 'bag' || CAST(j // 4 AS VARCHAR)), 1 + 7 * (j % 4), 7)) AS BIGINT) / 268435456.0::DOUBLE"
+    bag = "CASE " + " ".join(f"WHEN u < {_num(p)} THEN {i}" for i, p in enumerate(_POISSON)) + f" ELSE {len(_POISSON)} END"
+    guesses = {
+        "Random Forest": """SELECT 'Random Forest' AS model, 2 * c + d AS position, printf('{"max_depth": %d, "n_estimators": %d}', 10 + 10 * d, 50 + 50 * c) AS params, h, t, x,
+          avg(m) FILTER (j < 50 + 50 * c) AS p FROM bagged, range(2) a(c), range(2) b(d) GROUP BY ALL""",
+        "Gradient Boosting": """SELECT 'Gradient Boosting', 2 * c + d, printf('{"learning_rate": %.1f, "n_estimators": %d}', 0.1 + 0.1 * d, 50 + 50 * c), h, t, x,
+          mean + (1 - (1 - (0.1::DOUBLE + 0.1::DOUBLE * d)) ** (50 + 50 * c)) * (m - mean) FROM levels JOIN lines USING (h, t), range(2) a(c), range(2) b(d)""",
+        "Linear Regression": "SELECT 'Linear Regression', 0, '{}', h, t, x, mean + sxy / sxx * (x - mean_x) FROM levels JOIN lines USING (h, t)",
+        "Ridge Regression": """SELECT 'Ridge Regression', i, printf('{"alpha": %.1f}', alpha), h, t, x, mean + sxy / (sxx + alpha) * (x - mean_x)
+          FROM levels JOIN lines USING (h, t), (VALUES (0, 1.0::DOUBLE), (1, 10.0::DOUBLE)) a(i, alpha)""",
+        "Decision Tree": """SELECT 'Decision Tree', d, printf('{"max_depth": %d}', 10 + 10 * d), h, t, x, m FROM levels, range(2) b(d)""",
+        "KNN": """SELECT 'KNN', d, printf('{"n_neighbors": %d}', 5 + 2 * d), h, t, x, avg(y) FILTER (near <= 5 + 2 * d)
+          FROM (SELECT *, row_number() OVER (PARTITION BY h, t, x ORDER BY complaint_id) AS near FROM learnt), range(2) b(d) GROUP BY ALL""",
+        "AdaBoost": """SELECT 'AdaBoost', c, printf('{"n_estimators": %d}', 50 + 50 * c), h, t, x, min(p) FILTER (upto >= 0.5 * total)
+          FROM (SELECT *, sum(vote) OVER (PARTITION BY c, h, t, x ORDER BY p, round) AS upto, sum(vote) OVER (PARTITION BY c, h, t, x) AS total
+            FROM members, range(2) a(c) WHERE round <= 50 + 50 * c) GROUP BY ALL""",
+    }
+    boosting = f""", weighted AS (
+      SELECT h, t, x, y, count(*)::DOUBLE AS n, 1.0::DOUBLE AS w, 0 AS round, NULL::DOUBLE AS p, NULL::DOUBLE AS vote, true AS going FROM learnt GROUP BY h, t, x, y
+      UNION ALL
+      SELECT h, t, x, y, n, CASE WHEN fine THEN w * (loss / (1 - loss)) ** (1 - miss / worst) ELSE w END, round + 1, p,
+        CASE WHEN fine THEN ln((1 - loss) / loss) WHEN round = 0 OR loss <= 0 THEN 1.0::DOUBLE END, fine
+      FROM (SELECT *, loss > 0 AND loss < 0.5 AS fine FROM (
+        SELECT *, sum(n * w * miss) OVER (PARTITION BY h, t) / worst / sum(n * w) OVER (PARTITION BY h, t) AS loss FROM (
+          SELECT *, max(miss) OVER (PARTITION BY h, t) AS worst FROM (
+            SELECT *, abs(p - y) AS miss FROM (
+              SELECT h, t, x, y, n, w, round, sum(n * w * y) OVER (PARTITION BY h, t, x) / sum(n * w) OVER (PARTITION BY h, t, x) AS p
+              FROM weighted WHERE going AND round < {rounds})))))),
+    members AS (SELECT h, t, x, round, any_value(p) AS p, any_value(vote) AS vote FROM weighted WHERE round > 0 AND vote IS NOT NULL GROUP BY ALL)"""
+    bagging = f""", bags AS (SELECT complaint_id, j, {bag} AS b FROM (SELECT complaint_id, j, {draw} AS u FROM folded, range(100) r(j) WHERE NOT test)),
+    bagged AS (SELECT h, t, x, j, sum(b * y) / sum(b) AS m FROM learnt JOIN bags USING (complaint_id) GROUP BY ALL)"""
+    scored = "1 - sum((y - p) ** 2) / (var_pop(y) * count(*))"
+    return f"""folded AS (
+      SELECT complaint_id, CAST({_AMOUNT_LEVEL} AS DOUBLE) AS x, {_TEST} AS test, {_hash("complaint_id", "fold")} % 3 AS fold,
+        withdrawal_probability AS y1, risk_score AS y2 FROM complaints WHERE {_AMOUNT_LEVEL} IS NOT NULL),
+    sides AS (SELECT complaint_id, x, test, fold, 1 AS t, y1 AS y FROM folded UNION ALL SELECT complaint_id, x, test, fold, 2, y2 FROM folded),
+    learnt AS (SELECT h, sides.* FROM sides JOIN range(4) r(h) ON NOT test AND fold <> h),
+    levels AS (SELECT h, t, x, avg(y) AS m FROM learnt GROUP BY ALL),
+    lines AS (SELECT h, t, avg(y) AS mean, avg(x) AS mean_x, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM learnt GROUP BY ALL)
+    {boosting if "AdaBoost" in learners else ""}{bagging if "Random Forest" in learners else ""},
+    guessed(model, position, params, h, t, x, p) AS ({" UNION ALL ".join(guesses[m] for m in learners)}),
+    validated AS (SELECT model, position, params, avg(r2) AS cv_r2 FROM (
+      SELECT model, position, params, h, t, {scored} AS r2 FROM guessed JOIN sides USING (t, x) WHERE NOT test AND fold = h GROUP BY ALL) GROUP BY ALL),
+    chosen AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(cv_r2, 9) DESC, position) = 1 AS chosen FROM validated),
+    figures AS (
+      SELECT model, params, test, avg(r2) AS r2, avg(mse) AS mse, avg(mae) AS mae FROM (
+        SELECT model, params, test, t, {scored} AS r2, avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae
+        FROM chosen JOIN guessed USING (model, position, params) JOIN sides USING (t, x) WHERE chosen AND h = 3 GROUP BY ALL) GROUP BY ALL),
+    judged AS (
+      SELECT a.model, a.params, a.r2 AS train_r2, a.mse AS train_mse, a.mae AS train_mae, b.r2 AS test_r2, b.mse AS test_mse, b.mae AS test_mae,
+        b.r2 < 0.9 AS below_expected, a.r2 - b.r2 > 0.05 AS overfit, row_number() OVER (ORDER BY round(b.r2, 6) DESC, a.model) = 1 AS best
+      FROM figures a JOIN figures b USING (model) WHERE NOT a.test AND b.test)"""
+
+
+_LEARNERS = ("Random Forest", "Gradient Boosting", "Linear Regression", "Ridge Regression", "Decision Tree", "KNN", "AdaBoost")
+_FIGURES = ("cv_r2", "train_r2", "train_mse", "train_mae", "test_r2", "test_mse", "test_mae")
+BODIES |= {
+    "model_search": (
+        _search(_LEARNERS),
+        f"""SELECT c.model, c.params, c.chosen, {', '.join(f'{rnd(f, 6)} AS {f}' for f in _FIGURES)}, below_expected, overfit, best
+        FROM chosen c LEFT JOIN judged j ON c.model = j.model AND c.chosen""",
+    ),
+    "run_history": (
+        _search(("Decision Tree", "Ridge Regression", "Linear Regression")[::-1]),
+        f"""SELECT run_ts, count(*) AS models, {', '.join(f"arg_max({c}, {{'a': round(test_r2, 6), 'b': model}}) AS {c}" for c in ("model", "params"))},
+        {rnd("max(test_r2)", 6)} AS test_r2, {', '.join(f"arg_max({c}, {{'a': round(test_r2, 6), 'b': model}}) AS {c}" for c in ("below_expected", "overfit"))}
+        FROM judged, (VALUES ('2024-01-30'), ('2024-01-31')) r(run_ts) WHERE run_ts = '2024-01-31' OR model <> 'Decision Tree' GROUP BY run_ts""",
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     found = {}
     for name, (extra, select) in BODIES.items():
         ctes = COMPLAINTS + (", " + extra if extra else "")
-        found[name] = f"WITH {ctes} {select}"
+        found[name] = f"WITH RECURSIVE {ctes} {select}"
     return found

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtrail.contract import LIMITS, MODEL_FEATURES, TARGETS, Limits
-from cashtrail.operators import clean, learn, neighbours, quality, scoring, splits
+from cashtrail.operators import clean, learn, neighbours, quality, scoring, search, splits
 from cashtrail.sources import readers, writers
 
 
@@ -85,7 +85,8 @@ def train_stage(
     limits: Limits = LIMITS,
 ) -> tuple[DataFrame, dict[str, object]]:
     train, test = (readers.read_stage(spark, f"{stages.matrix}_{name}") for name in ("train", "test"))
-    scores, models = learn.evaluate(train, test, learners, TARGETS, limits=limits)
+    candidates, scores, models = search.evaluate(train, test, learners, TARGETS, limits=limits)
+    writers.replace_table(candidates, stages.candidates)
     learn.log_runs(scores, runs or f"{stages.base}/runs", stages.run_ts)
     return scores, models
 

@@ -4,14 +4,17 @@ A brute-force search would compare every query with every donor. Here donors
 are cut into blocks, and the triangle inequality tells which blocks can hold a
 neighbour of a query:
 
-1. A bounded number of donors serve as pivots. Each donor belongs to its
-   nearest pivot, and each pivot's donors are cut by distance from the pivot
-   into rings of about ``block_rows`` rows. Ring edges (one pair of numbers
-   per block) are what the driver holds.
-2. Each query searches the one block it falls into. Its k-th distance there,
-   or a bound from the pivots if smaller, limits the search.
-3. Each query is sent to every other block that can come closer than that
-   limit. The best k of both steps are its neighbours.
+1. A sample of donors, as many as half the root of their number, serve as pivots.
+   Each donor belongs to its nearest pivot. Donors are dealt to tasks in ranges of
+   (pivot, distance), and each task cuts its range into blocks of ``block_rows``. The
+   blocks are written, and so is the index: for each pivot, its blocks with the
+   least and largest distance in them. Tasks and driver hold pivots, never blocks.
+2. Each query joins the index by its nearest pivot and searches one block, the
+   nearest by distance. Its k-th distance there, or a bound from the pivots if
+   smaller, limits the search.
+3. For each pivot that can have donors within that limit, the query joins the index
+   with an interval of distances, and is sent to every other block that the interval
+   meets. The best k of both steps are its neighbours.
 
 A block with many queries is searched by several tasks, each with a share of
 the queries and a copy of the block, so no task holds more than about
@@ -32,7 +35,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashtrail.contract import LIMITS
@@ -45,26 +48,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Widens every bound, so that rounding in a distance cannot exclude a neighbour.
 SLACK = 1e-9
 
-MOST_PIVOTS = 512
-
+RANGE_BLOCKS = 32  # blocks that one task cuts
 
 
 @dataclass(frozen=True)
-class Blocks:
-    """Where the donors are: pivots, and for each pivot its blocks, ring by ring."""
+class Layout:
+    """Pivots, and of each the distances to its nearest donors and to its farthest one."""
 
     pivots: np.ndarray  # pivot x feature
-    near: np.ndarray  # pivot x k: smallest donor distances of each pivot
-    low: np.ndarray  # block -> smallest donor distance
-    high: np.ndarray  # block -> largest donor distance
-    first: np.ndarray  # pivot -> its first block; one entry more than pivots
+    near: np.ndarray  # pivot x k
+    far: np.ndarray  # pivot
 
     def pivot_distances(self, points: np.ndarray) -> np.ndarray:
         return np.sqrt(squared_distances(points, self.pivots))
 
-    def between_pivots(self) -> np.ndarray:
-        return self.pivot_distances(self.pivots)
-
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances, added feature by feature in order."""
@@ -118,95 +115,78 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
 
 
-def _ring_edges(assigned: DataFrame, rings: dict[int, int]) -> dict[int, list[float]]:
-    """Inner ring edges of each pivot: quantiles of its donors' distances.
-
-    Pivots are asked in classes of similar size, so that a pivot with few
-    donors does not return as many edges as the fullest one.
-    """
-    edges: dict[int, list[float]] = {p: [] for p in rings}
-    classes: dict[int, list[int]] = {}
-    for p, n in rings.items():
-        if n > 1:
-            classes.setdefault(2 ** math.ceil(math.log2(n)), []).append(p)
-    for parts, members in classes.items():
-        shares = [i / parts for i in range(1, parts)]
-        cuts = F.percentile_approx("reach", shares, max(10000, 10 * parts))
-        for row in assigned.where(F.col("pivot").isin(members)).groupBy("pivot").agg(cuts.alias("cuts")).collect():
-            edges[row["pivot"]] = sorted(set(row["cuts"]))
-    return edges
-
-
-def _lay_out(assigned: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> Blocks:
-    sizes = {r["pivot"]: r["n"] for r in assigned.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    inner = _ring_edges(assigned, {p: math.ceil(n / block_rows) for p, n in sizes.items()})
-
+def _lay_out(assigned: DataFrame, pivots: np.ndarray, k: int) -> Layout:
     order = Window.partitionBy("pivot").orderBy("reach")
-    near = np.full((len(pivots), k), np.inf)
-    for row in (
-        assigned.select("pivot", "reach", F.row_number().over(order).alias("i")).where(F.col("i") <= k).collect()
-    ):
+    near, far = np.full((len(pivots), k), np.inf), np.zeros(len(pivots))
+    for row in assigned.select("pivot", "reach", F.row_number().over(order).alias("i")).where(F.col("i") <= k).collect():
         near[row["pivot"], row["i"] - 1] = row["reach"]
-
-    low, high, first = [], [], [0]
-    for p in range(len(pivots)):
-        if p in sizes:
-            edges = [-math.inf, *inner[p], math.inf]
-            low += edges[:-1]
-            high += edges[1:]
-        first.append(len(low))
-    return Blocks(pivots, near, np.array(low), np.array(high), np.array(first))
+    for row in assigned.groupBy("pivot").agg(F.max("reach").alias("far")).collect():
+        far[row["pivot"]] = row["far"]
+    return Layout(pivots, near, far)
 
 
-def _block_of(blocks: Blocks, pivot: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """The block of a pivot whose ring (low, high] holds the distance."""
-    found = np.empty(len(pivot), dtype="int64")
-    for p in np.unique(pivot):
-        start, end = blocks.first[p], blocks.first[p + 1]
-        mine = pivot == p
-        found[mine] = start + np.searchsorted(blocks.high[start : end - 1], reach[mine], side="left")
-    return found
+def _in_blocks(assigned: DataFrame, rows: int, block_rows: int) -> DataFrame:
+    """Donors with their block: runs of one pivot in order of distance."""
+    ranges = max(1, math.ceil(rows / (block_rows * RANGE_BLOCKS)))
+    ordered = assigned.repartitionByRange(ranges, "pivot", "reach", "donor_id").sortWithinPartitions("pivot", "reach", "donor_id")
 
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
-def _in_blocks(assigned: DataFrame, blocks: Blocks) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, first, filled, block = None, 0, 0, -1
         for frame in frames:
-            frame["block"] = _block_of(blocks, frame["pivot"].to_numpy(), frame["reach"].to_numpy())
-            yield frame[["block", "donor_id", "point", "payload"]]
+            pivot = frame["pivot"].to_numpy()
+            numbers = np.empty(len(frame), dtype="int64")
+            starts = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]])) if len(frame) else []
+            for start, end in zip(starts, [*starts[1:], len(frame)]):
+                if pivot[start] != last:
+                    last, first, filled = pivot[start], block + 1, 0
+                numbers[start:end] = first + (filled + np.arange(end - start)) // block_rows
+                filled, block = filled + end - start, int(numbers[end - 1])
+            frame["block"] = (TaskContext.get().partitionId() << 32) + numbers
+            yield frame
 
-    return assigned.mapInPandas(run, "block long, donor_id string, point array<double>, payload array<double>")
+    return ordered.mapInPandas(cut, f"{_ddl(assigned)}, block long")
 
 
-def _home_blocks(queries: DataFrame, blocks: Blocks) -> DataFrame:
-    width = blocks.pivots.shape[1]
-    empty = np.array([p for p in range(len(blocks.pivots)) if blocks.first[p] == blocks.first[p + 1]], dtype=int)
+def _index(in_blocks: DataFrame) -> DataFrame:
+    """(own, rings): the blocks of each pivot, with the distances in them."""
+    rings = in_blocks.groupBy("block").agg(F.first("pivot").alias("own"), F.min("reach").alias("low"), F.max("reach").alias("high"))
+    return rings.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("low", "high", "block"))).alias("rings"))
+
+
+def _home_blocks(queries: DataFrame, layout: Layout, index: DataFrame) -> DataFrame:
+    """Each query with the block of its nearest pivot that is nearest by distance."""
+    width = layout.pivots.shape[1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            distances = blocks.pivot_distances(_matrix(frame["point"], width))
-            distances[:, empty] = np.inf
-            pivot = distances.argmin(axis=1) if len(frame) else np.zeros(0, dtype=int)
-            reach = distances[np.arange(len(frame)), pivot]
-            frame["block"] = _block_of(blocks, pivot, reach)
-            frame["home"] = frame["block"]
-            yield frame[["query_id", "point", "block", "home"]]
-
-    return queries.mapInPandas(run, "query_id string, point array<double>, block long, home long")
+            distances = layout.pivot_distances(_matrix(frame["point"], width))
+            frame["own"] = (distances.argmin(axis=1) if len(frame) else np.zeros(0)).astype("int32")
+            frame["reach"] = distances.min(axis=1) if len(frame) else np.zeros(0)
+            yield frame[["query_id", "point", "own", "reach"]]
+
+    found = queries.mapInPandas(run, "query_id string, point array<double>, own int, reach double").join(index, "own")
+    gaps = F.transform(
+        "rings", lambda r: F.struct(F.greatest(r["low"] - F.col("reach"), F.col("reach") - r["high"], F.lit(0.0)).alias("gap"), r["block"].alias("block"))
+    )
+    return found.select("query_id", "point", F.array_min(gaps)["block"].alias("block"))
 
 
-def _limits(part: pd.DataFrame, to_pivot: np.ndarray, blocks: Blocks, k: int) -> np.ndarray:
+def _limits(part: pd.DataFrame, to_pivot: np.ndarray, layout: Layout, k: int) -> np.ndarray:
     """For each query, a distance within which its k nearest donors certainly are."""
-    by_pivots = (to_pivot[:, :, None] + blocks.near[None, :, :]).reshape(len(part), -1)
+    by_pivots = (to_pivot[:, :, None] + layout.near[None, :, :]).reshape(len(part), -1)
     limit = np.partition(by_pivots, k - 1, axis=1)[:, k - 1]
     by_home = np.array([math.sqrt(d[-1]) if len(d) >= k else np.inf for d in part["found"]])
     limit = np.minimum(limit, by_home)
     return limit + SLACK * (1 + to_pivot.max(axis=1) + np.where(np.isfinite(limit), limit, 0))
 
 
-def _beyond_planes(to_pivot: np.ndarray, between: np.ndarray) -> np.ndarray:
+def _beyond_planes(to_pivot: np.ndarray, layout: Layout) -> np.ndarray:
     """Least distance to any donor of each pivot: those lie on its side of the plane
     between it and the query's own pivot."""
-    apart = between[to_pivot.argmin(axis=1)]
+    own, place = np.unique(to_pivot.argmin(axis=1), return_inverse=True)
+    apart = layout.pivot_distances(layout.pivots[own])[place]
     theirs, own = to_pivot**2, (to_pivot.min(axis=1) ** 2)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         # less what rounding may have added to the difference of two squares
@@ -214,52 +194,39 @@ def _beyond_planes(to_pivot: np.ndarray, between: np.ndarray) -> np.ndarray:
     return np.where(apart > 0, plane, 0.0)
 
 
-def _other_blocks(searched: DataFrame, blocks: Blocks, k: int) -> DataFrame:
-    """(query, block) for every block but the home that may hold a neighbour.
-
-    The rings of a pivot within reach are consecutive, so each (query, pivot)
-    gives one range of blocks.
-    """
-    width = blocks.pivots.shape[1]
-    between = blocks.between_pivots()
+def _other_blocks(searched: DataFrame, layout: Layout, index: DataFrame, k: int) -> DataFrame:
+    """(query, block) for every block but the home that may hold a neighbour: pivots
+    within reach, then a join with the index by pivot and interval of distances."""
+    width = layout.pivots.shape[1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             points = _matrix(frame["point"], width)
             for start in range(0, len(frame), 512):
                 part = frame.iloc[start : start + 512]
-                to_pivot = blocks.pivot_distances(points[start : start + 512])
-                limit = _limits(part, to_pivot, blocks, k)
-                reachable = _beyond_planes(to_pivot, between) <= limit[:, None]
-                rows, found = [], []
-                for p in range(len(blocks.pivots)):
-                    asked = np.flatnonzero(reachable[:, p])
-                    mine = slice(blocks.first[p], blocks.first[p + 1])
-                    if not len(asked) or mine.start == mine.stop:
-                        continue
-                    distance = to_pivot[asked, p]
-                    begin = np.searchsorted(blocks.high[mine], distance - limit[asked], side="left")
-                    end = np.searchsorted(blocks.low[mine], distance + limit[asked], side="right")
-                    count = np.maximum(end - begin, 0)
-                    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    rows.append(np.repeat(asked, count))
-                    found.append(mine.start + np.repeat(begin, count) + offset)
-                row = np.concatenate(rows) if rows else np.zeros(0, dtype=int)
-                block = np.concatenate(found) if found else np.zeros(0, dtype=int)
-                new = block != part["home"].to_numpy()[row]
-                chosen = part.iloc[row[new]]
+                to_pivot = layout.pivot_distances(points[start : start + 512])
+                limit = _limits(part, to_pivot, layout, k)[:, None]
+                meets = (to_pivot - limit <= layout.far) & (to_pivot + limit >= layout.near[:, 0])
+                row, pivot = np.nonzero(meets & (_beyond_planes(to_pivot, layout) <= limit))
+                chosen = part.iloc[row]
                 yield pd.DataFrame(
                     {
                         "query_id": chosen["query_id"].to_numpy(),
                         "point": chosen["point"].to_numpy(),
-                        "block": block[new].astype("int64"),
+                        "home": chosen["home"].to_numpy(),
+                        "own": pivot.astype("int32"),
+                        "least": (to_pivot - limit)[row, pivot],
+                        "most": (to_pivot + limit)[row, pivot],
                     }
                 )
 
-    return searched.mapInPandas(run, "query_id string, point array<double>, block long")
+    kind = "query_id string, point array<double>, home long, own int, least double, most double"
+    asked = searched.mapInPandas(run, kind).join(index, "own")
+    met = F.filter("rings", lambda r: (r["low"] <= F.col("most")) & (r["high"] >= F.col("least")) & (r["block"] != F.col("home")))
+    return asked.select("query_id", "point", F.explode(met).alias("ring")).select("query_id", "point", F.col("ring.block").alias("block"))
 
 
-def _search(queries: DataFrame, donors: DataFrame, blocks: Blocks, k: int, chunk_rows: int) -> DataFrame:
+def _search(queries: DataFrame, donors: DataFrame, k: int, chunk_rows: int) -> DataFrame:
     """Best k donors of each (query, block) pair."""
     shares = queries.groupBy("block").agg(
         F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")
@@ -341,9 +308,8 @@ def nearest(
 ) -> DataFrame:
     """The k nearest donors of every query: query_id, donor_id, distance2, payload, position.
 
-    Rows with a gap in ``features`` take part on neither side. The donors and
-    the result of the first search are checkpointed, because the layout is
-    taken from the former and both later steps read the latter.
+    Rows with a gap in ``features`` take part on neither side. Donors, blocks, index and
+    the result of the first search are checkpointed: later steps read each several times.
     """
     spark = queries.sparkSession
     shared_folder(spark)
@@ -355,31 +321,25 @@ def nearest(
         _vector(features).alias("point"),
         _vector(payload).alias("payload") if payload else F.array().cast("array<double>").alias("payload"),
     )
-    # the smallest hashes: a repeatable sample, kept by each task as a short list;
-    # the same job counts the donors, which settles how many pivots are used
-    seen = Observation("donors")
-    sample = (
-        offered.observe(seen, F.count(F.lit(1)).alias("rows"))
-        .orderBy(F.xxhash64("donor_id"), "donor_id")
-        .limit(pivots or MOST_PIVOTS)
-        .select("point")
-        .collect()
-    )
+    rows = offered.count()
+    wanted = pivots or max(1, math.isqrt(rows) // 2)
+    # the smallest hashes: a repeatable sample, kept by each task as a short list
+    sample = offered.orderBy(F.xxhash64("donor_id"), "donor_id").limit(wanted).select("point").collect()
     if not sample:
         return spark.createDataFrame(
             [], "query_id string, donor_id string, distance2 double, payload array<double>, position int"
         )
-    wanted = pivots or max(1, math.isqrt(seen.get["rows"]) // 2)
-    centres = np.unique(np.array([row["point"] for row in sample[:wanted]], dtype=float), axis=0)
+    centres = np.unique(np.array([row["point"] for row in sample], dtype=float), axis=0)
     same = Window.partitionBy("point").orderBy("donor_id")
     held = offered.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
     assigned = _assign(held, centres).checkpoint()
-    blocks = _lay_out(assigned, centres, k, block_rows)
-    in_blocks = _in_blocks(assigned, blocks)
+    layout = _lay_out(assigned, centres, k)
+    in_blocks = _in_blocks(assigned, rows, block_rows).checkpoint()
+    index = _index(in_blocks).checkpoint()
 
-    first = _search(_home_blocks(asked, blocks), in_blocks, blocks, k, chunk_rows)
+    first = _search(_home_blocks(asked, layout, index), in_blocks, k, chunk_rows)
     first = first.withColumnRenamed("block", "home").checkpoint()
-    second = _search(_other_blocks(first, blocks, k), in_blocks, blocks, k, chunk_rows)
+    second = _search(_other_blocks(first, layout, index, k), in_blocks, k, chunk_rows)
     pairs = [
         part.select("query_id", F.explode(F.arrays_zip("donors", "found", "payloads")).alias("d")).select(
             "query_id",

@@ -1,32 +1,18 @@
-"""Running totals and exact quantiles without sorting a whole column in one task."""
+"""Running totals and exact medians without sorting a whole column in one task."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashtrail.session import shared_folder
 
-
 RANGE_ROWS = 50_000  # distinct values that one task sorts
-
-
-def _with_range(grouped: DataFrame, key: str, value: str, cuts: dict[str, list[float]]) -> DataFrame:
-    """Add ``_range``, the position of the value among its own key's cut points."""
-    position = F.lit(0)
-    working = []
-    for i, (name, points) in enumerate(cuts.items()):
-        if points:
-            working.append(f"_range_{i}")
-            grouped = Bucketizer(
-                splits=[-math.inf, *points, math.inf], inputCol=value, outputCol=working[-1]
-            ).transform(grouped)
-            position = F.when(F.col(key) == name, F.col(working[-1]).cast("int")).otherwise(position)
-    return grouped.withColumn("_range", position).drop(*working)
+CELLS = 1024  # parts of an interval in one pass of a selection
+FEW_ROWS = 10_000  # distinct values that end a selection
 
 
 def kept(grouped: DataFrame) -> DataFrame:
@@ -36,23 +22,19 @@ def kept(grouped: DataFrame) -> DataFrame:
 
 
 def running_totals(
-    grouped: DataFrame, key: str, value: str, measures: Sequence[str], buckets: int | None = None
+    grouped: DataFrame, key: str, value: str, measures: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
     """Add ``<measure>_upto``, summed over all smaller or equal values, and ``<measure>_total``.
 
-    ``grouped`` has one row per (key, value), with few keys, and is kept already: it
-    is read three times. Approximate quantiles of the distinct values cut each key
-    into ranges of about ``RANGE_ROWS`` values; the cut points (keys x ranges numbers)
-    are all that reaches the driver. They only steer the work: any cut points give
-    the same totals.
+    ``grouped`` has one row per (key, value) and is kept already. A prefix sum in three
+    steps: rows are dealt to tasks by ranges of (key, value), about ``RANGE_ROWS`` each, and
+    written with the number of their range; every range is summed; the sums of the ranges
+    before it are joined back and added to the running total inside. The driver sees no
+    cut point, and a range is as long as its share of the rows, whatever the key.
     """
-    if buckets is None:
-        most = grouped.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-        buckets = max(2, -(-most // RANGE_ROWS))
-    shares = [i / buckets for i in range(1, buckets)]
-    sampled = grouped.groupBy(key).agg(F.percentile_approx(value, shares, 10000).alias("cuts")).collect()
-    cuts = {row[key]: sorted(set(row["cuts"])) for row in sampled}
-    ranged = _with_range(grouped, key, value, cuts)
+    if ranges is None:
+        ranges = max(1, math.ceil(grouped.count() / RANGE_ROWS))
+    ranged = kept(grouped.repartitionByRange(ranges, key, value).withColumn("_range", F.spark_partition_id()))
 
     everything = Window.partitionBy(key)
     earlier = everything.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,21 +55,46 @@ def running_totals(
     )
 
 
-def exact_medians(df: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
+def exact_medians(df: DataFrame, key: str, value: str, few: int = FEW_ROWS, cells: int = CELLS) -> DataFrame:
     """Median of ``value`` per key; values that are missing or no number don't count."""
     numbers = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counted = numbers.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    return medians_of_counts(kept(counted), key, value, buckets)
+    return medians_of_counts(kept(counted), key, value, few, cells)
 
 
-def medians_of_counts(counted: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
-    """Median per key, the mean of the two middle values, from kept rows (key, value, n)."""
-    running = running_totals(counted, key, value, ["n"], buckets)
-    lower = F.floor((F.col("n_total") + 1) / 2)
-    upper = F.floor((F.col("n_total") + 2) / 2)
+def medians_of_counts(counted: DataFrame, key: str, value: str, few: int = FEW_ROWS, cells: int = CELLS) -> DataFrame:
+    """Median per key, the mean of the two middle values, from kept rows (key, value, n).
 
-    def value_at(rank: Column) -> Column:
-        covers = (F.col("n_upto") >= rank) & (F.col("n_upto") - F.col("n") < rank)
-        return F.max(F.when(covers, F.col(value)))
-
-    return running.groupBy(key).agg(((value_at(lower) + value_at(upper)) / 2).alias("median"))
+    Selection by successive histograms. An open interval per key and rank starts as the
+    whole range of values; each pass counts the rows in its equal parts and keeps the part
+    that holds the rank, until the parts hold ``few`` different values together or can't
+    be halved; only these are sorted. The intervals are a table as long as the keys.
+    """
+    value_of = F.col(value).cast("double")
+    ends = counted.groupBy(key).agg(F.min(value_of).alias("low"), F.max(value_of).alias("high"), F.sum("n").alias("total"))
+    ranks = F.array(F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2))
+    # rank: how many rows from the least value of the interval on
+    wanted = kept(ends.select(key, F.posexplode(ranks).alias("which", "rank"), "low", "high"))
+    while True:
+        inside = counted.join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, key).where(
+            (value_of >= F.col("low")) & (value_of <= F.col("high"))
+        )
+        middle = F.col("low") + (F.col("high") - F.col("low")) / 2
+        size = inside.groupBy(key, "which").agg(
+            F.count(F.lit(1)).alias("values"), F.first((middle > F.col("low")) & (middle < F.col("high"))).alias("splits")
+        )
+        if size.where((F.col("values") > few) & F.col("splits")).isEmpty():
+            break
+        share = (value_of - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(5e-324))
+        cell = F.least(F.floor(share * cells), F.lit(cells - 1))
+        counts = inside.withColumn("cell", cell).groupBy(key, "which", "rank", "cell").agg(
+            F.sum("n").alias("n"), F.min(value_of).alias("low"), F.max(value_of).alias("high")
+        )
+        before = Window.partitionBy(key, "which").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        holds = (F.col("_before") < F.col("rank")) & (F.col("_before") + F.col("n") >= F.col("rank"))
+        wanted = kept(counts.where(holds).select(key, "which", (F.col("rank") - F.col("_before")).alias("rank"), "low", "high"))
+    upto = Window.partitionBy(key, "which").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = inside.withColumn("_upto", F.sum("n").over(upto))
+    at_rank = (F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("n") < F.col("rank"))
+    return chosen.where(at_rank).groupBy(key).agg((F.sum(value) / 2).alias("median"))

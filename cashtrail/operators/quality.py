@@ -181,7 +181,7 @@ def ks_drift(
     current: DataFrame,
     columns: Sequence[str] | None = None,
     p_value: float = LIMITS.drift_p_value,
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test of every numeric column.
 

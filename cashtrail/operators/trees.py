@@ -142,6 +142,18 @@ class Batch:
     y: np.ndarray
     drawn: np.ndarray
     state: np.ndarray
+    at: np.ndarray | None = None
+
+    def places(self, few: np.ndarray) -> np.ndarray:
+        """Where each row's bins stand among the few that occur."""
+        if self.at is None:
+            self.at = np.searchsorted(few, np.ascontiguousarray(self.bins).view(few.dtype).ravel())
+        return self.at
+
+    def answers(self, tree: Tree, few: np.ndarray | None) -> np.ndarray:
+        if few is None:
+            return tree.predict(self.bins)
+        return tree.predict(few.view(np.uint8).reshape(len(few), -1))[self.places(few)]
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Batch:
@@ -283,7 +295,7 @@ def _sums_of_few(data: DataFrame, sampler: Sampler, count: int, few: np.ndarray)
         sums = np.zeros((count, 2, len(few)))
         for raw in batches:
             batch = Batch.of(raw)
-            at = np.searchsorted(few, np.ascontiguousarray(batch.bins).view(few.dtype).ravel())
+            at = batch.places(few)
             sample = sampler(batch)
             for t in range(count):
                 weight, target = sample(t)
@@ -496,7 +508,7 @@ def _with_state(frame: Frame, state: Callable[[Batch], np.ndarray], purpose: str
 
 def boosted(frame: Frame, models: Sequence[tuple[int, int, float]], rounds: int, depth: int = 3) -> list[Ensemble]:
     """Least-squares boosting from the mean; a model is (fold held out, target, rate)."""
-    count = len(models)
+    count, few = len(models), frame.few
 
     def means(batch: Batch) -> np.ndarray:
         learns = [(_learns(batch, h), batch.y[:, t]) for h, t, _ in models]
@@ -512,7 +524,7 @@ def boosted(frame: Frame, models: Sequence[tuple[int, int, float]], rounds: int,
         out = batch.state.copy()
         for m, trees in enumerate(recent):
             for tree in trees:
-                out[:, m] += models[m][2] * tree.predict(batch.bins)
+                out[:, m] += models[m][2] * batch.answers(tree, few)
         return out
 
     def sampler(batch: Batch):
@@ -536,7 +548,7 @@ def reweighted(frame: Frame, models: Sequence[Model], rounds: int, depth: int =
     A model stops early when a tree is perfect, or when its weighted loss reaches a half
     (that tree doesn't count, unless it is the first).
     """
-    count = len(models)
+    count, few = len(models), frame.few
     frame = _with_state(frame, lambda batch: np.ones((len(batch.fold), count)), "weights")
     made: list[list[Tree]] = [[] for _ in models]
     votes: list[list[float]] = [[] for _ in models]
@@ -544,7 +556,7 @@ def reweighted(frame: Frame, models: Sequence[Model], rounds: int, depth: int =
     going = list(range(count))
 
     def missed(batch: Batch, m: int, tree: Tree) -> np.ndarray:
-        return np.abs(tree.predict(batch.bins) - batch.y[:, models[m][1]])
+        return np.abs(batch.answers(tree, few) - batch.y[:, models[m][1]])
 
     def weights(batch: Batch) -> np.ndarray:
         out = batch.state.copy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashtrail.functions import geo, numbers
@@ -52,14 +52,25 @@ def daily_cells(log: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def rolling(daily: DataFrame, days: int, keys: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
-    """Every window of ``days`` days that ends on or after a day with data.
+    """Every window of ``days`` days that holds a day with data, named by its first day.
 
-    Windows are named by their first day. Only daily totals are repeated, never
-    the rows they were counted from.
+    A day's totals enter with the first window that holds the day and leave after the last
+    one: two changes for each day and key, which are added up in order. Between two changes
+    all windows are alike; they are only written out at the end.
     """
-    starts = F.sequence(F.date_sub("day", days - 1), F.col("day"), F.expr("interval 1 day"))
-    spread = daily.withColumn("window_start", F.explode(starts))
-    return spread.groupBy("window_start", *keys).agg(*[F.sum(s).alias(s) for s in sums])
+
+    def change(at: Column, sign: int) -> Column:
+        totals = [(sign * F.col(s)).alias(s) for s in sums]
+        return F.struct(at.alias("window_start"), F.lit(sign).alias("_days"), *totals)
+
+    day, measures = F.to_date("day"), ("_days", *sums)
+    changes = daily.select(*keys, F.explode(F.array(change(F.date_sub(day, days - 1), 1), change(F.date_add(day, 1), -1))).alias("_change"))
+    summed = changes.groupBy(*keys, F.col("_change.window_start").alias("_from")).agg(*[F.sum(f"_change.{m}").alias(m) for m in measures])
+    order = Window.partitionBy(*keys).orderBy("_from")  # a key has two rows a day at most
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    running = summed.select(*keys, "_from", F.lead("_from").over(order).alias("_next"), *[F.sum(m).over(upto).alias(m) for m in measures])
+    starts = F.sequence("_from", F.date_sub("_next", 1), F.expr("interval 1 day"))
+    return running.where("_days > 0").select(F.explode(starts).alias("window_start"), *keys, *sums)
 
 
 def rolling_heatmap(log: DataFrame, days: int = 30, digits: int = 2) -> DataFrame:

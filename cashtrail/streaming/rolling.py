@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cashtrail.functions import geo, numbers
+from cashtrail.operators import heatmap
 
 WATERMARK = "1 hour"
 
@@ -74,17 +75,12 @@ def read_days(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFram
     return latest.select(*keys, "_latest.*")
 
 
-def _spans(days: DataFrame, length: int) -> DataFrame:
-    return days.withColumn("window_start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.date_sub(F.to_date("day"), i))))
-
-
 def heatmap_windows(spark: SparkSession, path: str, days: int = 30) -> DataFrame:
-    spans = _spans(read_days(spark, path, ("day", "lat", "lng")), days)
-    summed = spans.groupBy("window_start", "lat", "lng").agg(F.sum("p_sum").alias("p_sum"), F.sum("incidents").alias("incident_count"))
-    risk = F.col("p_sum").cast("double") / F.col("incident_count")
-    return summed.select("window_start", "lat", "lng", risk.alias("risk_score"), "incident_count")
+    totals = read_days(spark, path, ("day", "lat", "lng"))
+    summed = heatmap.rolling(totals, days, ("lat", "lng"), ("p_sum", "incidents"))
+    risk = F.col("p_sum").cast("double") / F.col("incidents")
+    return summed.select("window_start", "lat", "lng", risk.alias("risk_score"), F.col("incidents").alias("incident_count"))
 
 
 def count_windows(spark: SparkSession, path: str, days: int = 7) -> DataFrame:
-    spans = _spans(read_days(spark, path, ("day",)), days)
-    return spans.groupBy("window_start").agg(F.sum("predictions").alias("predictions"), F.sum("high_risk").alias("high_risk"))
+    return heatmap.rolling(read_days(spark, path, ("day",)), days, (), ("predictions", "high_risk"))

@@ -188,17 +188,21 @@ def cleaned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", leng
     Texts with neither pass unchanged. ``length``, if the table has it, gets the new
     number of code points where the text changes.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
     rows = found_spans(docs, id_column, text)
     added = disclosed_spans(docs, rows, disclosing_terms(rows), id_column, text)
-    joined = _on_text(docs.withColumns({"_id": F.col(id_column), "_hash": F.xxhash64(whole), "_base": base_spans(whole)}), added)
+    # the caller's columns travel as one, apart from the working columns, whatever their names
+    own = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
+    row = docs.select(own.alias("_row"))
+    old = F.col("_row").getField(text)
+    whole = F.coalesce(old, F.lit(""))
+    joined = _on_text(row.select("_row", F.col("_row").getField(id_column).alias("_id"), F.xxhash64(whole).alias("_hash"), base_spans(whole).alias("_base")), added)
     joined = joined.withColumn("_spans", spans.by_start(F.concat("_base", F.coalesce("added", spans.none())), KINDS))
     touched = F.size("_spans") > 0
-    new = F.when(touched, spans.replaced(F.col(text), F.col("_spans"), _mark(F.col(text)))).otherwise(F.col(text))
-    changed = joined.withColumn("_new", new)
+    changed = joined.withColumn("_new", F.when(touched, spans.replaced(old, F.col("_spans"), _mark(old))).otherwise(old))
+    out = {c: F.col("_row").getField(c) for c in docs.columns} | {text: F.col("_new")}
     if length and length in docs.columns:
-        changed = changed.withColumn(length, F.when(touched, F.length("_new").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return changed.withColumn(text, F.col("_new")).select(*docs.columns)
+        out[length] = F.when(touched, F.length("_new").cast(docs.schema[length].dataType)).otherwise(out[length])
+    return changed.select(*[column.alias(c) for c, column in out.items()])
 
 
 def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

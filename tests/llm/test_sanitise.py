@@ -65,3 +65,16 @@ def test_repeated_rows_count_alike_in_every_figure(spark):
     assert tuple(found) == ("zanzibarite", 1.0)
     out = sanitise.cleaned(docs, length=None).filter("doc_id < 2 or doc_id is null").collect()
     assert len(out) == 12 and not any("Zanz" in r["text"] for r in out)
+
+
+def test_columns_named_like_working_ones_come_back_as_they_were(spark):
+    names = ["_id", "_hash", "_base", "_spans", "_new", "added", "base", "_row", "terms", "names", "shares", "_t", "_found", "a.b", "n_chars_2"]
+    df = spark.createDataFrame([(1, "write to kim0@corp.org now", 26), (2, "nothing here", 12), (3, None, None)], "doc_id long, text string, n_chars long")
+    docs = df.withColumns({n: F.concat(F.lit(f"own {n} "), F.col("doc_id").cast("string")) for n in names})
+    out = sanitise.cleaned(docs)
+    assert out.columns == docs.columns
+    rows = {r["doc_id"]: r.asDict() for r in out.collect()}
+    for doc_id, row in rows.items():
+        assert [row[n] for n in names] == [f"own {n} {doc_id}" for n in names]
+    assert rows[1]["text"] == "write to <EMAIL> now" and rows[1]["n_chars"] == 20
+    assert rows[2]["text"] == "nothing here" and rows[3]["text"] is None and rows[3]["n_chars"] is None

@@ -40,35 +40,22 @@ STRETCH = 1 << 19  # tokens that are planned together
 OPENING = 24  # price of a sequence beside its padding, in tokens
 SENTENCE_CUT, FORCED_CUT = 12, 400  # price of a cut inside a document
 FORCED_STEP = 64
-KEPT_STEMS = 250_000
+KEPT_STEMS = 1_000_000
+PER_CALL = 500  # stems the tokenizer gets as one text
 RUN = 2_000_000  # characters whose equal words are looked up once
 MARKS = (",", ".")
+PROBE = "Ab, cD.\tef  GH\nThe end of 12 x's"
 MARK_BYTES = np.frombuffer("".join(MARKS).encode(), dtype=np.uint8)  # in order
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class _Rows(dict):
-    """Numbers for texts in the order they turn up; ``new`` lists those not seen before."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, text: str) -> int:
-        self[text] = row = len(self)
-        self.new.append(text)
-        return row
-
-    def taken(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
-
-
 class WordTokens:
     """Ids of a tokenizer that lower-cases and never looks across a space or line end.
 
     Every word is a stem and perhaps a mark behind it: a mark behind a letter, at the
     end of a word, is a token of its own. Equal stems of a run of texts are looked up
-    once; the ids of the stems are remembered, up to a bounded number.
+    once, by their 64-bit hash; the ids of at most about ``KEPT_STEMS`` stems are
+    remembered, in arrays of some 40 bytes a stem, for all tasks of a worker.
     """
 
     _loaded: dict[str, WordTokens] = {}
@@ -97,10 +84,14 @@ class WordTokens:
         if any(len(ids) != 1 for ids in marks):
             raise ValueError("a mark must be one token")
         self.marks = np.array([0, *[ids[0] for ids in marks]], dtype=np.uint32)
+        whole, apart = self._encode([PROBE])[0], self._encode(PROBE.lower().split())
+        if whole != list(chain.from_iterable(apart)):
+            raise ValueError("the tokenizer keeps case or looks across blanks")
         self.forget()
 
     def forget(self) -> None:
-        self.stems = _Rows()
+        self.known = np.zeros(0, dtype=np.uint64)  # hashes of the stems, ascending
+        self.rows = np.zeros(0, dtype=np.int64)  # their places in the tables
         self.starts = np.zeros(0, dtype=np.int64)  # of each stem, in the ids
         self.sizes = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
@@ -108,25 +99,47 @@ class WordTokens:
     def _encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _encode_letters(self, stems: list[str]) -> Iterator[list[int]]:
-        """Words of letters, many to a call: the tokenizer says which token is of which word."""
-        runs = [stems[at : at + 500] for at in range(0, len(stems), 500)]
-        for run, found in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False)):
-            ids, ends = found.ids, np.searchsorted(found.word_ids, np.arange(len(run)), side="right").tolist()
-            yield from (ids[a:b] for a, b in zip([0, *ends], ends))
-
-    def _learn(self) -> None:
-        """Take the stems that turned up into the tables."""
-        fresh = self.stems.taken()
-        # Latin letters are one word to the tokenizer ("\u0130" is no single letter in lower case)
-        plain = [s.isascii() and s.isalpha() or s.isalpha() and max(s) < "\u0250" and "\u0130" not in s for s in fresh]
-        letters = self._encode_letters([s for s, p in zip(fresh, plain) if p])
-        other = iter(self._encode([s for s, p in zip(fresh, plain) if not p]))
-        found = [next(letters) if p else next(other) for p in plain]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    def _encode_many(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stems and how many each has; the stems hold no comma, which stands between them."""
+        ids, sizes = [], []
+        runs = [stems[at : at + PER_CALL] for at in range(0, len(stems), PER_CALL)]
+        for run, found in zip(runs, self._encode([f" {MARKS[0]} ".join(run) for run in runs])):
+            all_ids = np.array(found, dtype=np.uint32)
+            between = np.flatnonzero(all_ids == self.marks[1])
+            if len(between) != len(run) - 1:
+                raise ValueError("the tokenizer does not keep words apart")
+            sizes.append(np.diff(np.concatenate([[-1], between, [len(all_ids)]])) - 1)
+            ids.append(np.delete(all_ids, between))
+        return np.concatenate(ids or [self.ids[:0]]), np.concatenate(sizes or [self.sizes[:0]])
+
+    def _learn(self, hashes: np.ndarray, stems: list[str]) -> None:
+        """Take new stems into the tables."""
+        # ASCII and Latin letters keep to themselves ("\u0130" is no single letter in lower case)
+        many = [
+            MARKS[0] not in s and "<|" not in s if s.isascii() else s.isalpha() and max(s) < "\u0250" and "\u0130" not in s
+            for s in stems
+        ]
+        ids, sizes = self._encode_many([s for s, m in zip(stems, many) if m])
+        one_by_one = self._encode([s for s, m in zip(stems, many) if not m])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, one_by_one), dtype=np.int64, count=len(one_by_one))])
+        ids = np.concatenate([ids, np.array(list(chain.from_iterable(one_by_one)), dtype=np.uint32)])
+        many = np.array(many, dtype=bool)
+        hashes = np.concatenate([hashes[many], hashes[~many]])
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, at, hashes[order])
+        self.rows = np.insert(self.rows, at, len(self.rows) + order)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands or would stand among the known ones, and if it does."""
+        at = np.searchsorted(self.known, hashes)
+        there = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.known)
+        there[inside] = self.known[at[inside]] == hashes[inside]
+        return at, there
 
     def batch(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
@@ -140,7 +153,7 @@ class WordTokens:
                 group, size = [], 0
 
     def _ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.stems) > KEPT_STEMS:
+        if len(self.known) > KEPT_STEMS:
             self.forget()
         special = any("<|" in t for t in texts)  # names of special tokens are not lower-cased
         whole, text_ends = joined(texts, lower=not special)
@@ -155,14 +168,17 @@ class WordTokens:
         stems = whole.copy()
         stems[ends[marked] - 1] = 32
         word, distinct = pd.factorize(range_hashes(stems, starts, classes(False)))
-        first = np.zeros(len(distinct), dtype=np.int64)
-        first[word[::-1]] = np.arange(len(word))[::-1]
-        data = stems.tobytes()
-        stops = (ends - (marks > 0))[first].tolist()
-        spelt = (data[a:b].decode() for a, b in zip(starts[first].tolist(), stops))
-        rows = np.fromiter(map(self.stems.__getitem__, spelt), dtype=np.int64, count=len(distinct))
-        if self.stems.new:
-            self._learn()
+        at, there = self._places(distinct)
+        fresh = np.flatnonzero(~there)
+        if len(fresh):
+            first = np.zeros(len(distinct), dtype=np.int64)
+            first[word[::-1]] = np.arange(len(word))[::-1]
+            first = first[fresh]
+            data = stems.tobytes()
+            stops = (ends - (marks > 0))[first].tolist()
+            self._learn(distinct[fresh], [data[a:b].decode() for a, b in zip(starts[first].tolist(), stops)])
+            at, _ = self._places(distinct)
+        rows = self.rows[at]
         rows = rows[word]
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes + (marks > 0))
@@ -314,7 +330,6 @@ def packed(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
                 if stream.waiting >= STRETCH:
                     yield from rows(last=False)
         yield from rows(last=True)
-        tokens.forget()  # a worker that waits for its next task holds no words
 
     return docs.select(id_column, text).mapInArrow(tidy(run), RESULT + (", ids array<int>" if with_ids else ""))
 

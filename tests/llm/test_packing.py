@@ -110,3 +110,20 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     for text in texts:
         (ids,) = tokens.batch([text])
         assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_forgetting_stems_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_STEMS", 3)
+    tokenizer, tokens = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    texts = [t or "" for t in HAND] + [f"word{i}, Wort{i % 7}é. {i}" for i in range(1500)]
+    for at in range(0, len(texts), 400):
+        some = texts[at : at + 400]
+        for text, ids in zip(some, tokens.batch(some)):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(tokens.known) == len(tokens.rows) == len(tokens.sizes)
+    assert (np.diff(tokens.known.astype(object)) > 0).all()
+
+
+def test_a_tokenizer_that_sees_blanks_is_refused():
+    with pytest.raises(ValueError):
+        packing.WordTokens(public_tokenizers.path("byte_bpe_50k.json"))

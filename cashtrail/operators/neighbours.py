@@ -28,14 +28,15 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cashtrail.contract import LIMITS
@@ -50,6 +51,11 @@ SLACK = 1e-9
 
 RANGE_BLOCKS = 32  # blocks that one task cuts
 
+FOUND = "query_id string, donor_id string, distance2 double, payload array<double>, position int"
+LAYOUT_ROWS = "pivot int, point array<double>, near array<double>, far double"
+LISTED = "name string, built string"
+ABOUT = "features array<string>, k int, key string"
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -295,8 +301,54 @@ def _search(queries: DataFrame, donors: DataFrame, k: int, chunk_rows: int) -> D
     )
 
 
-def nearest(
-    queries: DataFrame,
+@dataclass(frozen=True)
+class DonorIndex:
+    """Donors of one set of features, ready to be searched for their k nearest."""
+
+    k: int
+    layout: Layout
+    in_blocks: DataFrame
+    index: DataFrame
+
+    def save(self, path: str) -> None:
+        """Store the index in a folder of its own."""
+        spark = self.in_blocks.sparkSession
+        self.in_blocks.write.parquet(f"{path}/blocks")
+        self.index.write.parquet(f"{path}/rings")
+        layout = self.layout
+        rows = zip(range(len(layout.far)), layout.pivots.tolist(), layout.near.tolist(), layout.far.tolist())
+        spark.createDataFrame(list(rows), LAYOUT_ROWS).write.parquet(f"{path}/layout")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> DonorIndex:
+        found = spark.read.schema(LAYOUT_ROWS).parquet(f"{path}/layout").orderBy("pivot").collect()
+        pivots, near, far = (np.array([row[c] for row in found], dtype=float) for c in ("point", "near", "far"))
+        blocks, rings = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/rings")
+        return cls(near.shape[1], Layout(pivots, near, far), blocks, rings)
+
+    def search(self, queries: DataFrame, features: Sequence[str], key: str = "complaint_id", chunk_rows: int = 2048) -> DataFrame:
+        """query_id, donor_id, distance2, payload and position of the k nearest donors of every query."""
+        asked = queries.where(_complete(features)).select(
+            F.col(key).cast("string").alias("query_id"), _vector(features).alias("point")
+        )
+        first = _search(_home_blocks(asked, self.layout, self.index), self.in_blocks, self.k, chunk_rows)
+        first = first.withColumnRenamed("block", "home").checkpoint()
+        second = _search(_other_blocks(first, self.layout, self.index, self.k), self.in_blocks, self.k, chunk_rows)
+        pairs = [
+            part.select("query_id", F.explode(F.arrays_zip("donors", "found", "payloads")).alias("d")).select(
+                "query_id",
+                F.col("d.donors").alias("donor_id"),
+                F.col("d.found").alias("distance2"),
+                F.col("d.payloads").alias("payload"),
+            )
+            for part in (first, second)
+        ]
+        order = Window.partitionBy("query_id").orderBy("distance2", "donor_id")
+        found = pairs[0].unionByName(pairs[1]).withColumn("position", F.row_number().over(order))
+        return found.where(F.col("position") <= self.k)
+
+
+def donor_index(
     donors: DataFrame,
     features: Sequence[str],
     k: int,
@@ -304,18 +356,12 @@ def nearest(
     payload: Sequence[str] = (),
     pivots: int | None = None,
     block_rows: int = 2048,
-    chunk_rows: int = 2048,
-) -> DataFrame:
-    """The k nearest donors of every query: query_id, donor_id, distance2, payload, position.
+) -> DonorIndex | None:
+    """Lay donors out for searches; None if none of them has all features.
 
-    Rows with a gap in ``features`` take part on neither side. Donors, blocks, index and
-    the result of the first search are checkpointed: later steps read each several times.
+    Assigned donors, blocks and index are checkpointed: later steps read each several times.
     """
-    spark = queries.sparkSession
-    shared_folder(spark)
-    asked = queries.where(_complete(features)).select(
-        F.col(key).cast("string").alias("query_id"), _vector(features).alias("point")
-    )
+    shared_folder(donors.sparkSession)
     offered = donors.where(_complete(features)).select(
         F.col(key).cast("string").alias("donor_id"),
         _vector(features).alias("point"),
@@ -326,33 +372,35 @@ def nearest(
     # the smallest hashes: a repeatable sample, kept by each task as a short list
     sample = offered.orderBy(F.xxhash64("donor_id"), "donor_id").limit(wanted).select("point").collect()
     if not sample:
-        return spark.createDataFrame(
-            [], "query_id string, donor_id string, distance2 double, payload array<double>, position int"
-        )
+        return None
     centres = np.unique(np.array([row["point"] for row in sample], dtype=float), axis=0)
     same = Window.partitionBy("point").orderBy("donor_id")
     held = offered.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
     assigned = _assign(held, centres).checkpoint()
     layout = _lay_out(assigned, centres, k)
     in_blocks = _in_blocks(assigned, rows, block_rows).checkpoint()
-    index = _index(in_blocks).checkpoint()
-
-    first = _search(_home_blocks(asked, layout, index), in_blocks, k, chunk_rows)
-    first = first.withColumnRenamed("block", "home").checkpoint()
-    second = _search(_other_blocks(first, layout, index, k), in_blocks, k, chunk_rows)
-    pairs = [
-        part.select("query_id", F.explode(F.arrays_zip("donors", "found", "payloads")).alias("d")).select(
-            "query_id",
-            F.col("d.donors").alias("donor_id"),
-            F.col("d.found").alias("distance2"),
-            F.col("d.payloads").alias("payload"),
-        )
-        for part in (first, second)
-    ]
-    order = Window.partitionBy("query_id").orderBy("distance2", "donor_id")
-    return (
-        pairs[0].unionByName(pairs[1]).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
-    )
+    return DonorIndex(k, layout, in_blocks, _index(in_blocks).checkpoint())
+
+
+def nearest(
+    queries: DataFrame,
+    donors: DataFrame,
+    features: Sequence[str],
+    k: int,
+    key: str = "complaint_id",
+    payload: Sequence[str] = (),
+    pivots: int | None = None,
+    block_rows: int = 2048,
+    chunk_rows: int = 2048,
+) -> DataFrame:
+    """The k nearest donors of every query: query_id, donor_id, distance2, payload, position.
+
+    Rows with a gap in ``features`` take part on neither side.
+    """
+    index = donor_index(donors, features, k, key, payload, pivots, block_rows)
+    if index is None:
+        return queries.sparkSession.createDataFrame([], FOUND)
+    return index.search(queries, features, key, chunk_rows)
 
 
 def knn_predict(
@@ -395,10 +443,31 @@ def knn_impute(
     occur are listed first, and there are few of them. A row without anything in
     common with any fitted row gets the column mean.
     """
-    asked = df.withColumn("_gaps", _gaps(features))
     held = fitted_on.withColumn("_gaps", _gaps(features))
+
+    def search(asked: DataFrame, theirs: int, shared: list[str], offered: list[str]) -> DataFrame:
+        return nearest(asked, held.where(F.col("_gaps") == theirs), shared, k, key, payload=offered)
+
+    return _filled(df, features, k, key, held.select("_gaps").distinct(), _means(fitted_on, features), search)
+
+
+def _means(fitted_on: DataFrame, features: Sequence[str]) -> DataFrame:
+    return fitted_on.agg(*[F.avg(numbers.known(F.col(c))).alias(c) for c in features])
+
+
+def _filled(
+    df: DataFrame,
+    features: Sequence[str],
+    k: int,
+    key: str,
+    held_gaps: DataFrame,
+    means: DataFrame,
+    search: Callable[[DataFrame, int, list[str], list[str]], DataFrame],
+) -> DataFrame:
+    """The fill itself; ``search`` finds, for rows of one pattern, the nearest donors of another."""
+    asked = df.withColumn("_gaps", _gaps(features))
     asked_patterns = [r[0] for r in asked.where("_gaps <> 0").select("_gaps").distinct().collect()]
-    held_patterns = [r[0] for r in held.select("_gaps").distinct().collect()] if asked_patterns else []
+    held_patterns = [r[0] for r in held_gaps.collect()] if asked_patterns else []
 
     parts = []
     for mine in asked_patterns:
@@ -408,9 +477,7 @@ def knn_impute(
             if not shared or not offered:
                 continue
             # the search does not depend on what is filled: one serves all features
-            found = nearest(
-                asked.where(F.col("_gaps") == mine), held.where(F.col("_gaps") == theirs), shared, k, key, payload=offered
-            )
+            found = search(asked.where(F.col("_gaps") == mine), theirs, shared, offered)
             named = [F.struct(F.lit(f).alias("feature"), F.col("payload")[i].alias("value")) for i, f in enumerate(offered)]
             parts.append(
                 found.withColumn("_fill", F.explode(F.array(*named))).select(
@@ -421,7 +488,6 @@ def knn_impute(
                     F.col("_fill.value").alias("value"),
                 )
             )
-    means = fitted_on.agg(*[F.avg(numbers.known(F.col(c))).alias(c) for c in features])
     filled = asked.drop("_gaps")
     if not parts:
         return filled.withColumns({c: _fill(c, means) for c in features}) if asked_patterns else filled
@@ -440,6 +506,74 @@ def knn_impute(
     )
 
 
+@dataclass(frozen=True)
+class FittedImputer:
+    """A fill from the k nearest fitted rows, stored below one folder.
+
+    The folder holds the fitted rows by pattern of gaps, the column means, and an index
+    of donors for each pair of (pattern of the donors, features in common) that was
+    ever asked for. An index is built on first use and opened ever after, by any session:
+    fitted rows never change, so it cannot go stale. Each build writes a folder of its own
+    and then a line in the list of indexes; of builds that ran side by side, or again after
+    a failure, the first in order of name is used, and all are equal.
+    """
+
+    spark: SparkSession
+    path: str
+    features: tuple[str, ...]
+    k: int
+    key: str
+
+    def _rows(self) -> DataFrame:
+        columns = ", ".join(f"`{f}` double" for f in self.features)
+        return self.spark.read.schema(f"`{self.key}` string, {columns}, `_gaps` bigint").parquet(f"{self.path}/rows")
+
+    def _index(self, theirs: int, shared: list[str], offered: list[str]) -> DonorIndex | None:
+        name = f"{theirs}-{sum(1 << j for j, f in enumerate(self.features) if f in shared)}"
+        listed = self.spark.read.schema(LISTED).parquet(f"{self.path}/list").where(F.col("name") == name)
+        built = listed.agg(F.min("built")).first()[0]
+        if built is None:
+            index = donor_index(self._rows().where(F.col("_gaps") == theirs), shared, self.k, self.key, payload=offered)
+            if index is None:
+                return None
+            built = f"{self.path}/indexes/{name}/{uuid.uuid4().hex}"
+            index.save(built)
+            self.spark.createDataFrame([(name, built)], LISTED).write.mode("append").parquet(f"{self.path}/list")
+        return DonorIndex.open(self.spark, built)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Fill the gaps of ``df`` as :func:`knn_impute` does."""
+        shared_folder(self.spark)
+
+        def search(asked: DataFrame, theirs: int, shared: list[str], offered: list[str]) -> DataFrame:
+            index = self._index(theirs, shared, offered)
+            return self.spark.createDataFrame([], FOUND) if index is None else index.search(asked, shared, self.key)
+
+        read = self.spark.read.parquet
+        return _filled(df, self.features, self.k, self.key, read(f"{self.path}/gaps"), read(f"{self.path}/means"), search)
+
+
+def fit_imputer(
+    rows: DataFrame, features: Sequence[str], path: str, k: int = LIMITS.neighbours, key: str = "complaint_id"
+) -> FittedImputer:
+    """Store what a fill needs of ``rows`` in a folder that no other fit uses."""
+    spark = rows.sparkSession
+    imputer = FittedImputer(spark, path, tuple(features), k, key)
+    numbers_of = [F.col(f).cast("double").alias(f) for f in features]
+    fitted = rows.select(F.col(key).cast("string").alias(key), *numbers_of).withColumn("_gaps", _gaps(features))
+    fitted.write.partitionBy("_gaps").parquet(f"{path}/rows")
+    imputer._rows().select("_gaps").distinct().write.parquet(f"{path}/gaps")
+    _means(imputer._rows(), features).write.parquet(f"{path}/means")
+    spark.createDataFrame([], LISTED).write.parquet(f"{path}/list")
+    spark.createDataFrame([(list(features), k, key)], ABOUT).write.parquet(f"{path}/about")
+    return imputer
+
+
+def load_imputer(spark: SparkSession, path: str) -> FittedImputer:
+    about = spark.read.schema(ABOUT).parquet(f"{path}/about").first()
+    return FittedImputer(spark, path, tuple(about["features"]), about["k"], about["key"])
+
+
 def _fill(column: str, means: DataFrame, filler: str | None = None) -> Column:
     choices = [numbers.known(F.col(column))] + ([F.col(filler)] if filler else []) + [means.select(column).scalar()]
     return F.coalesce(*choices)

@@ -138,13 +138,11 @@ def model_roundtrip(spark, sf):
     return scored.select("complaint_id", F.round("prediction", 4).alias("prediction"))
 
 
-@register
-def model_bulk_score(spark, sf):
-    """Train on one feature, store the run, load it and score the whole table with it."""
-    rows = _rows(spark, sf)
+def _scored_by_run(spark, rows, features):
+    """Train a line on the features, store the run, load it and score the whole table with it."""
     stages = training.Stages(new_folder(spark, "run"), "2024-01-31")
     writers.write_split(splits.with_split(rows), stages.split)
-    training.transform_stage(spark, stages, ("amount_lost",))
+    training.transform_stage(spark, stages, features)
     train = readers.read_stage(spark, f"{stages.matrix}_train")
     learn.learner("Linear Regression").fit(train, contract.TARGETS, {}).save(stages.model)
     scored = training.load_run(spark, stages.base, stages.run_ts).bulk_score(rows)
@@ -153,6 +151,19 @@ def model_bulk_score(spark, sf):
     )
 
 
+@register
+def model_bulk_score(spark, sf):
+    """A stored run of one feature scores the whole table."""
+    return _scored_by_run(spark, _rows(spark, sf), ("amount_lost",))
+
+
+@register
+def model_bulk_score_gaps(spark, sf):
+    """A stored run of two features, whose gaps are filled from the nearest training rows when it learns and when it scores."""
+    rows = clean.add_time_features(demo_tables.gappy_complaints(spark, sf))
+    return _scored_by_run(spark, rows, ("amount_lost", "hour"))
+
+
 def _scores(spark, sf, *learners):
     table, _ = learn.evaluate(*_frames(spark, sf), learners=learners)
     return table

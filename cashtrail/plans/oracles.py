@@ -750,6 +750,13 @@ BODIES |= {
     ),
 }
 
+# what bulk scoring makes of a model's probability
+_BY_MODEL = f"""SELECT complaint_id, {rnd("p", 3)} AS withdrawal_probability,
+        CAST(greatest(1, least(trunc(24 - raw * 48), 72)) AS INTEGER) AS predicted_hours_to_withdrawal,
+        CASE WHEN p > 0.7 THEN 'HIGH' WHEN p > 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+        {rnd("least(p * 1.1::DOUBLE, 1.0::DOUBLE)", 3)} AS confidence_score, {rnd("1.0::DOUBLE + 4.0::DOUBLE * (1 - p)", 1)} AS alert_radius_km
+        FROM (SELECT complaint_id, raw, greatest(0.1::DOUBLE, least(raw, 0.99::DOUBLE)) AS p FROM guessed)"""
+
 BODIES |= {
     "alerts_stream": (
         _SCORED,
@@ -839,13 +846,21 @@ BODIES |= {
     "model_bulk_score": (
         f"""line AS (SELECT regr_slope(withdrawal_probability, amount_lost) AS slope, regr_intercept(withdrawal_probability, amount_lost) AS base
           FROM complaints WHERE NOT ({_TEST})),
-        guessed AS (SELECT complaint_id, base + slope * amount_lost AS raw, greatest(0.1::DOUBLE, least(base + slope * amount_lost, 0.99::DOUBLE)) AS p
-          FROM complaints, line)""",
-        f"""SELECT complaint_id, {rnd("p", 3)} AS withdrawal_probability,
-        CAST(greatest(1, least(trunc(24 - raw * 48), 72)) AS INTEGER) AS predicted_hours_to_withdrawal,
-        CASE WHEN p > 0.7 THEN 'HIGH' WHEN p > 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-        {rnd("least(p * 1.1::DOUBLE, 1.0::DOUBLE)", 3)} AS confidence_score, {rnd("1.0::DOUBLE + 4.0::DOUBLE * (1 - p)", 1)} AS alert_radius_km
-        FROM guessed""",
+        guessed AS (SELECT complaint_id, base + slope * amount_lost AS raw FROM complaints, line)""",
+        _BY_MODEL,
+    ),
+    # gaps of the amount: the mean of the first five training rows by distance of the hour
+    "model_bulk_score_gaps": (
+        f"""hours AS (SELECT DISTINCT hr AS h FROM gappy),
+        near AS (SELECT h, amount_lost, row_number() OVER (PARTITION BY h ORDER BY abs(h - hr), complaint_id) AS i
+          FROM hours, gappy WHERE amount_lost IS NOT NULL AND NOT ({_TEST})),
+        fills AS (SELECT h AS hr, avg(amount_lost) AS fill FROM near WHERE i <= 5 GROUP BY h),
+        filled AS (SELECT complaint_id, coalesce(amount_lost, fill)::DOUBLE AS a, hr::DOUBLE AS b, withdrawal_probability AS y FROM gappy JOIN fills USING (hr)),
+        sums AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy
+          FROM filled WHERE NOT ({_TEST})),
+        plane AS (SELECT ma, mb, my, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ka, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS kb FROM sums),
+        guessed AS (SELECT complaint_id, my + ka * (a - ma) + kb * (b - mb) AS raw FROM filled, plane)""",
+        _BY_MODEL,
     ),
 }
 

@@ -56,20 +56,15 @@ def validate_stage(spark: SparkSession, stages: Stages, limits: Limits = LIMITS)
     return quality.no_drift(spark.read.schema(drift.schema).json(stages.drift_report))
 
 
-def _complete(train: DataFrame, test: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Fill gaps from training rows; a no-op for rows that went through cleaning."""
-    return tuple(neighbours.knn_impute(rows, train, features) for rows in (train, test))
-
-
 def transform_stage(
     spark: SparkSession, stages: Stages, features: Sequence[str] = MODEL_FEATURES
 ) -> PipelineModel:
     train, test = (
         clean.add_model_features(readers.read_split(spark, stages.split, name)) for name in ("train", "test")
     )
-    # what fills the gaps is stored with the run: scoring fills them from the same rows
-    writers.replace_table(train.select(learn.KEY, *features), stages.donors)
-    train, test = _complete(train, test, features)
+    # what fills the gaps is stored with the run: scoring opens the same rows and indexes
+    imputer = neighbours.fit_imputer(train, features, stages.imputer, key=learn.KEY)
+    train, test = imputer.transform(train), imputer.transform(test)
     preprocessor = clean.fit_preprocessor(train, features)
     writers.save_model(preprocessor, stages.preprocessor)
     for name, rows in (("train", train), ("test", test)):
@@ -123,14 +118,12 @@ class StoredRun:
 
     preprocessor: PipelineModel
     model: object
-    donors: DataFrame
+    imputer: neighbours.FittedImputer
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        features = [c for c in self.donors.columns if c != learn.KEY]
-        added = clean.add_model_features(rows)
-        filled = neighbours.knn_impute(added, self.donors, features) if len(features) > 1 else added
+        filled = self.imputer.transform(clean.add_model_features(rows))
         scored = self.model.transform(self.preprocessor.transform(filled))
-        return clean.drop_working_columns(scored, features)
+        return clean.drop_working_columns(scored, self.imputer.features)
 
     def bulk_score(self, rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
         """The prediction columns from the model's probability."""
@@ -140,5 +133,5 @@ class StoredRun:
 def load_run(spark: SparkSession, base: str, run_ts: str) -> StoredRun:
     stages = Stages(base, run_ts)
     return StoredRun(
-        writers.load_model(PipelineModel, stages.preprocessor), learn.load(spark, stages.model), readers.read_stage(spark, stages.donors)
+        writers.load_model(PipelineModel, stages.preprocessor), learn.load(spark, stages.model), neighbours.load_imputer(spark, stages.imputer)
     )

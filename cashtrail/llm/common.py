@@ -64,6 +64,22 @@ def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """The names wanted for working columns, with marks in front where the table has such a column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(docs: DataFrame) -> Column:
+    """All columns of the table as one struct, out of the way of working columns."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; none for a null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

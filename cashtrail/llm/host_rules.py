@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashtrail.llm.common import BLANKS, NOT_BLANK, documents, small_side, stored, words_of
+from cashtrail.llm.common import BLANKS, NOT_BLANK, documents, free_names, small_side, stored, words_of
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
@@ -41,26 +41,27 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the five measures and ``base_failed`` to every row."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(NOT_BLANK))
-    kept = [c for c in docs.columns if c.lower() not in {*MEASURES, "base_failed"}]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], words_of(F.col(text)).alias("_words"), lines.alias("_lines"))
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in {*MEASURES, "base_failed"}]
+    word_list, line_list, hashes, ordered = free_names(docs, "_words", "_lines", "_windows", "_ordered")
+    out = docs.select(*kept, words_of(F.col(text)).alias(word_list), lines.alias(line_list))
     windows = F.transform(
-        F.sequence(F.lit(0), F.size("_words") - WINDOW),
-        lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(WINDOW)]),
+        F.sequence(F.lit(0), F.size(word_list) - WINDOW),
+        lambda i: F.xxhash64(*[F.get(F.col(word_list), i + k) for k in range(WINDOW)]),
     )
     out = out.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.size("_words").cast("long").alias("n_words"),
+        *kept,
+        F.size(word_list).cast("long").alias("n_words"),
         F.length(F.regexp_replace(whole, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_words") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias("_windows"),
+        (F.size(line_list) - F.size(F.array_distinct(line_list))).cast("long").alias("n_dup_lines"),
+        F.when(F.size(word_list) >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias(hashes),
     )
-    pairs = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    out = out.withColumn("_ordered", F.when(repeated, F.sort_array(pairs))).drop("_windows")
+    pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    out = out.withColumn(ordered, F.when(repeated, F.sort_array(pairs))).drop(hashes)
     out = out.withColumn(
-        "n_repeat_words", F.when(F.col("_ordered").isNull(), 0).otherwise(_covered(F.col("_ordered"))).cast("long")
-    ).drop("_ordered")
+        "n_repeat_words", F.when(F.col(ordered).isNull(), 0).otherwise(_covered(F.col(ordered))).cast("long")
+    ).drop(ordered)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
     return out.withColumn("base_failed", failed)
 
@@ -95,8 +96,10 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", limit: flo
     """
     rows = measured(docs, text)
     rows = stored(rows if keep_text else rows.drop(text), "host-rules")
-    verdicts = small_side(host_verdicts(rows, host, limit).select("_host", "host_rate", "host_kept"), 100_000)
-    out = rows.drop("host_rate", "host_kept", "kept").join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    (name,) = free_names(rows, "_host")
+    verdicts = host_verdicts(rows, host, limit).select(F.col("_host").alias(name), "host_rate", "host_kept")
+    rows = rows.drop("host_rate", "host_kept", "kept")
+    out = rows.join(small_side(verdicts, 100_000), F.col(host).eqNullSafe(F.col(name)), "left").drop(name)
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cashtrail.llm.common import free_names
+
 OPEN, CLOSE = "<|", "|>"
 TURN_END = "<|end|>\n"
 LEARNT = "assistant"
@@ -59,21 +61,22 @@ def common_turns(one: Column, other: Column) -> Column:
 def formatted(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Replace the two conversations by prompt, completions and spans."""
     results = {"n_prompt_turns", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans"}
-    kept = [c for c in pairs.columns if c not in results | {chosen, rejected}]
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in pairs.columns if c.lower() not in results | {chosen.lower(), rejected.lower()}]
     sides = [F.coalesce(F.col(c).cast(TURNS), F.array().cast(TURNS)) for c in (chosen, rejected)]
-    rows = pairs.select(*kept, sides[0].alias("_one"), sides[1].alias("_other"))
-    rows = rows.withColumn("n_prompt_turns", common_turns(F.col("_one"), F.col("_other")))
+    one, other, prompt = free_names(pairs, "_one", "_other", "_prompt")
+    rows = pairs.select(*kept, sides[0].alias(one), sides[1].alias(other))
+    rows = rows.withColumn("n_prompt_turns", common_turns(F.col(one), F.col(other)))
     after = F.col("n_prompt_turns") + 1
     rows = rows.select(
         *kept, "n_prompt_turns",
-        F.slice("_one", F.lit(1), F.col("n_prompt_turns")).alias("_prompt"),
-        F.slice("_one", after, F.size("_one")).alias("_one"),
-        F.slice("_other", after, F.size("_other")).alias("_other"),
+        F.slice(one, F.lit(1), F.col("n_prompt_turns")).alias(prompt),
+        F.slice(one, after, F.size(one)).alias(one),
+        F.slice(other, after, F.size(other)).alias(other),
     )
     return rows.select(
-        *kept, "n_prompt_turns", rendered(F.col("_prompt")).alias("prompt"),
-        rendered(F.col("_one")).alias("chosen_text"), learnt_spans(F.col("_one")).alias("chosen_spans"),
-        rendered(F.col("_other")).alias("rejected_text"), learnt_spans(F.col("_other")).alias("rejected_spans"),
+        *kept, "n_prompt_turns", rendered(F.col(prompt)).alias("prompt"),
+        rendered(F.col(one)).alias("chosen_text"), learnt_spans(F.col(one)).alias("chosen_spans"),
+        rendered(F.col(other)).alias("rejected_text"), learnt_spans(F.col(other)).alias("rejected_spans"),
     )
 
 

@@ -11,20 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtrail.llm import host_rules, ngram_join, packing, quality_model, sanitise
-from cashtrail.llm.common import small_side, stored
+from cashtrail.llm.common import free_names, own_columns, small_side, stored
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    out = quality_model.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score="_score")
-    return out.filter(F.col("_score") >= 0.5).select(*docs.columns)
+    (score,) = free_names(docs, "_score")
+    out = quality_model.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score=score)
+    return out.filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose host is rejected, go."""
-    return host_rules.judged(docs, keep_text=True).filter("kept").select(*docs.columns)
+    """Documents that fail the rules, or whose host is rejected, go; the others keep every column as it was."""
+    rows = docs.select("text", "source", own_columns(docs).alias("_row"))
+    return host_rules.judged(rows).filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

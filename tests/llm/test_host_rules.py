@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cashtrail.llm import host_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,6 +57,15 @@ def test_one_host_and_no_rows(spark):
     assert host_rules.judged(rows.filter("doc_id < 0")).count() == 0
 
 
+def test_columns_named_like_working_ones_come_back_as_they_were(spark):
+    rows = table(spark).filter("doc_id is not null and doc_id <> 200")
+    names = ["_words", "_lines", "_Windows", "_ordered", "_host", "__host", "a.b"]
+    plain = {r["doc_id"]: r["kept"] for r in host_rules.judged(rows).collect()}
+    found = host_rules.judged(rows.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})).collect()
+    assert {r["doc_id"]: r["kept"] for r in found} == plain
+    assert all([r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names] for r in found)
+
+
 def test_plan_is_native(spark):
     plan = host_rules.measured(table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

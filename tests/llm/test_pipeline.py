@@ -106,3 +106,12 @@ def test_query_equals_sql(spark, sf_dir, name):
     place = [other.columns.index(c) for c in columns]
     assert sorted(other.columns) == columns
     assert mine == Counter(tuple(r[i] for i in place) for r in other.fetchall())
+
+
+def test_rules_leave_columns_named_like_measures_alone(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text, "s", 7, "mine", "own") for i in range(3)] + [(9, "short", "s", 7, "mine", "own")],
+                                 "doc_id long, text string, source string, n_words int, kept string, _row string")
+    out = corpus_pipeline.quality_rules(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(i, text, "s", 7, "mine", "own") for i in range(3)]

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cashtrail.llm import preference as p
 
 
@@ -37,6 +39,14 @@ def test_pairs_equal_a_plain_rendering(spark):
     assert found == {i: brute(a, b) for i, (a, b) in enumerate(pairs)}
 
 
+def test_columns_named_like_working_ones_come_back_as_they_were(spark):
+    df = spark.createDataFrame([(1, [("user", "a")], [("user", "b")])], f"pair_id int, chosen {p.TURNS}, rejected {p.TURNS}")
+    names = ["_one", "_Other", "_prompt", "__one", "a.b"]
+    row = p.formatted(df.withColumns({n: F.lit(f"own {n}") for n in names})).first()
+    assert [row[n] for n in names] == [f"own {n}" for n in names]
+    assert tuple(row)[-6:] == brute([("user", "a")], [("user", "b")])
+
+
 def test_pairs_from_conversations(spark):
     rows = [
         (1, 0, "user", "q"), (1, 1, "assistant", "one"), (1, 2, "user", "r"), (1, 3, "assistant", "two"), (1, 4, "user", "end"),

@@ -4,23 +4,31 @@ The model spells the words of a text, lower-cased, each with a blank behind it,
 single blank at the end of the text. A symbol is a path of bits in a code tree made
 from the corpus' byte counts. Each bit has one predictor per context (the last one to
 four symbols of the word, the word so far, and this with the kind of the word before):
-counts of zeros and ones in a hashed table of fixed size, filled from all training documents. The predictions are
-stretched, weighted and added; the gate picks the weights by how often the longer
-contexts were seen. The sum is refined by what really followed such sums (an adaptive
-probability map). Weights and map are learnt online, bit by bit in small batches,
-in every task from all its training texts; each occurrence is taken out of the
+counts of zeros and ones in a hashed table, filled from all training documents. The
+predictions are stretched, weighted and added; the gate picks the weights by how often
+the longer contexts were seen. The sum is refined by what really followed such sums (an
+adaptive probability map). Weights and map are learnt online, bit by bit in small
+batches, in every task from all its training words; each occurrence is taken out of the
 counts it is predicted from, and averaged over all tasks.
 
-Contexts reach back to the kind of the word before and no further, so equal words
-behind equal kinds are spelled once in a block, and words that begin alike share steps.
+Contexts reach back to the kind of the word before and no further, so a word behind a
+kind is spelled, learnt from and scored once, however often it occurs. Spark adds up
+these pairs over the corpus and joins their scores back:
 
-The exact counts of words don't fit into a broadcast. Every block of documents lists
-its distinct words once, the list meets the counts by word (a 64-bit hash), and goes
-back to its block.
+1. every task cuts its texts into blocks, and writes for each document the places of its
+   pairs in the block's list, and for each block the list with its counts;
+2. the lists are added up by pair (a partial aggregate), and the pairs by word;
+3. code tree, tables, weights and map are fitted on the pairs; each pair is scored;
+4. the lists meet the scored pairs and go back to their blocks.
+
+Texts are read once and never shuffled. A frequent word has one row per block in the
+join. The tables' cells follow the number of different pairs, from 2^-8 to twice
+``SIZES``, which bounds what is broadcast to 70 MB.
 
 A null text counts as empty: no words, one end. A row with a null id is never learnt
 from and counts as not held out. Repeated rows are learnt and scored one by one.
 Without training documents all counts are zero. Further columns are not carried through.
+Case and runs of blanks are not coded; ``bits_per_byte`` counts the coded bytes only.
 """
 
 from __future__ import annotations
@@ -32,17 +40,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtrail.llm.common import documents, remainder, small_batches, stored, tidy
-from cashtrail.llm.hashed import joined, mixed, word_places, word_ranges
+from cashtrail.llm.hashed import mixed, word_places
 from cashtrail.llm.tables import added_up
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK = 4_000_000  # characters of a block of documents
-BLANK, BLANKS = 0x20, [9, 10, 11, 12, 13, 32]
-# Bits of the hashed table of each context: 1 to 4 symbols, the word so far (from the
+RUN = 4_000_000  # characters worked on at once
+BLOCK = 24_000_000  # characters of a block of documents
+PAIRS = 200_000  # pairs of a word and a kind spelled at once
+LISTED = 10_000  # rows of a batch of a block's list
+BLANK = 0x20
+# Bits of the hashed table of each context at 2^23 pairs: 1 to 4 symbols, the word so far (from the
 # place DEEP on the last six symbols), and the word so far with the kind of the word
 # before, by its last letters (from the place EARLY on the last five symbols).
 SIZES = (16, 18, 20, 20, 22, 21)
@@ -50,8 +62,6 @@ LASTS, EARLY, DEEP = 6, 3, 8
 KINDS = 32
 SIGNS = np.frombuffer(b".,;:!?", dtype=np.uint8)
 END = np.uint64(0xE4D)  # the hash of a text's end
-STARTS = np.concatenate([[0], np.cumsum([1 << s for s in SIZES])]).astype(np.int64)
-CELLS = int(STARTS[-1])
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SOFT = 0.1  # added to both counts of a predictor
 # gates: upper ends of the count classes of three contexts
@@ -60,9 +70,17 @@ GATES = (len(SEEN_BEHIND) + 1) * (len(SEEN_WORD) + 1) * (len(SEEN_FOUR) + 1)
 MAP = 33  # classes of the refining map
 MIX_BATCH = 8192
 FIXED = 1 << 20  # weights travel as whole numbers
-_RESULT = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long, owned long"
+_LISTED = (
+    "block long, doc_id long, held_out boolean, n_tokens long, n_bytes long, places binary, "
+    "place int, word binary, before int, n long"
 )
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long"
+
+
+def table_sizes(pairs: int) -> tuple[int, ...]:
+    """Bits of the tables for so many different pairs."""
+    more = math.ceil(math.log2(max(pairs, 1) / (1 << 23)))
+    return tuple(s + min(max(more, -8), 1) for s in SIZES)
 
 
 def code_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +112,15 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, first
 
 
-class Spelling:
-    """The distinct words of a run of texts, and the distinct steps that spell them."""
+class Pairs:
+    """The distinct pairs (word, kind of the word before) of a run of texts.
+
+    A text ends with the empty word. ``number`` is the pair of each word, ``words_of``
+    the words of each text with its end.
+    """
 
     def __init__(self, texts: list[str | None]):
         whole, starts, ends, hashes, words_of = word_places(texts)
-        # a text ends with a word without symbols of its own
         after = np.cumsum(words_of)
         starts, ends = np.insert(starts, after, 0), np.insert(ends, after, 0)
         hashes, self.words_of = np.insert(hashes, after, END), words_of + 1
@@ -111,10 +132,20 @@ class Spelling:
         before[np.cumsum(self.words_of) - self.words_of] = 0  # nothing before a text's first word
         with np.errstate(over="ignore"):
             keys = hashes ^ mixed(before + np.uint64(31))
-        self.token_word, first = _distinct(keys)
-        self.words = hashes[first]
-        self.word_count = np.bincount(self.token_word, minlength=len(first))
-        starts, sizes, before = starts[first], (ends - starts)[first], before[first]
+        self.number, first = _distinct(keys)
+        self.keys, self.before = keys[first], before[first].astype(np.int32)
+        self.bytes_of = np.add.reduceat(ends - starts + 1, np.cumsum(self.words_of) - self.words_of)
+        data = whole.tobytes()
+        self.words = pa.array([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], pa.binary())
+
+
+class Spelling:
+    """The distinct steps that spell pairs of a word and the kind before it."""
+
+    def __init__(self, words: pa.Array, before: np.ndarray):
+        limits = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        whole = np.frombuffer((words.buffers()[2] or b"") or b" ", dtype=np.uint8)
+        starts, sizes, before = limits[:-1], np.diff(limits), before.astype(np.uint64)
         offsets = np.cumsum(sizes + 1) - sizes - 1
         place = np.arange(int(sizes.sum()) + len(sizes)) - np.repeat(offsets, sizes + 1)
         symbol = whole[np.minimum(np.repeat(starts, sizes + 1) + place, len(whole) - 1)].astype(np.int64)
@@ -142,14 +173,14 @@ class Spelling:
         self.contexts = [mixed((lasts[at] & np.uint64((1 << (8 * k)) - 1)) + np.uint64(k << 40)) for k in range(1, 5)]
         self.contexts += [prefix[at], behind[at]]
 
-    def step_count(self, word_count: np.ndarray) -> np.ndarray:
-        """How often each step is taken if the words occur so often."""
+    def step_count(self, times: np.ndarray) -> np.ndarray:
+        """How often each step is taken if the pairs occur so often."""
         sizes = np.diff(np.append(self.offsets, len(self.step_of)))
-        return np.bincount(self.step_of, weights=np.repeat(word_count, sizes), minlength=len(self.symbol))
+        return np.bincount(self.step_of, weights=np.repeat(times, sizes), minlength=len(self.symbol))
 
-    def bits(self, codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    def bits(self, codes: np.ndarray, lengths: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
         """For each depth of the code tree: steps, their bit, and a cell for each context."""
-        code, length = codes[self.symbol], lengths[self.symbol]
+        code, length, table_starts = codes[self.symbol], lengths[self.symbol], starts_of(sizes)
         for depth in range(int(length.max())):
             rows = np.flatnonzero(length > depth)
             own = code[rows]
@@ -159,32 +190,36 @@ class Spelling:
                 salt = node * SPREAD
                 cells = [
                     (((c[rows] ^ salt) * SPREAD) >> np.uint64(64 - s)).astype(np.int64) + start
-                    for c, s, start in zip(self.contexts, SIZES, STARTS)
+                    for c, s, start in zip(self.contexts, sizes, table_starts)
                 ]
             yield rows, bit, cells
 
-    def per_word(self, per_step: np.ndarray) -> np.ndarray:
-        """Sums of the words' steps."""
+    def per_pair(self, per_step: np.ndarray) -> np.ndarray:
+        """Sums of the pairs' steps."""
         return np.add.reduceat(per_step[self.step_of], self.offsets)
 
-    def per_text(self, per_word: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(per_word[self.token_word])])
-        ends = np.cumsum(self.words_of)
-        return sums[ends] - sums[ends - self.words_of]
 
+def starts_of(sizes: tuple[int, ...]) -> np.ndarray:
+    """First cell of each context's table, and the number of all cells."""
+    return np.concatenate([[0], np.cumsum([1 << s for s in sizes])]).astype(np.int64)
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[str | None]]:
-    """Texts of a task in runs of about one block."""
-    run, size = [], 0
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Spelling, pa.Table]]:
+    """Pairs of a task in runs, bounded by their number and by their bytes."""
+    waiting, rows, size = [], 0, 0
     for batch in batches:
-        for text in batch.column(column).to_pylist():
-            run.append(text)
-            size += len(text or "")
-            if size >= BLOCK:
-                yield run
-                run, size = [], 0
-    if run:
-        yield run
+        waiting.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= PAIRS or size >= 4 * RUN:
+            yield _spelling(waiting)
+            waiting, rows, size = [], 0, 0
+    if rows:
+        yield _spelling(waiting)
+
+
+def _spelling(batches: list[pa.RecordBatch]) -> tuple[Spelling, pa.Table]:
+    pairs = pa.Table.from_batches(batches).combine_chunks()
+    return Spelling(pairs.column("word").chunk(0), pairs.column("before").to_numpy()), pairs
 
 
 def _gate(behind: np.ndarray, word: np.ndarray, four: np.ndarray) -> np.ndarray:
@@ -203,8 +238,8 @@ def _map_class(mix: np.ndarray) -> np.ndarray:
 class Model:
     """Code tree, counts, weights and refining map."""
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray, counts: np.ndarray):
-        self.codes, self.lengths, self.counts = codes, lengths, counts
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, counts: np.ndarray, sizes: tuple[int, ...]):
+        self.codes, self.lengths, self.counts, self.sizes = codes, lengths, counts, sizes
         self.weights = np.full((GATES, len(SIZES)), 0.25)
         self.map = _squash(np.tile(np.linspace(-8, 8, MAP), (GATES, 1)))
         self._cells: tuple[np.ndarray, np.ndarray] | None = None
@@ -213,13 +248,14 @@ class Model:
         """log10 of the probability of each step."""
         out = np.zeros(len(spelling.symbol))
         if self._cells is None:  # once per worker
-            soft, seen = np.float32(SOFT), np.zeros(CELLS, dtype=np.uint8)
+            soft, seen = np.float32(SOFT), np.zeros(len(self.counts), dtype=np.uint8)
+            starts = starts_of(self.sizes)
             for i, ends in ((3, SEEN_FOUR), (4, SEEN_WORD), (5, SEEN_BEHIND)):
-                part = slice(STARTS[i], STARTS[i + 1])
+                part = slice(starts[i], starts[i + 1])
                 seen[part] = np.searchsorted(ends, self.counts[part].sum(axis=1, dtype=np.int64))
             self._cells = np.log((self.counts[:, 1] + soft) / (self.counts[:, 0] + soft)), seen
         stretch, seen = self._cells
-        for rows, bit, cells in spelling.bits(self.codes, self.lengths):
+        for rows, bit, cells in spelling.bits(self.codes, self.lengths, self.sizes):
             gate = _gate(*[seen[c].astype(np.int64) for c in (cells[5], cells[4], cells[3])])
             mix = np.zeros(len(rows))
             for i, c in enumerate(cells):
@@ -233,7 +269,7 @@ class Model:
 
         ``hits`` (gate, class of the map, bit) collects what followed.
         """
-        for rows, bit, cells in spelling.bits(self.codes, self.lengths):
+        for rows, bit, cells in spelling.bits(self.codes, self.lengths, self.sizes):
             used = np.flatnonzero(times[rows])
             for at in range(0, len(used), MIX_BATCH):
                 some = used[at : at + MIX_BATCH]
@@ -247,60 +283,57 @@ class Model:
                     totals.append(n.sum(axis=1))
                 gate = _gate(*[np.searchsorted(e, totals[i]) for i, e in ((5, SEEN_BEHIND), (4, SEEN_WORD), (3, SEEN_FOUR))])
                 mix = (self.weights[gate] * inputs).sum(axis=1)
-                np.add.at(hits, (gate, _map_class(mix), own), m.astype(np.int64))
-                slope, size = np.zeros((GATES, len(SIZES))), np.ones((GATES, 1))
-                np.add.at(slope, gate, ((own - _squash(mix)) * m)[:, None] * inputs)
-                np.add.at(size[:, 0], gate, m * (1 + (inputs * inputs).sum(axis=1) / 4))
-                self.weights += rate * slope / size
+                place = (gate * MAP + _map_class(mix)) * 2 + own
+                hits += np.rint(np.bincount(place, weights=m, minlength=hits.size)).astype(np.int64).reshape(hits.shape)
+                error = (own - _squash(mix)) * m
+                slope = np.stack([np.bincount(gate, weights=error * inputs[:, i], minlength=GATES) for i in range(len(SIZES))], axis=1)
+                size = 1 + np.bincount(gate, weights=m * (1 + (inputs * inputs).sum(axis=1) / 4), minlength=GATES)
+                self.weights += rate * slope / size[:, None]
 
 
-def fitted(docs: DataFrame, text: str = "text") -> Model:
-    """The model of all rows of ``docs``."""
-    texts = docs.select(text)
-    spark = docs.sparkSession
+def fitted(pairs: DataFrame) -> Model:
+    """The model of all pairs; ``pairs`` has (word, before, n) and each pair once."""
+    learnt = pairs.filter("n > 0").select("word", "before", "n")
+    spark = pairs.sparkSession
+    sizes = table_sizes(learnt.count())
+    cells = int(starts_of(sizes)[-1])
 
     def count_bytes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         table = np.zeros(256, dtype=np.int64)
-        for run in _runs(batches):
-            whole, ends = joined(run)
-            found = np.bincount(whole, minlength=256)
-            found[BLANKS] = 0
-            found[BLANK] = len(word_ranges(whole)[0]) + len(ends)
-            table += found
+        for spelling, some in _spelled(batches):
+            times = spelling.step_count(some.column("n").to_numpy())
+            table += np.rint(np.bincount(spelling.symbol, weights=times, minlength=256)).astype(np.int64)
         return table
 
-    codes, lengths = code_tree(added_up(texts, count_bytes, 256))
+    codes, lengths = code_tree(added_up(learnt, count_bytes, 256))
 
     def count_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        table = np.zeros(2 * CELLS, dtype=np.uint32)
-        for run in _runs(batches):
-            spelling = Spelling(run)
-            times = spelling.step_count(spelling.word_count).astype(np.uint32)
-            for rows, bit, cells in spelling.bits(codes, lengths):
-                for c in cells:
+        table = np.zeros(2 * cells, dtype=np.int64)
+        for spelling, some in _spelled(batches):
+            times = np.rint(spelling.step_count(some.column("n").to_numpy())).astype(np.int64)
+            for rows, bit, contexts in spelling.bits(codes, lengths, sizes):
+                for c in contexts:
                     np.add.at(table, 2 * c + bit, times[rows])
         return table
 
-    counts = added_up(texts, count_bits, 2 * CELLS).reshape(CELLS, 2)
+    counts = added_up(learnt, count_bits, 2 * cells).reshape(cells, 2)
     excess = np.maximum(np.ceil(np.log2((counts.max(axis=1) + 1) / 65536)), 0).astype(np.int64)
     counts = (counts >> excess[:, None]).astype(np.uint16)
-    shared = spark.sparkContext.broadcast(counts)  # 4 bytes for each of CELLS cells
+    shared = spark.sparkContext.broadcast(counts)  # 4 bytes for each cell, see table_sizes
 
     def learn_weights(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        model, hits, n = Model(codes, lengths, shared.value), np.zeros((GATES, MAP, 2), dtype=np.int64), 0
-        for run in _runs(batches):
-            spelling = Spelling(run)
-            times = spelling.step_count(spelling.word_count)
-            for rate in (0.9,):
-                model.learn(spelling, times, np.zeros_like(hits), rate)
+        model, hits, n = Model(codes, lengths, shared.value, sizes), np.zeros((GATES, MAP, 2), dtype=np.int64), 0
+        for spelling, some in _spelled(batches):
+            times = spelling.step_count(some.column("n").to_numpy())
+            model.learn(spelling, times, np.zeros_like(hits), 0.9)
             model.learn(spelling, times, hits, 0.2)
-            n += len(spelling.token_word)
-        # weights count by the words they were learnt from
+            n += some.num_rows
+        # weights count by the pairs they were learnt from
         return np.concatenate([np.rint(model.weights.ravel() * n * FIXED).astype(np.int64), hits.ravel(), [n]])
 
     size = GATES * len(SIZES)
-    found = added_up(texts, learn_weights, size + GATES * MAP * 2 + 1)
-    model = Model(codes, lengths, counts)
+    found = added_up(learnt, learn_weights, size + GATES * MAP * 2 + 1)
+    model = Model(codes, lengths, counts, sizes)
     if found[-1]:
         model.weights = (found[:size] / FIXED / found[-1]).reshape(GATES, len(SIZES))
     hits = found[size:-1].reshape(GATES, MAP, 2)
@@ -309,6 +342,68 @@ def fitted(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by planes of equal bytes, which compress well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of the listing; columns that are not named are null."""
+    schema = pa.schema(
+        [("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()),
+         ("places", pa.binary()), ("place", pa.int32()), ("word", pa.binary()), ("before", pa.int32()), ("n", pa.int64())]
+    )
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
+
+
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (with places) and of the lists of their blocks (with words)."""
+    block, runs, run, size, in_block = TaskContext.get().partitionId() << 31, [], [], 0, 0
+
+    def whole_block() -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([pairs.keys for pairs, _ in runs])
+        number, first = _distinct(keys)
+        place_of = np.split(number, np.cumsum([len(pairs.keys) for pairs, _ in runs])[:-1])
+        n = np.zeros(len(first), dtype=np.int64)
+        for (pairs, docs), places in zip(runs, place_of):
+            learnt = np.repeat([d[3] for d in docs], pairs.words_of)
+            np.add.at(n, places[pairs.number[learnt]], 1)
+            ends = np.cumsum(pairs.words_of)
+            texts = np.split(places[pairs.number], ends[:-1])
+            yield _rows(
+                len(docs), block=pa.array([block] * len(docs), pa.int64()), doc_id=pa.array([d[0] for d in docs], pa.int64()),
+                held_out=pa.array([d[2] for d in docs], pa.bool_()), n_tokens=pa.array(pairs.words_of), n_bytes=pa.array(pairs.bytes_of),
+                places=pa.array([_planes(t) for t in texts], pa.binary()),
+            )
+        words = pa.concat_arrays([pairs.words for pairs, _ in runs])
+        before = np.concatenate([pairs.before for pairs, _ in runs])
+        for at in range(0, len(first), LISTED):
+            some = first[at : at + LISTED]
+            yield _rows(
+                len(some), block=pa.array(np.full(len(some), block)), place=pa.array(np.arange(at, at + len(some))),
+                word=words.take(pa.array(some)), before=pa.array(before[some]), n=pa.array(n[at : at + LISTED]),
+            )
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            run.append(row)
+            size += len(row[1] or "")
+            if size >= RUN:
+                runs.append((Pairs([r[1] for r in run]), [(r[0], None, r[2], r[3]) for r in run]))
+                in_block, run, size = in_block + size, [], 0
+                if in_block >= BLOCK:
+                    yield from whole_block()
+                    block, runs, in_block = block + 1, [], 0
+    if run:
+        runs.append((Pairs([r[1] for r in run]), [(r[0], None, r[2], r[3]) for r in run]))
+    if runs:
+        yield from whole_block()
+
+
 def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, base score and model score."""
     spark = docs.sparkSession
@@ -316,81 +411,45 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     fold = remainder(F.col(id_column), FOLDS)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"),
                        F.coalesce(fold != HELD_OUT, F.lit(False)).alias("learnt"))
-    model = spark.sparkContext.broadcast(fitted(rows.filter("learnt"), "text"))
-
-    characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-characters // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
-
-    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
-
-        def listed(block: int, some: list) -> pa.RecordBatch:
-            _, _, _, hashes, words_of = word_places([t for t, _ in some])
-            number, words = pd.factorize(hashes)
-            learnt = np.repeat(np.array([x for _, x in some], dtype=np.int64), words_of)
-            n = np.bincount(number, weights=learnt, minlength=len(words)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words.view(np.int64)), pa.array(n)], ["block", "word", "n"])
-
-        size = 0
-        for batch in batches:
-            for block, t, learnt in zip(*[c.to_pylist() for c in batch.columns]):
-                waiting.setdefault(block, []).append((t, learnt))
-                size += len(t or "")
-                if size > 2 * BLOCK:
-                    yield from (listed(b, some) for b, some in waiting.items())
-                    waiting, size = {}, 0
-        yield from (listed(b, some) for b, some in waiting.items())
-
-    words = dealt.select("block", "text", "learnt").mapInArrow(tidy(list_words), "block long, word long, n long")
-    by_word = Window.partitionBy("word")
-    words = words.select("block", "word", F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("own"))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").to_pylist()
-        known, place = np.unique(right.column("word").to_numpy().view(np.uint64), return_index=True)
-        c = right.column("c").to_numpy()[place].astype(np.float64)
-        owned = int(np.sum(right.column("own").to_numpy(zero_copy_only=False)[place] & (c > 0)))
-        n_tokens, n_known, logs, scores = [], [], [], []
-        at, sizes = 0, [len(t or "") for t in texts]
-        while at < len(texts):  # a hot block is worked off in runs
-            size, end = 0, at
-            while end < len(texts) and (end == at or size + sizes[end] <= BLOCK):
-                size, end = size + sizes[end], end + 1
-            spelling = Spelling(texts[at:end])
-            # ends are counted apart
-            count = np.append(c, 0.0)[np.where(spelling.words == END, len(c), np.searchsorted(known, spelling.words))]
-            n_tokens.append(spelling.words_of)
-            n_known.append(spelling.per_text((count > 0).astype(np.int64)))
-            logs.append(spelling.per_text(np.log10(count + 1)))
-            scores.append(spelling.per_text(spelling.per_word(model.value.log10(spelling))))
-            at = end
-        flat = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, logs, scores)]
-        return pa.table(
-            {
-                "doc_id": left.column("doc_id"), "held_out": left.column("held_out"),
-                "n_tokens": pa.array(flat[0].astype(np.int64)), "n_known": pa.array(flat[1].astype(np.int64)),
-                "known_log": pa.array(flat[2].astype(float)), "score": pa.array(flat[3].astype(float)),
-                "n_bytes": pa.array([len((t or "").encode()) for t in texts], pa.int64()),
-                "owned": pa.array([owned if i == 0 else 0 for i in range(len(texts))], pa.int64()),
-                "learnt": left.column("learnt"),
-            }
-        )
-
-    found = dealt.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(score, _RESULT + ", learnt boolean")
-    found = stored(found, "model-scores")
-    totals = found.agg(F.sum("owned"), F.sum(F.when(F.col("learnt"), F.col("n_tokens"))), F.sum(F.col("learnt").cast("long"))).first()
-    distinct, tokens, ends = (x or 0 for x in totals)
-    distinct += 1 if ends else 0
+    found = stored(rows.mapInArrow(tidy(listed), _LISTED), "model-lists")
+    lists = found.filter("word is not null").select("block", "place", "word", "before", "n")
+    pairs = stored(lists.groupBy("word", "before").agg(F.sum("n").alias("n")), "model-pairs")
+    known = pairs.groupBy("word").agg(F.sum("n").alias("c"))
+    tokens, distinct = (x or 0 for x in known.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
     each = math.log10(tokens + distinct + 1)
-    bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
-    return found.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + (1 if ends else 0)).alias("n_known"),
+    model = spark.sparkContext.broadcast(fitted(pairs))
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for spelling, some in _spelled(batches):
+            log = spelling.per_pair(model.value.log10(spelling))
+            out = pa.table([some.column("word"), some.column("before"), some.column("c"), pa.array(log.astype(np.float32))], ["word", "before", "c", "log"])
+            yield from out.to_batches(max_chunksize=LISTED)
+
+    priced = pairs.join(known, "word").select("word", "before", "c").mapInArrow(tidy(price), "word binary, before int, c long, log float")
+    prices = lists.select("block", "place", "word", "before").join(priced, ["word", "before"]).select(F.col("block").alias("home"), "place", "c", "log")
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        place, size = right.column("place").to_numpy(), right.num_rows
+        c, log = np.zeros(size), np.zeros(size)
+        c[place], log[place] = right.column("c").to_numpy(), right.column("log").to_numpy()
+        base, n_known, known_log, score = np.log10(c + 1), [], [], []
+        for planes in left.column("places"):
+            at = _numbers(planes.as_py())
+            n_known.append(int(np.count_nonzero(c[at])))
+            known_log.append(float(base[at].sum()))
+            score.append(float(log[at].sum()))
+        columns = {name: left.column(name) for name in ("doc_id", "held_out", "n_tokens", "n_bytes")}
+        columns |= {"n_known": pa.array(n_known, pa.int64()), "known_log": pa.array(known_log, pa.float64()), "score": pa.array(score, pa.float64())}
+        return pa.table({name: columns[name] for name in ("doc_id", "held_out", "n_tokens", "n_known", "known_log", "score", "n_bytes")})
+
+    texts = found.filter("places is not null").select("block", "doc_id", "held_out", "n_tokens", "n_bytes", "places")
+    sums = texts.groupBy("block").cogroup(prices.groupBy("home")).applyInArrow(add, _RESULT)
+    return sums.select(
+        "doc_id", "held_out", "n_tokens", "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("known_log") + math.log10(ends + 1) - F.col("n_tokens") * each).alias("base_score"),
+        (F.col("known_log") - F.col("n_tokens") * each).alias("base_score"),
         "score",
-        F.when(F.col("n_bytes") > 0, bits).alias("bits_per_byte"),
+        F.when(F.col("n_bytes") > 1, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

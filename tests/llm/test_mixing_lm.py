@@ -36,7 +36,8 @@ def brute(rows):
 def test_base_scores_equal_plain_counts(spark, sf_dir, monkeypatch):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     rows += [(10001, None), (10002, ""), (10002, ""), (None, "the unknown zzz"), (10003, "A\tb\x0bC \n d"), (10004, "z" * 40000)]
-    monkeypatch.setattr(lm, "BLOCK", 60_000)
+    monkeypatch.setattr(lm, "RUN", 60_000)
+    monkeypatch.setattr(lm, "BLOCK", 150_000)
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
     found = lm.scored(df).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
@@ -59,16 +60,30 @@ def test_no_rows(spark):
     assert (row["n_known"], row["train_tokens"], row["base_score"]) == (0, 0, 0.0)
 
 
+SMALL = lm.table_sizes(1)
+
+
+def spelled(texts):
+    pairs = lm.Pairs(texts)
+    return pairs, lm.Spelling(pairs.words, pairs.before)
+
+
+def totals(model, texts):
+    pairs, spelling = spelled(texts)
+    per_word = spelling.per_pair(model.log10(spelling))[pairs.number]
+    return np.add.reduceat(per_word, np.cumsum(pairs.words_of) - pairs.words_of)
+
+
 def fitted_here(texts):
-    spelling = lm.Spelling(texts)
+    pairs, spelling = spelled(texts)
     counts = np.bincount(np.frombuffer(" ".join(texts).lower().encode(), dtype=np.uint8), minlength=256)
     codes, lengths = lm.code_tree(counts)
-    table = np.zeros((lm.CELLS, 2), dtype=np.int64)
-    times = spelling.step_count(spelling.word_count).astype(np.int64)
-    for rows, bit, cells in spelling.bits(codes, lengths):
+    table = np.zeros((int(lm.starts_of(SMALL)[-1]), 2), dtype=np.int64)
+    times = spelling.step_count(np.bincount(pairs.number)).astype(np.int64)
+    for rows, bit, cells in spelling.bits(codes, lengths, SMALL):
         for c in cells:
             np.add.at(table, (c, bit), times[rows])
-    model = lm.Model(codes, lengths, table.astype(np.uint16))
+    model = lm.Model(codes, lengths, table.astype(np.uint16), SMALL)
     hits = np.zeros((lm.GATES, lm.MAP, 2), dtype=np.int64)
     model.learn(spelling, times, hits, 0.5)
     return model, hits
@@ -77,11 +92,15 @@ def fitted_here(texts):
 def test_shared_steps_equal_spelling_each_text_alone():
     texts = ["the cat and the hat", "The cat.", "a deoxyribonucleic and deoxyribonuclease", "", "cat cat cat"]
     model, _ = fitted_here(texts)
-    whole = lm.Spelling(texts)
-    together = whole.per_text(whole.per_word(model.log10(whole)))
-    for text, score in zip(texts, together):
-        alone = lm.Spelling([text])
-        assert float(alone.per_text(alone.per_word(model.log10(alone)))[0]) == pytest.approx(float(score))
+    for text, score in zip(texts, totals(model, texts)):
+        assert float(totals(model, [text])[0]) == pytest.approx(float(score))
+
+
+def test_the_order_of_words_matters():
+    texts = ["the cats sat on the mats, and then they ran"] * 30 + ["a dog sees him"] * 3
+    model, _ = fitted_here(texts)
+    there, back = totals(model, [texts[0], " ".join(reversed(texts[0].split()))])
+    assert there > back + 1
 
 
 def test_probabilities_of_the_next_symbol_add_up_to_one():
@@ -91,13 +110,39 @@ def test_probabilities_of_the_next_symbol_add_up_to_one():
     for b in range(256):
         if b in (9, 10, 11, 12, 13):
             continue  # no word holds these; their share stays unused
-        spelling = lm.Spelling(["cat"])
+        _, spelling = spelled(["cat"])
         t = int(np.flatnonzero(spelling.symbol == ord("t"))[0])
         spelling.symbol[t] = b
         total += 10 ** model.log10(spelling)[t]
     assert 0.97 < total <= 1 + 1e-9
 
 
+def test_tables_follow_the_pairs_within_bounds():
+    sizes = [lm.table_sizes(n) for n in (0, 1, 1 << 20, 1 << 23, 1 << 24, 1 << 40)]
+    assert sizes == sorted(sizes) and sizes[0] == sizes[1] and sizes[3] == lm.SIZES and sizes[4] == sizes[5]
+    assert lm.starts_of(sizes[-1])[-1] * 4 < 75_000_000
+
+
+def test_places_survive_their_planes():
+    numbers = np.array([0, 1, 255, 256, 1 << 31], dtype=np.int64)
+    assert lm._numbers(lm._planes(numbers)).tolist() == numbers.tolist()
+
+
+def test_score_does_not_depend_on_blocks(spark, monkeypatch):
+    rows = [(i, f"the cat {i % 9} and\tthe  hat of CAT {i}") for i in range(300)] + [(300, ""), (301, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pick = lambda d: {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score, r.bits_per_byte) for r in lm.scored(d).collect()}
+    whole = pick(df.coalesce(1))
+    monkeypatch.setattr(lm, "RUN", 500)
+    monkeypatch.setattr(lm, "BLOCK", 1500)
+    parts = pick(df.repartition(5))
+    assert whole.keys() == parts.keys()
+    for i, row in whole.items():
+        assert parts[i][:2] == row[:2] and parts[i][2] == pytest.approx(row[2], rel=1e-12)
+        assert parts[i][3] == pytest.approx(row[3], rel=0.05)  # weights are learnt in another order
+    assert whole[301][4] is None
+
+
 def test_code_tree_is_a_prefix_code():
     codes, lengths = lm.code_tree(np.arange(256) ** 3)
     assert sum(2.0 ** -int(n) for n in lengths) == 1.0
@@ -105,14 +150,16 @@ def test_code_tree_is_a_prefix_code():
     assert len(names) == 256 and not any(a != b and b.startswith(a) for a in names for b in names)
 
 
-def test_weights_are_learnt_from_all_training_texts(spark):
-    texts = [t for t in (f"the cat {i} and the hat of cat {i * 7}" for i in range(400)) if zlib.crc32(t.encode()) % 16][:200]
-    few = lm.fitted(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+def test_weights_are_learnt_from_all_training_words(spark):
+    texts = [f"the cat {i} and the hat of cat {i * 7}" for i in range(200)]
+    pairs, here = spelled(texts)
+    times = np.bincount(pairs.number)
+    rows = [(bytes(w.as_py()), int(b), int(n)) for w, b, n in zip(pairs.words, pairs.before, times)]
+    few = lm.fitted(spark.createDataFrame(rows, "word binary, before int, n long").coalesce(1))
     assert not np.allclose(few.weights, 0.25)
-    here = lm.Spelling(texts)
-    model = lm.Model(few.codes, few.lengths, few.counts)
-    hits, times = np.zeros((lm.GATES, lm.MAP, 2), dtype=np.int64), here.step_count(here.word_count)
-    model.learn(here, times, np.zeros_like(hits), 0.9)
-    model.learn(here, times, hits, 0.2)
+    model = lm.Model(few.codes, few.lengths, few.counts, few.sizes)
+    hits, steps = np.zeros((lm.GATES, lm.MAP, 2), dtype=np.int64), here.step_count(times)
+    model.learn(here, steps, np.zeros_like(hits), 0.9)
+    model.learn(here, steps, hits, 0.2)
     assert np.allclose(few.weights, model.weights, atol=1e-5)
     assert np.allclose(few.map, np.clip((hits[:, :, 1] + 50 * model.map) / (hits.sum(axis=2) + 50), 1e-5, 1 - 1e-5))

@@ -16,14 +16,16 @@ kind is spelled, learnt from and scored once, however often it occurs. Spark add
 these pairs over the corpus and joins their scores back:
 
 1. every task cuts its texts into blocks, and writes for each document the places of its
-   pairs in the block's list, and for each block the list with its counts;
-2. the lists are added up by pair (a partial aggregate), and the pairs by word;
-3. code tree, tables, weights and map are fitted on the pairs; each pair is scored;
-4. the lists meet the scored pairs and go back to their blocks.
+   pairs in the block's list, and the list itself in parts by range of word hashes;
+2. the parts of a range are added up by pair and by word;
+3. code tree, tables, weights and map are fitted on the pairs;
+4. the parts of a range meet again, each pair is scored once, and every part goes back to
+   its block as counts and scores.
 
-Texts are read once and never shuffled. A frequent word has one row per block in the
-join. The tables' cells follow the number of different pairs, from 2^-8 to twice
-``SIZES``, which bounds what is broadcast to 70 MB.
+Texts are read once and never shuffled; lists travel in packed parts of sorted words. A
+frequent word has one entry per block and kind. A range holds about what a block lists.
+The tables' cells follow the number of different pairs, from 2^-8 to twice ``SIZES``,
+which bounds what is broadcast to 70 MB.
 
 A null text counts as empty: no words, one end. A row with a null id is never learnt
 from and counts as not held out. Repeated rows are learnt and scored one by one.
@@ -45,14 +47,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtrail.llm.common import documents, remainder, small_batches, stored, tidy
-from cashtrail.llm.hashed import mixed, word_places
+from cashtrail.llm.hashed import classes, mixed, range_hashes, word_places
 from cashtrail.llm.tables import added_up
 
 FOLDS, HELD_OUT = 7, 2
 RUN = 4_000_000  # characters worked on at once
 BLOCK = 24_000_000  # characters of a block of documents
 PAIRS = 200_000  # pairs of a word and a kind spelled at once
-LISTED = 10_000  # rows of a batch of a block's list
+LISTED = 10_000  # pairs of a batch
 BLANK = 0x20
 # Bits of the hashed table of each context at 2^23 pairs: 1 to 4 symbols, the word so far (from the
 # place DEEP on the last six symbols), and the word so far with the kind of the word
@@ -72,7 +74,7 @@ MIX_BATCH = 8192
 FIXED = 1 << 20  # weights travel as whole numbers
 _LISTED = (
     "block long, doc_id long, held_out boolean, n_tokens long, n_bytes long, places binary, "
-    "place int, word binary, before int, n long"
+    "range long, start long, words binary, fresh binary, before binary, n binary"
 )
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long"
 
@@ -133,7 +135,7 @@ class Pairs:
         with np.errstate(over="ignore"):
             keys = hashes ^ mixed(before + np.uint64(31))
         self.number, first = _distinct(keys)
-        self.keys, self.before = keys[first], before[first].astype(np.int32)
+        self.keys, self.hashes, self.before = keys[first], hashes[first], before[first].astype(np.uint8)
         self.bytes_of = np.add.reduceat(ends - starts + 1, np.cumsum(self.words_of) - self.words_of)
         data = whole.tobytes()
         self.words = pa.array([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], pa.binary())
@@ -240,7 +242,7 @@ class Model:
 
     def __init__(self, codes: np.ndarray, lengths: np.ndarray, counts: np.ndarray, sizes: tuple[int, ...]):
         self.codes, self.lengths, self.counts, self.sizes = codes, lengths, counts, sizes
-        self.weights = np.full((GATES, len(SIZES)), 0.25)
+        self.weights, self.batches = np.full((GATES, len(SIZES)), 0.25), 0
         self.map = _squash(np.tile(np.linspace(-8, 8, MAP), (GATES, 1)))
         self._cells: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -264,7 +266,7 @@ class Model:
             out[rows] += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
-    def learn(self, spelling: Spelling, times: np.ndarray, hits: np.ndarray, rate: float) -> None:
+    def learn(self, spelling: Spelling, times: np.ndarray, hits: np.ndarray) -> None:
         """One online pass over the steps; ``times`` says how often each is taken.
 
         ``hits`` (gate, class of the map, bit) collects what followed.
@@ -288,7 +290,8 @@ class Model:
                 error = (own - _squash(mix)) * m
                 slope = np.stack([np.bincount(gate, weights=error * inputs[:, i], minlength=GATES) for i in range(len(SIZES))], axis=1)
                 size = 1 + np.bincount(gate, weights=m * (1 + (inputs * inputs).sum(axis=1) / 4), minlength=GATES)
-                self.weights += rate * slope / size[:, None]
+                self.weights += (0.2 + 0.7 / (1 + self.batches / 8)) * slope / size[:, None]
+                self.batches += 1
 
 
 def fitted(pairs: DataFrame) -> Model:
@@ -325,8 +328,7 @@ def fitted(pairs: DataFrame) -> Model:
         model, hits, n = Model(codes, lengths, shared.value, sizes), np.zeros((GATES, MAP, 2), dtype=np.int64), 0
         for spelling, some in _spelled(batches):
             times = spelling.step_count(some.column("n").to_numpy())
-            model.learn(spelling, times, np.zeros_like(hits), 0.9)
-            model.learn(spelling, times, hits, 0.2)
+            model.learn(spelling, times, hits)
             n += some.num_rows
         # weights count by the pairs they were learnt from
         return np.concatenate([np.rint(model.weights.ravel() * n * FIXED).astype(np.int64), hits.ravel(), [n]])
@@ -355,53 +357,103 @@ def _rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
     """A batch of the listing; columns that are not named are null."""
     schema = pa.schema(
         [("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()),
-         ("places", pa.binary()), ("place", pa.int32()), ("word", pa.binary()), ("before", pa.int32()), ("n", pa.int64())]
+         ("places", pa.binary()), ("range", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("fresh", pa.binary()),
+         ("before", pa.binary()), ("n", pa.binary())]
     )
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
 
 
-def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (with places) and of the lists of their blocks (with words)."""
-    block, runs, run, size, in_block = TaskContext.get().partitionId() << 31, [], [], 0, 0
-
-    def whole_block() -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([pairs.keys for pairs, _ in runs])
-        number, first = _distinct(keys)
-        place_of = np.split(number, np.cumsum([len(pairs.keys) for pairs, _ in runs])[:-1])
-        n = np.zeros(len(first), dtype=np.int64)
-        for (pairs, docs), places in zip(runs, place_of):
-            learnt = np.repeat([d[3] for d in docs], pairs.words_of)
-            np.add.at(n, places[pairs.number[learnt]], 1)
-            ends = np.cumsum(pairs.words_of)
-            texts = np.split(places[pairs.number], ends[:-1])
-            yield _rows(
-                len(docs), block=pa.array([block] * len(docs), pa.int64()), doc_id=pa.array([d[0] for d in docs], pa.int64()),
-                held_out=pa.array([d[2] for d in docs], pa.bool_()), n_tokens=pa.array(pairs.words_of), n_bytes=pa.array(pairs.bytes_of),
-                places=pa.array([_planes(t) for t in texts], pa.binary()),
-            )
-        words = pa.concat_arrays([pairs.words for pairs, _ in runs])
-        before = np.concatenate([pairs.before for pairs, _ in runs])
-        for at in range(0, len(first), LISTED):
-            some = first[at : at + LISTED]
-            yield _rows(
-                len(some), block=pa.array(np.full(len(some), block)), place=pa.array(np.arange(at, at + len(some))),
-                word=words.take(pa.array(some)), before=pa.array(before[some]), n=pa.array(n[at : at + LISTED]),
-            )
-
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            run.append(row)
-            size += len(row[1] or "")
-            if size >= RUN:
-                runs.append((Pairs([r[1] for r in run]), [(r[0], None, r[2], r[3]) for r in run]))
-                in_block, run, size = in_block + size, [], 0
+Run = tuple[Pairs, list[tuple]]  # the pairs of a run of rows (doc_id, text, held_out, learnt)
+
+
+def _block(block: int, runs: list[Run], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the documents and of the parts of the list of one block."""
+    number, first = _distinct(np.concatenate([pairs.keys for pairs, _ in runs]))
+    hashes = np.concatenate([pairs.hashes for pairs, _ in runs])[first]
+    before = np.concatenate([pairs.before for pairs, _ in runs])[first]
+    within = (hashes >> np.uint64(20)) % np.uint64(ranges)
+    order = np.lexsort((before, hashes, within))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    place_of = np.split(rank[number], np.cumsum([len(pairs.keys) for pairs, _ in runs])[:-1])
+    n = np.zeros(len(first), dtype=np.int64)
+    for (pairs, docs), places in zip(runs, place_of):
+        at = places[pairs.number]
+        n += np.bincount(at[np.repeat(np.array([d[3] for d in docs], dtype=bool), pairs.words_of)], minlength=len(n))
+        texts = np.split(at, np.cumsum(pairs.words_of)[:-1])
+        yield _rows(
+            len(docs), block=pa.array(np.full(len(docs), block)), doc_id=pa.array([d[0] for d in docs], pa.int64()),
+            held_out=pa.array([d[2] for d in docs], pa.bool_()), n_tokens=pa.array(pairs.words_of), n_bytes=pa.array(pairs.bytes_of),
+            places=pa.array([_planes(t) for t in texts], pa.binary()),
+        )
+    hashes, before, within = hashes[order], before[order], within[order].astype(np.int64)
+    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (within[1:] != within[:-1])])
+    words = pa.concat_arrays([pairs.words for pairs, _ in runs])
+    starts = np.flatnonzero(np.concatenate([[True], within[1:] != within[:-1]]))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(within)]):
+        own = words.take(pa.array(first[order[a:b]][fresh[a:b]]))
+        yield _rows(
+            1, block=pa.array([block]), range=pa.array([int(within[a])]), start=pa.array([a]),
+            words=pa.array([b"".join(w + b"\n" for w in own.to_pylist())], pa.binary()), fresh=pa.array([fresh[a:b].tobytes()], pa.binary()),
+            before=pa.array([before[a:b].tobytes()], pa.binary()), n=pa.array([_planes(n[a:b])], pa.binary()),
+        )
+
+
+def lister(ranges: int):
+    """Cuts a task's rows (doc_id, text, held_out, learnt) into blocks and lists them."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, runs, run, size, in_block = TaskContext.get().partitionId() << 31, [], [], 0, 0
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                run.append(row)
+                size += len(row[1] or "")
+                if size >= RUN:
+                    runs.append((Pairs([r[1] for r in run]), [(r[0], None, r[2], r[3]) for r in run]))
+                    in_block, run, size = in_block + size, [], 0
                 if in_block >= BLOCK:
-                    yield from whole_block()
+                    yield from _block(block, runs, ranges)
                     block, runs, in_block = block + 1, [], 0
-    if run:
-        runs.append((Pairs([r[1] for r in run]), [(r[0], None, r[2], r[3]) for r in run]))
-    if runs:
-        yield from whole_block()
+        if run:
+            runs.append((Pairs([r[1] for r in run]), [(r[0], None, r[2], r[3]) for r in run]))
+        if runs:
+            yield from _block(block, runs, ranges)
+
+    return listed
+
+
+class Merged:
+    """The pairs of all parts of one range.
+
+    ``pair`` is the pair of each entry, part by part; ``n`` and ``c`` count the training
+    occurrences of each pair and of its word, ``leads`` marks one pair of each word.
+    """
+
+    def __init__(self, parts: pa.Table):
+        data = b"".join(parts.column("words").to_pylist())
+        whole = np.frombuffer(data, dtype=np.uint8)
+        ends = np.flatnonzero(whole == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        word, _ = _distinct(range_hashes(whole, starts, classes(False)))
+        fresh, before = (np.frombuffer(b"".join(parts.column(k).to_pylist()), dtype=np.uint8) for k in ("fresh", "before"))
+        n = np.concatenate([_numbers(x) for x in parts.column("n").to_pylist()])
+        at = np.cumsum(fresh, dtype=np.int64) - 1
+        self.pair, first = _distinct(word[at] * (KINDS + 1) + before)
+        self.sizes = [len(x) for x in parts.column("fresh").to_pylist()]
+        self.n = np.rint(np.bincount(self.pair, weights=n, minlength=len(first))).astype(np.int64)
+        own = word[at[first]]
+        self.c = np.rint(np.bincount(own, weights=self.n)).astype(np.int64)[own]
+        self.leads = np.zeros(len(first), dtype=np.int64)
+        self.leads[_distinct(own)[1]] = 1
+        self.before = before[first].astype(np.int32)
+        self.words = pa.array([data[a:b] for a, b in zip(starts[at[first]].tolist(), ends[at[first]].tolist())], pa.binary())
+
+
+def added(parts: pa.Table) -> pa.Table:
+    """(word, before, n, known) of a range; ``known`` is 1 for one pair of each word with a count."""
+    merged = Merged(parts)
+    known = merged.leads * (merged.c > 0)
+    return pa.table({"word": merged.words, "before": pa.array(merged.before), "n": pa.array(merged.n), "known": pa.array(known)})
 
 
 def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -411,27 +463,39 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     fold = remainder(F.col(id_column), FOLDS)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"),
                        F.coalesce(fold != HELD_OUT, F.lit(False)).alias("learnt"))
-    found = stored(rows.mapInArrow(tidy(listed), _LISTED), "model-lists")
-    lists = found.filter("word is not null").select("block", "place", "word", "before", "n")
-    pairs = stored(lists.groupBy("word", "before").agg(F.sum("n").alias("n")), "model-pairs")
-    known = pairs.groupBy("word").agg(F.sum("n").alias("c"))
-    tokens, distinct = (x or 0 for x in known.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
+    characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = stored(rows.mapInArrow(tidy(lister(max(1, -(-characters // BLOCK)))), _LISTED), "model-lists")
+    parts = found.filter("range is not null").select("block", "range", "start", "words", "fresh", "before", "n")
+    pairs = parts.groupBy("range").applyInArrow(added, "word binary, before int, n long, known long")
+    pairs = stored(pairs, "model-pairs")
+    tokens, distinct = (x or 0 for x in pairs.agg(F.sum("n"), F.sum("known")).first())
     each = math.log10(tokens + distinct + 1)
     model = spark.sparkContext.broadcast(fitted(pairs))
 
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for spelling, some in _spelled(batches):
-            log = spelling.per_pair(model.value.log10(spelling))
-            out = pa.table([some.column("word"), some.column("before"), some.column("c"), pa.array(log.astype(np.float32))], ["word", "before", "c", "log"])
-            yield from out.to_batches(max_chunksize=LISTED)
-
-    priced = pairs.join(known, "word").select("word", "before", "c").mapInArrow(tidy(price), "word binary, before int, c long, log float")
-    prices = lists.select("block", "place", "word", "before").join(priced, ["word", "before"]).select(F.col("block").alias("home"), "place", "c", "log")
+    def price(some: pa.Table) -> pa.Table:
+        merged = Merged(some)
+        log = np.zeros(len(merged.words), dtype=np.float32)
+        for at in range(0, len(log), PAIRS):
+            spelling = Spelling(merged.words[at : at + PAIRS], merged.before[at : at + PAIRS])
+            log[at : at + PAIRS] = spelling.per_pair(model.value.log10(spelling))
+        entries = np.split(merged.pair, np.cumsum(merged.sizes)[:-1])
+        return pa.table(
+            {
+                "home": some.column("block"), "start": some.column("start"),
+                "c": pa.array([merged.c[e].tobytes() for e in entries], pa.binary()),
+                "log": pa.array([log[e].tobytes() for e in entries], pa.binary()),
+            }
+        )
+
+    prices = parts.groupBy("range").applyInArrow(price, "home long, start long, c binary, log binary")
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        place, size = right.column("place").to_numpy(), right.num_rows
-        c, log = np.zeros(size), np.zeros(size)
-        c[place], log[place] = right.column("c").to_numpy(), right.column("log").to_numpy()
+        # a block's parts follow one another from place 0
+        by_start = np.argsort(right.column("start").to_numpy())
+        c, log = (
+            np.concatenate([np.frombuffer(x, dtype=kind) for x in right.column(name).take(pa.array(by_start)).to_pylist()]).astype(np.float64)
+            for name, kind in (("c", np.int64), ("log", np.float32))
+        )
         base, n_known, known_log, score = np.log10(c + 1), [], [], []
         for planes in left.column("places"):
             at = _numbers(planes.as_py())

@@ -85,7 +85,7 @@ def fitted_here(texts):
             np.add.at(table, (c, bit), times[rows])
     model = lm.Model(codes, lengths, table.astype(np.uint16), SMALL)
     hits = np.zeros((lm.GATES, lm.MAP, 2), dtype=np.int64)
-    model.learn(spelling, times, hits, 0.5)
+    model.learn(spelling, times, hits)
     return model, hits
 
 
@@ -159,7 +159,6 @@ def test_weights_are_learnt_from_all_training_words(spark):
     assert not np.allclose(few.weights, 0.25)
     model = lm.Model(few.codes, few.lengths, few.counts, few.sizes)
     hits, steps = np.zeros((lm.GATES, lm.MAP, 2), dtype=np.int64), here.step_count(times)
-    model.learn(here, steps, np.zeros_like(hits), 0.9)
-    model.learn(here, steps, hits, 0.2)
+    model.learn(here, steps, hits)
     assert np.allclose(few.weights, model.weights, atol=1e-5)
     assert np.allclose(few.map, np.clip((hits[:, :, 1] + 50 * model.map) / (hits.sum(axis=2) + 50), 1e-5, 1 - 1e-5))

@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,10 +52,10 @@ from cashtrail.llm.hashed import classes, mixed, range_hashes, word_places
 from cashtrail.llm.tables import added_up
 
 FOLDS, HELD_OUT = 7, 2
-RUN = 4_000_000  # characters worked on at once
+RUN = 1_000_000  # characters worked on at once
 BLOCK = 24_000_000  # characters of a block of documents
-PAIRS = 200_000  # pairs of a word and a kind spelled at once
-LISTED = 10_000  # pairs of a batch
+PAIRS = 100_000  # pairs of a word and a kind spelled at once
+OFTEN = (16, 256)  # pairs found so often in a block get the low places, which pack well
 BLANK = 0x20
 # Bits of the hashed table of each context at 2^23 pairs: 1 to 4 symbols, the word so far (from the
 # place DEEP on the last six symbols), and the word so far with the kind of the word
@@ -212,7 +213,7 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Spelling, pa.T
     for batch in batches:
         waiting.append(batch)
         rows, size = rows + batch.num_rows, size + batch.nbytes
-        if rows >= PAIRS or size >= 4 * RUN:
+        if rows >= PAIRS or size >= 16 * RUN:
             yield _spelling(waiting)
             waiting, rows, size = [], 0, 0
     if rows:
@@ -320,8 +321,10 @@ def fitted(pairs: DataFrame) -> Model:
         return table
 
     counts = added_up(learnt, count_bits, 2 * cells).reshape(cells, 2)
-    excess = np.maximum(np.ceil(np.log2((counts.max(axis=1) + 1) / 65536)), 0).astype(np.int64)
-    counts = (counts >> excess[:, None]).astype(np.uint16)
+    large = np.flatnonzero((counts[:, 0] > 65535) | (counts[:, 1] > 65535))
+    excess = np.ceil(np.log2((counts[large].max(axis=1) + 1) / 65536)).astype(np.int64)
+    counts[large] >>= excess[:, None]
+    counts = counts.astype(np.uint16)
     shared = spark.sparkContext.broadcast(counts)  # 4 bytes for each cell, see table_sizes
 
     def learn_weights(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -345,12 +348,12 @@ def fitted(pairs: DataFrame) -> Model:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32 by planes of equal bytes, which compress well."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers below 2^32 by planes of equal bytes, packed."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(planes), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -372,13 +375,17 @@ def _block(block: int, runs: list[Run], ranges: int) -> Iterator[pa.RecordBatch]
     hashes = np.concatenate([pairs.hashes for pairs, _ in runs])[first]
     before = np.concatenate([pairs.before for pairs, _ in runs])[first]
     within = (hashes >> np.uint64(20)) % np.uint64(ranges)
-    order = np.lexsort((before, hashes, within))
+    number_of = np.split(number, np.cumsum([len(pairs.keys) for pairs, _ in runs])[:-1])
+    seen = np.zeros(len(first), dtype=np.int64)
+    for (pairs, _), numbers in zip(runs, number_of):
+        seen += np.bincount(numbers[pairs.number], minlength=len(seen))
+    rare = len(OFTEN) - np.searchsorted(OFTEN, seen, side="right")
+    order = np.lexsort((before, hashes, within, rare))
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
-    place_of = np.split(rank[number], np.cumsum([len(pairs.keys) for pairs, _ in runs])[:-1])
     n = np.zeros(len(first), dtype=np.int64)
-    for (pairs, docs), places in zip(runs, place_of):
-        at = places[pairs.number]
+    for (pairs, docs), numbers in zip(runs, number_of):
+        at = rank[numbers][pairs.number]
         n += np.bincount(at[np.repeat(np.array([d[3] for d in docs], dtype=bool), pairs.words_of)], minlength=len(n))
         texts = np.split(at, np.cumsum(pairs.words_of)[:-1])
         yield _rows(
@@ -386,10 +393,11 @@ def _block(block: int, runs: list[Run], ranges: int) -> Iterator[pa.RecordBatch]
             held_out=pa.array([d[2] for d in docs], pa.bool_()), n_tokens=pa.array(pairs.words_of), n_bytes=pa.array(pairs.bytes_of),
             places=pa.array([_planes(t) for t in texts], pa.binary()),
         )
-    hashes, before, within = hashes[order], before[order], within[order].astype(np.int64)
-    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (within[1:] != within[:-1])])
+    hashes, before, within, rare = hashes[order], before[order], within[order].astype(np.int64), rare[order]
+    turns = np.concatenate([[True], (within[1:] != within[:-1]) | (rare[1:] != rare[:-1])])
+    fresh = turns | np.concatenate([[True], hashes[1:] != hashes[:-1]])
     words = pa.concat_arrays([pairs.words for pairs, _ in runs])
-    starts = np.flatnonzero(np.concatenate([[True], within[1:] != within[:-1]]))
+    starts = np.flatnonzero(turns)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(within)]):
         own = words.take(pa.array(first[order[a:b]][fresh[a:b]]))
         yield _rows(
@@ -482,7 +490,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
         return pa.table(
             {
                 "home": some.column("block"), "start": some.column("start"),
-                "c": pa.array([merged.c[e].tobytes() for e in entries], pa.binary()),
+                "c": pa.array([zlib.compress(merged.c[e].tobytes(), 1) for e in entries], pa.binary()),
                 "log": pa.array([log[e].tobytes() for e in entries], pa.binary()),
             }
         )
@@ -493,8 +501,8 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
         # a block's parts follow one another from place 0
         by_start = np.argsort(right.column("start").to_numpy())
         c, log = (
-            np.concatenate([np.frombuffer(x, dtype=kind) for x in right.column(name).take(pa.array(by_start)).to_pylist()]).astype(np.float64)
-            for name, kind in (("c", np.int64), ("log", np.float32))
+            np.concatenate([np.frombuffer(opened(x), dtype=kind) for x in right.column(name).take(pa.array(by_start)).to_pylist()]).astype(np.float64)
+            for name, kind, opened in (("c", np.int64, zlib.decompress), ("log", np.float32, bytes))
         )
         base, n_known, known_log, score = np.log10(c + 1), [], [], []
         for planes in left.column("places"):

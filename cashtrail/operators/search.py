@@ -43,6 +43,7 @@ class Context:
     bags: int
     key: str = learn.KEY
     _frame: trees.Frame | None = field(default=None, repr=False)
+    _totals: trees.Totals | None = field(default=None, repr=False)
 
     @property
     def frame(self) -> trees.Frame:
@@ -50,6 +51,12 @@ class Context:
             self._frame = trees.frame(self.train, splits.fold(self.key, self.folds), self.key, self.targets, self.bags)
         return self._frame
 
+    @property
+    def totals(self) -> trees.Totals:
+        if self._totals is None:
+            self._totals = trees.totals(self.frame)
+        return self._totals
+
     @property
     def models(self) -> list[tuple[int, int]]:
         """(fold held out, target); the number of folds stands for none."""
@@ -71,6 +78,17 @@ def _r2(n: float, y: float, yy: float, error: float) -> float:
 def _held_out_r2(context: Context, kinds: Sequence[Sequence[trees.Ensemble]]) -> list[float]:
     """Mean R2 over folds and targets of each kind, a list of one ensemble per model; one pass."""
     models = [(m, h, t) for m, (h, t) in enumerate(context.models) if h < context.folds]
+    if context.frame.few is not None:
+        # rows of equal bins get equal answers, so their sums tell the error
+        known, shapes = context.totals, trees._shapes(context.frame.few)
+
+        def r2(ensemble: trees.Ensemble, h: int, t: int) -> float:
+            own = [f == h for f in known.folds]
+            n, y, yy = known.n[own].sum(axis=0), known.y[own, :, t].sum(axis=0), known.yy[own, :, t].sum(axis=0)
+            guess = ensemble.predict(shapes) - known.middle[t]
+            return _r2(n.sum(), y.sum(), yy.sum(), (yy - 2 * guess * y + n * guess * guess).sum())
+
+        return [math.fsum(r2(ensembles[m], h, t) for m, h, t in models) / len(models) for ensembles in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(kinds), len(models), 4))

@@ -8,9 +8,13 @@ node is chosen where they meet. The driver sees one cut per node, which is the m
 Forests with more open nodes than ``CELLS`` allow take several passes per level. Where no
 more than ``FEW`` different rows of bins occur, one pass adds up weight and target for
 each of them, and all levels are cut from these sums: the same trees in fewer passes.
+There, boosting needs no row after the first pass: what a round leaves behind is one
+margin for each row of bins. Rounds on weights read targets packed by fold and row of
+bins, in order of size: a row's weight is the exponential of a broken line over its
+target, so no weight is stored (``Packed``).
 
 What a round of boosting leaves behind (a row's margin, or its weight) is a column of
-the frame. It is written to the shared folder every ``SEGMENT`` rounds, so each round
+the frame otherwise. It is written to the shared folder every ``SEGMENT`` rounds, so each round
 reads the same small state and recomputes a few trees at most, and a lost task never
 goes back further than the last written table.
 """
@@ -39,6 +43,8 @@ BINS = 64
 CELLS = 1 << 22  # weight and target sums that a task holds
 SEGMENT = 10  # rounds between two written states
 FEW = 4096  # different rows of bins
+DENSE = 256  # rows of bins whose targets are packed
+SORTED, PACK = 1 << 18, 1024  # rows that a task sorts at once, targets that travel together
 NODES = 256  # nodes whose sums travel together
 NO_GAIN = 1e-12
 POISSON = tuple(math.fsum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(9))
@@ -285,23 +291,14 @@ def _best_cuts(
     return {r["node"]: tuple(r)[1:] for r in cuts.collect()}
 
 
-def _sums_of_few(data: DataFrame, sampler: Sampler, count: int, few: np.ndarray) -> np.ndarray:
-    """Trees x rows of bins x (weight, weighted target)."""
+def _added(data: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray], count: int, width: int) -> np.ndarray:
+    """Sum of the count x width tables that ``fill`` makes of each task's batches."""
     kind = "part int, tree int, sums binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sums = np.zeros((count, 2, len(few)))
-        for raw in batches:
-            batch = Batch.of(raw)
-            at = batch.places(few)
-            sample = sampler(batch)
-            for t in range(count):
-                weight, target = sample(t)
-                for j, values in enumerate((weight, weight * target)):
-                    sums[t, j] += np.bincount(at, weights=values, minlength=len(few))
-        part = [TaskContext.get().partitionId()] * count
+        sums, part = fill(batches), [TaskContext.get().partitionId()] * count
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(range(count), pa.int32()), pa.array([t.tobytes() for t in sums], pa.binary())], ["part", "tree", "sums"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,40 +307,109 @@ def _sums_of_few(data: DataFrame, sampler: Sampler, count: int, few: np.ndarray)
             for part, tree, sums in zip(*[raw.column(i).to_pylist() for i in range(3)]):
                 parts.setdefault(tree, []).append((part, sums))
         for tree, found in parts.items():
+            # in the order of the parts, so that the sums don't depend on arrival
             whole = sum(np.frombuffer(x, dtype=np.float64) for _, x in sorted(found))
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([tree], pa.int32()), pa.array([whole.tobytes()], pa.binary())], ["part", "tree", "sums"])
 
     rows = data.mapInArrow(run, kind)
     if data.rdd.getNumPartitions() > 1:
         rows = rows.repartition(min(count, 32), "tree").mapInArrow(met, kind)
-    out = np.zeros((count, 2, len(few)))
-    for r in rows.toLocalIterator() if count * len(few) > CELLS else rows.collect():
-        out[r["tree"]] = np.frombuffer(r["sums"], dtype=np.float64).reshape(2, -1)
-    return out.transpose(0, 2, 1)
+    out = np.zeros((count, width))
+    for r in rows.toLocalIterator() if count * width > 2 * CELLS else rows.collect():
+        out[r["tree"]] = np.frombuffer(r["sums"], dtype=np.float64)
+    return out
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Sums by fold and row of bins: rows, and of each target, less ``middle``, the values and their squares."""
+
+    folds: list[int]
+    middle: np.ndarray  # target
+    n: np.ndarray  # fold x row of bins
+    y: np.ndarray  # fold x row of bins x target
+    yy: np.ndarray
+
+    def learnt(self, held_out: int) -> np.ndarray:
+        """The folds that a model learns from."""
+        return np.array([f >= 0 and f != held_out for f in self.folds], dtype=bool)
+
+
+def _by_fold(batch: Batch, few: np.ndarray, folds: list[int]) -> np.ndarray:
+    return np.searchsorted(folds, batch.fold) * len(few) + batch.places(few)
+
+
+def totals(frame: Frame) -> Totals:
+    """One pass over a frame of few rows of bins."""
+    few, y = frame.few, F.col("y")
+    width = len(frame.data.select("y").first()["y"])
+    ends = [end(y[t]) for t in range(width) for end in (F.min, F.max)]
+    first = frame.data.agg(F.sort_array(F.collect_set("fold")), *ends).first()
+    folds, middle = first[0], np.array(first[1:], dtype=float).reshape(width, 2).mean(axis=1)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums = np.zeros((1 + 2 * width, len(folds) * len(few)))
+        for raw in batches:
+            batch = Batch.of(raw)
+            at, z = _by_fold(batch, few, folds), batch.y - middle
+            for row, values in zip(sums, [np.ones(len(at)), *z.T, *(z * z).T]):
+                row += np.bincount(at, weights=values, minlength=len(row))
+        return sums
+
+    sums = _added(frame.data, fill, 1 + 2 * width, len(folds) * len(few)).reshape(1 + 2 * width, len(folds), len(few))
+    return Totals(folds, middle, sums[0], np.moveaxis(sums[1 : 1 + width], 0, 2), np.moveaxis(sums[1 + width :], 0, 2))
+
+
+def _shapes(few: np.ndarray) -> np.ndarray:
+    return few.view(np.uint8).reshape(len(few), -1)
+
+
+def _size(frame: Frame) -> tuple[int, int]:
+    return len(frame.limits), max([len(c) for c in frame.limits], default=0) + 1
 
 
 def grow(frame: Frame, sampler: Sampler, count: int, depth: int) -> list[Tree]:
     """``count`` trees; ``sampler`` gives weights and targets of a batch for a tree's number."""
-    trees = [Tree() for _ in range(count)]
-    width, bins = len(frame.limits), max([len(c) for c in frame.limits], default=0) + 1
-    at_once, alone = max(1, CELLS // (width * bins)), frame.data.rdd.getNumPartitions() == 1
     if frame.few is not None:
-        sums = _sums_of_few(frame.data, sampler, count, frame.few)
-        shapes = frame.few.view(np.uint8).reshape(len(frame.few), -1)
-
-        def cuts(some: list[tuple[int, int]]) -> dict[int, tuple]:
-            met = np.zeros((len(some), width, bins, 2))
-            for k, (t, node) in enumerate(some):
-                here = trees[t].nodes(shapes) == node
-                for f in range(width):
-                    np.add.at(met[k, f], shapes[here, f], sums[t][here])
-            return dict(enumerate(_cuts(met)))
-    else:
-
-        def cuts(some: list[tuple[int, int]]) -> dict[int, tuple]:
-            return _best_cuts(frame.data, sampler, trees, some, width, bins, alone)
-
-    open_nodes = [(t, 0) for t in range(count)]
+        few = frame.few
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            sums = np.zeros((count, 2, len(few)))
+            for raw in batches:
+                batch = Batch.of(raw)
+                at = batch.places(few)
+                sample = sampler(batch)
+                for t in range(count):
+                    weight, target = sample(t)
+                    for j, values in enumerate((weight, weight * target)):
+                        sums[t, j] += np.bincount(at, weights=values, minlength=len(few))
+            return sums
+
+        return grown(frame, _added(frame.data, fill, count, 2 * len(few)).reshape(count, 2, -1).transpose(0, 2, 1), depth)
+    trees, alone = [Tree() for _ in range(count)], frame.data.rdd.getNumPartitions() == 1
+    return _levels(frame, trees, depth, lambda some: _best_cuts(frame.data, sampler, trees, some, *_size(frame), alone))
+
+
+def grown(frame: Frame, sums: np.ndarray, depth: int) -> list[Tree]:
+    """Trees from their sums: trees x rows of bins x (weight, weighted target)."""
+    trees, shapes = [Tree() for _ in sums], _shapes(frame.few)
+    width, bins = _size(frame)
+
+    def cuts(some: list[tuple[int, int]]) -> dict[int, tuple]:
+        met = np.zeros((len(some), width, bins, 2))
+        for k, (t, node) in enumerate(some):
+            here = trees[t].nodes(shapes) == node
+            for f in range(width):
+                np.add.at(met[k, f], shapes[here, f], sums[t][here])
+        return dict(enumerate(_cuts(met)))
+
+    return _levels(frame, trees, depth, cuts)
+
+
+def _levels(frame: Frame, trees: list[Tree], depth: int, cuts: Callable[[list[tuple[int, int]]], dict[int, tuple]]) -> list[Tree]:
+    width, bins = _size(frame)
+    at_once = max(1, CELLS // (width * bins))
+    open_nodes = [(t, 0) for t in range(len(trees))]
     for level in range(max(1, depth)):
         following = []
         for start in range(0, len(open_nodes), at_once):
@@ -401,7 +467,8 @@ class Ensemble:
         def predicted(features: pd.Series) -> pd.Series:
             x = np.vstack(features.to_numpy()) if len(features) else np.zeros((0, len(model.limits)))
             bins = np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(model.limits)], axis=1).astype(np.uint8)
-            return pd.Series(model.predict(bins))
+            few, place = np.unique(bins, axis=0, return_inverse=True)  # each row of bins is answered once
+            return pd.Series(model.predict(few)[place.ravel()])
 
         return df.withColumn("prediction", predicted(vector_to_array("features")))
 
@@ -456,6 +523,9 @@ def _learns(batch: Batch, held_out: int) -> np.ndarray:
 
 def forests(frame: Frame, models: Sequence[Model], members: int, depth: int, bagged: bool = True) -> list[Ensemble]:
     """``members`` trees for each model, over all features and drawn rows."""
+    if frame.few is not None:
+        trees = grown(frame, _sums_of_bags(frame, models, members) if bagged else _sums_of_models(totals(frame), models), depth)
+        return _of_members(frame, models, trees, members)
 
     def sampler(batch: Batch):
         def sample(t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -465,10 +535,49 @@ def forests(frame: Frame, models: Sequence[Model], members: int, depth: int, bag
 
         return sample
 
-    trees = grow(frame, sampler, members * len(models), depth)
+    return _of_members(frame, models, grow(frame, sampler, members * len(models), depth), members)
+
+
+def _of_members(frame: Frame, models: Sequence[Model], trees: list[Tree], members: int) -> list[Ensemble]:
     return [Ensemble("mean", trees[i * members : (i + 1) * members], [1.0] * members, 0.0, frame.limits) for i in range(len(models))]
 
 
+def _sums_of_models(found: Totals, models: Sequence[Model]) -> np.ndarray:
+    """Models x rows of bins x (rows, sum of their targets)."""
+    out = np.zeros((len(models), found.n.shape[1], 2))
+    for m, (held_out, t) in enumerate(models):
+        own = found.learnt(held_out)
+        out[m, :, 0] = found.n[own].sum(axis=0)
+        out[m, :, 1] = found.y[own, :, t].sum(axis=0) + out[m, :, 0] * found.middle[t]
+    return out
+
+
+def _sums_of_bags(frame: Frame, models: Sequence[Model], members: int) -> np.ndarray:
+    """Trees x rows of bins x (weight, weighted target): draws are added up by fold, and a model adds its folds."""
+    few, targets = frame.few, sorted({t for _, t in models})
+    folds = sorted(r[0] for r in frame.data.select("fold").distinct().collect())
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums = np.zeros((1 + len(targets), len(folds) * len(few), members))
+        for raw in batches:
+            batch = Batch.of(raw)
+            at = _by_fold(batch, few, folds)
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            drawn = batch.drawn[order, :members].astype(float)
+            for j, values in enumerate([None, *[batch.y[order, t, None] for t in targets]]):
+                sums[j, at[order[starts]]] += np.add.reduceat(drawn if values is None else drawn * values, starts, axis=0)
+        return sums.reshape(1 + len(targets), len(folds), -1).reshape((1 + len(targets)) * len(folds), -1)
+
+    found = _added(frame.data, fill, (1 + len(targets)) * len(folds), len(few) * members).reshape(1 + len(targets), len(folds), len(few), members)
+    out = np.zeros((len(models), members, len(few), 2))
+    for m, (held_out, t) in enumerate(models):
+        own = np.array([f >= 0 and f != held_out for f in folds], dtype=bool)
+        for j, k in enumerate((0, 1 + targets.index(t))):
+            out[m, :, :, j] = found[k, own].sum(axis=0).T
+    return out.reshape(-1, len(few), 2)
+
+
 def single_trees(frame: Frame, models: Sequence[Model], depth: int) -> list[Ensemble]:
     return forests(frame, models, 1, depth, bagged=False)
 
@@ -508,6 +617,8 @@ def _with_state(frame: Frame, state: Callable[[Batch], np.ndarray], purpose: str
 
 def boosted(frame: Frame, models: Sequence[tuple[int, int, float]], rounds: int, depth: int = 3) -> list[Ensemble]:
     """Least-squares boosting from the mean; a model is (fold held out, target, rate)."""
+    if frame.few is not None:
+        return _boosted_few(frame, models, rounds, depth)
     count, few = len(models), frame.few
 
     def means(batch: Batch) -> np.ndarray:
@@ -542,12 +653,169 @@ def boosted(frame: Frame, models: Sequence[tuple[int, int, float]], rounds: int,
     return [Ensemble("sum", made[m], [models[m][2]] * rounds, float(base[m]), frame.limits) for m in range(count)]
 
 
+def _boosted_few(frame: Frame, models: Sequence[tuple[int, int, float]], rounds: int, depth: int) -> list[Ensemble]:
+    found, shapes = totals(frame), _shapes(frame.few)
+    sums = _sums_of_models(replace(found, middle=np.zeros_like(found.middle)), [m[:2] for m in models])
+    middle = np.array([found.middle[t] for _, t, _ in models])
+    weight, target = sums[..., 0], sums[..., 1]  # targets less their middle
+    base = target.sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
+    margins, made = np.repeat(base[:, None], len(shapes), axis=1), [[] for _ in models]
+    for _ in range(rounds):
+        for m, tree in enumerate(grown(frame, np.stack([weight, target - weight * margins], axis=2), depth)):
+            made[m].append(tree)
+            margins[m] += models[m][2] * tree.predict(shapes)
+    return [Ensemble("sum", made[m], [rate] * rounds, float(base[m] + middle[m]), frame.limits) for m, (_, _, rate) in enumerate(models)]
+
+
+@dataclass(frozen=True)
+class Packed:
+    """Targets by (fold, row of bins, target), in order of size, a block of them in each row.
+
+    A model's round multiplies a row's weight by beta ** (1 - |answer - y| / worst). For rows of
+    equal bins the answer is the same, so the logarithm of the weight after some rounds is a
+    broken line over y whose knots are the answers.
+    """
+
+    data: DataFrame
+    ends: dict[tuple[int, int, int], tuple[float, float]]  # least and largest target
+
+    @classmethod
+    def of(cls, frame: Frame) -> Packed:
+        few = frame.few
+
+        def blocks(waiting: list[Batch]) -> pa.RecordBatch:
+            fold, y = np.concatenate([b.fold for b in waiting]), np.concatenate([b.y for b in waiting])
+            place, rows = np.concatenate([b.places(few) for b in waiting]), []
+            for t in range(y.shape[1]):
+                order = np.lexsort((y[:, t], place, fold))
+                ordered, own = y[order, t], fold[order].astype(np.int64) * len(few) + place[order]
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)]):
+                    for c in range(a, b, PACK):
+                        some = ordered[c : min(b, c + PACK)]
+                        rows.append((int(fold[order[a]]), int(place[order[a]]), t, float(some[0]), float(some[-1]), some.tobytes()))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["fold", "place", "target", "low", "high", "y"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting, size = [], 0
+            for raw in batches:
+                if raw.num_rows:
+                    waiting.append(Batch.of(raw))
+                    size += raw.num_rows
+                if size >= SORTED:
+                    yield blocks(waiting)
+                    waiting, size = [], 0
+            if waiting:
+                yield blocks(waiting)
+
+        kind = "fold int, place int, target int, low double, high double, y binary"
+        data = shelved(frame.data.where("fold >= 0").mapInArrow(pack, kind), "packed")
+        ends = data.groupBy("fold", "place", "target").agg(F.min("low"), F.max("high")).collect()
+        return cls(data, {tuple(r)[:3]: tuple(r)[3:] for r in ends})
+
+    def worst(self, model: Model, answers: np.ndarray) -> float:
+        """The largest distance of an answer from a target the model learns from."""
+        found = [max(abs(answers[s] - low), abs(answers[s] - high)) for (f, s, t), (low, high) in self.ends.items() if f != model[0] and t == model[1]]
+        return max(found, default=0.0)
+
+    def added(self, models: Sequence[Model], lines: Sequence[Lines], size: int, figures: Callable[[int, int, np.ndarray, np.ndarray], tuple]) -> np.ndarray:
+        """Models x rows of bins x 2: sums over the blocks of ``figures`` of model, row of bins, targets and weights."""
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            sums = np.zeros((len(models), size, 2))
+            for raw in batches:
+                for fold, place, target, packed in zip(*[raw.column(i).to_pylist() for i in range(4)]):
+                    y = np.frombuffer(packed, dtype=np.float64)
+                    for m, (held_out, t) in enumerate(models):
+                        if t == target and fold != held_out:
+                            sums[m, place] += figures(m, place, y, lines[m].weights(place, y))
+            return sums
+
+        return _added(self.data.select("fold", "place", "target", "y"), fill, len(models), 2 * size).reshape(len(models), size, 2)
+
+
+@dataclass(frozen=True)
+class Lines:
+    """For each row of bins a broken line over the targets: knots, and height and slope of each piece."""
+
+    knots: np.ndarray  # row of bins x knot
+    height: np.ndarray  # row of bins x piece
+    slope: np.ndarray
+
+    @classmethod
+    def of(cls, size: int, steps: Sequence[tuple[np.ndarray, float, float]]) -> Lines:
+        """The logarithm of the weights after steps (answers, worst, beta)."""
+        if not steps:
+            return cls(np.zeros((size, 0)), np.zeros((size, 1)), np.zeros((size, 1)))
+        answers, log = np.stack([a for a, _, _ in steps], axis=1), np.array([math.log(b) for _, _, b in steps])
+        rate = np.broadcast_to(log / np.array([w for _, w, _ in steps]), answers.shape)
+        order = np.argsort(answers, axis=1, kind="stable")
+        knots, rate = np.take_along_axis(answers, order, axis=1), np.take_along_axis(rate, order, axis=1)
+        none = np.zeros((size, 1))
+        # of the knots below a piece, and of those above it
+        below, above = (np.concatenate([none, np.cumsum(x, axis=1)], axis=1) for x in (rate, rate[:, ::-1]))
+        low, high = (np.concatenate([none, np.cumsum(x, axis=1)], axis=1) for x in (rate * knots, (rate * knots)[:, ::-1]))
+        return cls(knots, log.sum() + low - high[:, ::-1], above[:, ::-1] - below)
+
+    def weights(self, place: int, y: np.ndarray) -> np.ndarray:
+        """The weights of targets in order of size."""
+        if not self.knots.shape[1]:
+            return np.ones(len(y))
+        pieces = np.diff(np.searchsorted(y, self.knots[place]), prepend=0, append=len(y))
+        return np.exp(np.repeat(self.height[place], pieces) + np.repeat(self.slope[place], pieces) * y)
+
+
+def _voted(going: list[int], trees: list[Tree], facts: np.ndarray, made: list[list[Tree]], votes: list[list[float]]) -> dict[int, tuple[float, float]]:
+    """Takes the trees in; (worst, beta) of those models that go on. Facts are worst, lost and weight."""
+    kept = {}
+    for k, (worst, lost, weight) in enumerate(facts):
+        m = going[k]
+        loss = lost / worst / weight if worst > 0 else 0.0
+        if loss <= 0 or loss >= 0.5:
+            if loss <= 0 or not made[m]:
+                made[m].append(trees[k])
+                votes[m].append(1.0)
+            continue
+        beta = loss / (1 - loss)
+        made[m].append(trees[k])
+        votes[m].append(math.log(1 / beta))
+        kept[k] = (float(worst), float(beta))
+    return kept
+
+
+def _reweighted_few(frame: Frame, models: Sequence[Model], rounds: int, depth: int) -> list[Ensemble]:
+    packed, shapes = Packed.of(frame), _shapes(frame.few)
+    size = len(shapes)
+    made: list[list[Tree]] = [[] for _ in models]
+    votes: list[list[float]] = [[] for _ in models]
+    steps: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in models]  # answers, largest miss, beta
+    going = list(range(len(models)))
+    for _ in range(rounds):
+        if not going:
+            break
+        own, lines = [models[m] for m in going], [Lines.of(size, steps[m]) for m in going]
+        sums = packed.added(own, lines, size, lambda m, place, y, w: (w.sum(), w @ y))
+        trees = grown(frame, sums, depth)
+        answers = [tree.predict(shapes) for tree in trees]
+        lost = packed.added(own, lines, size, lambda m, place, y, w: (w @ np.abs(answers[m][place] - y), 0.0))
+        worst = [packed.worst(model, a) for model, a in zip(own, answers)]
+        facts = np.stack([worst, lost[..., 0].sum(axis=1), sums[..., 0].sum(axis=1)], axis=1)
+        kept = _voted(going, trees, facts, made, votes)
+        for k, (most, beta) in kept.items():
+            steps[going[k]].append((answers[k], most, beta))
+        going = [going[k] for k in kept]
+    return [Ensemble("median", made[m], votes[m], 0.0, frame.limits) for m in range(len(models))]
+
+
 def reweighted(frame: Frame, models: Sequence[Model], rounds: int, depth: int = 3) -> list[Ensemble]:
     """AdaBoost.R2 (Drucker, 1997) with linear loss: trees on weights, no resampling.
 
     A model stops early when a tree is perfect, or when its weighted loss reaches a half
     (that tree doesn't count, unless it is the first).
     """
+    if frame.few is not None and len(frame.few) <= DENSE:
+        return _reweighted_few(frame, models, rounds, depth)
     count, few = len(models), frame.few
     frame = _with_state(frame, lambda batch: np.ones((len(batch.fold), count)), "weights")
     made: list[list[Tree]] = [[] for _ in models]
@@ -583,21 +851,11 @@ def reweighted(frame: Frame, models: Sequence[Model], rounds: int, depth: int =
                 out[k] = (miss[learns].max(initial=0.0), (weight * miss[learns]).sum(), weight.sum())
             return out
 
-        still = []
-        for k, (worst, lost, weight) in enumerate(_sums(frame.data, losses, len(going), largest=True)):
-            m = going[k]
-            loss = lost / worst / weight if worst > 0 else 0.0
-            if loss <= 0 or loss >= 0.5:
-                if loss <= 0 or not made[m]:
-                    made[m].append(trees[k])
-                    votes[m].append(1.0)
-                continue
-            beta = loss / (1 - loss)
-            made[m].append(trees[k])
-            votes[m].append(math.log(1 / beta))
-            recent[m].append((trees[k], float(worst), float(beta)))
-            still.append(m)
-        going = still
+        facts = _sums(frame.data, losses, len(going), largest=True)
+        kept = _voted(going, trees, facts, made, votes)
+        for k, (worst, beta) in kept.items():
+            recent[going[k]].append((trees[k], worst, beta))
+        going = [going[k] for k in kept]
         if (i + 1) % SEGMENT == 0 and i + 1 < rounds and going:
             frame = _with_state(frame, weights, "weights")
             for steps in recent:

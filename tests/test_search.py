@@ -197,3 +197,32 @@ def test_a_run_that_is_logged_again_replaces_its_rows(spark):
     runs = learn.read_runs(spark, path)
     assert runs.count() == 4
     assert {(r["run_ts"], r["model"], r["models"]) for r in learn.best_of_runs(runs).collect()} == {("one", "b", 2), ("two", "b", 2)}
+
+
+def test_packed_weights_and_totals_equal_rows(spark):
+    """Few rows of bins: no round writes a state, and the held-out error comes from sums."""
+    df, x, y = table(spark)
+    frame = trees.frame(df, splits.fold("complaint_id"), "complaint_id", TARGETS, members=2)
+    written = []
+    patch = pytest.MonkeyPatch()
+    shelved = trees.shelved
+    patch.setattr(trees, "shelved", lambda rows, purpose: written.append(purpose) or shelved(rows, purpose))
+    patch.setattr(trees, "SEGMENT", 1)
+    patch.setattr(trees, "PACK", 4)
+    trees.boosted(frame, [(0, 0, 0.1)], 3)
+    (model,) = trees.reweighted(frame, [(0, 1)], 3)
+    patch.undo()
+    assert written == ["packed"] and len(model.trees) == 3
+    found, fold = trees.totals(frame), folds_of(len(x))
+    assert found.folds == [0, 1, 2]
+    np.testing.assert_allclose(found.n.sum(axis=1), np.bincount(fold))
+    context = search.Context(df, TARGETS, 3, 2)
+    context._frame = frame
+    grown = [trees.single_trees(frame, context.models, 3)]
+    sums = search._held_out_r2(context, grown)
+    bins, expected = binned(frame, x), []
+    for e, (h, t) in zip(grown[0], context.models):
+        if h < 3:
+            own = y[fold == h, t]
+            expected.append(1 - ((own - e.predict(bins[fold == h])) ** 2).sum() / ((own - own.mean()) ** 2).sum())
+    assert sums[0] == pytest.approx(np.mean(expected), abs=1e-12)

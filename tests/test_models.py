@@ -201,3 +201,19 @@ def test_every_kind_of_model_can_be_stored(spark):
         model.save(path)
         one, other = (m.transform(train).select("complaint_id", "a_hat", "b_hat") for m in (model, learn.load(spark, path)))
         assert one.exceptAll(other).isEmpty() and other.count() == 40, name
+
+
+def test_folds_read_written_rows(spark):
+    """What leads to the training rows, a join say, is not run again for each fold."""
+    rows = [(f"r{i}", float(i % 7), float(i % 7) + i % 3, float(i % 5)) for i in range(90)]
+    left = spark.createDataFrame([r[:2] for r in rows], "complaint_id string, a double")
+    right = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "complaint_id string, withdrawal_probability double, risk_score double")
+    train = VectorAssembler(inputCols=["a"], outputCol="features").transform(left.join(right, "complaint_id"))
+    line, plans = learn.learner("Linear Regression"), []
+
+    def fit(some, targets, params):
+        plans.append(some._jdf.queryExecution().optimizedPlan().toString())
+        return line.fit(some, targets, params)
+
+    learn.cross_validate(learn.Learner("line", fit, {}), {}, train)
+    assert len(plans) == 3 and not any("Join" in p for p in plans)

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from cashtrail.llm.common import documents, remainder, small_batches, stored, tidy
 from cashtrail.llm.hashed import classes, mixed, range_hashes, word_places
-from cashtrail.llm.tables import added_up
+from cashtrail.llm.tables import Counts, added_up
 
 FOLDS, HELD_OUT = 7, 2
 RUN = 1_000_000  # characters worked on at once
@@ -311,13 +311,13 @@ def fitted(pairs: DataFrame) -> Model:
 
     codes, lengths = code_tree(added_up(learnt, count_bytes, 256))
 
-    def count_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        table = np.zeros(2 * cells, dtype=np.int64)
+    def count_bits(batches: Iterator[pa.RecordBatch]) -> Counts:
+        table = Counts(2 * cells)
         for spelling, some in _spelled(batches):
             times = np.rint(spelling.step_count(some.column("n").to_numpy())).astype(np.int64)
             for rows, bit, contexts in spelling.bits(codes, lengths, sizes):
                 for c in contexts:
-                    np.add.at(table, 2 * c + bit, times[rows])
+                    table.add(2 * c + bit, times[rows])
         return table
 
     counts = added_up(learnt, count_bits, 2 * cells).reshape(cells, 2)

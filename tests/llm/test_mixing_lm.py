@@ -162,3 +162,18 @@ def test_weights_are_learnt_from_all_training_words(spark):
     model.learn(here, steps, hits)
     assert np.allclose(few.weights, model.weights, atol=1e-5)
     assert np.allclose(few.map, np.clip((hits[:, :, 1] + 50 * model.map) / (hits.sum(axis=2) + 50), 1e-5, 1 - 1e-5))
+
+
+def test_counts_in_four_bytes_are_exact():
+    from cashtrail.llm.tables import Counts
+
+    rng = np.random.default_rng(8)
+    counts, exact = Counts(50), np.zeros(50, dtype=np.int64)
+    assert counts.table.nbytes == 200
+    for most in (5, 1 << 20, 1 << 29, 1 << 31, 1 << 40, 1 << 29, 3):
+        places, n = rng.integers(0, 50, 3), rng.integers(0, most, 3)
+        for _ in range(5):
+            counts.add(places, n)
+            np.add.at(exact, places, n)
+    assert exact.max() > 1 << 33
+    assert np.concatenate([counts[a : a + 7] for a in range(0, 56, 7)]).tolist() == exact.tolist()

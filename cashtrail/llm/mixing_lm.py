@@ -16,7 +16,8 @@ kind is spelled, learnt from and scored once, however often it occurs. Spark add
 these pairs over the corpus and joins their scores back:
 
 1. every task cuts its texts into blocks, and writes for each document the places of its
-   pairs in the block's list, and the list itself in parts by range of word hashes;
+   pairs in the block's list (some documents to a row), and the list itself in parts by
+   range of word hashes;
 2. the parts of a range are added up by pair and by word;
 3. code tree, tables, weights and map are fitted on the pairs;
 4. the parts of a range meet again, each pair is scored once, and every part goes back to
@@ -25,7 +26,8 @@ these pairs over the corpus and joins their scores back:
 Texts are read once and never shuffled; lists travel in packed parts of sorted words. A
 frequent word has one entry per block and kind. A range holds about what a block lists.
 The tables' cells follow the number of different pairs, from 2^-8 to twice ``SIZES``,
-which bounds what is broadcast to 70 MB.
+which bounds what a worker holds to 70 MB; whatever is written, shuffled or broadcast
+travels by planes of equal bytes, compressed.
 
 A null text counts as empty: no words, one end. A row with a null id is never learnt
 from and counts as not held out. Repeated rows are learnt and scored one by one.
@@ -43,17 +45,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtrail.llm.common import documents, remainder, small_batches, stored, tidy
 from cashtrail.llm.hashed import classes, mixed, range_hashes, word_places
-from cashtrail.llm.tables import Counts, added_up
+from cashtrail.llm.tables import Counts, added_up, packed, unpacked
 
 FOLDS, HELD_OUT = 7, 2
 RUN = 1_000_000  # characters worked on at once
 BLOCK = 24_000_000  # characters of a block of documents
+TOGETHER = 1 << 15  # words of the documents whose places are packed together
 PAIRS = 100_000  # pairs of a word and a kind spelled at once
 OFTEN = (16, 256)  # pairs found so often in a block get the low places, which pack well
 BLANK = 0x20
@@ -74,8 +78,8 @@ MAP = 33  # classes of the refining map
 MIX_BATCH = 8192
 FIXED = 1 << 20  # weights travel as whole numbers
 _LISTED = (
-    "block long, doc_id long, held_out boolean, n_tokens long, n_bytes long, places binary, "
-    "range long, start long, words binary, fresh binary, before binary, n binary"
+    "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_bytes array<long>, places binary, "
+    "range long, start long, words binary, marks binary, n binary"
 )
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, n_bytes long"
 
@@ -247,6 +251,20 @@ class Model:
         self.map = _squash(np.tile(np.linspace(-8, 8, MAP), (GATES, 1)))
         self._cells: tuple[np.ndarray, np.ndarray] | None = None
 
+    def __getstate__(self) -> dict:
+        """Counts travel packed, in slices that are opened one by one."""
+        flat, step = self.counts.ravel(), 1 << 20
+        return self.__dict__ | {"counts": [packed(flat[a : a + step]) for a in range(0, len(flat), step)], "kind": self.counts.dtype.str, "_cells": None}
+
+    def __setstate__(self, state: dict) -> None:
+        slices, kind = state.pop("counts"), state.pop("kind")
+        self.__dict__.update(state)
+        self.counts, at = np.empty((int(starts_of(self.sizes)[-1]), 2), dtype=kind), 0
+        for planes in slices:
+            some = unpacked(planes, kind)
+            self.counts.reshape(-1)[at : at + len(some)] = some
+            at += len(some)
+
     def log10(self, spelling: Spelling) -> np.ndarray:
         """log10 of the probability of each step."""
         out = np.zeros(len(spelling.symbol))
@@ -325,10 +343,10 @@ def fitted(pairs: DataFrame) -> Model:
     excess = np.ceil(np.log2((counts[large].max(axis=1) + 1) / 65536)).astype(np.int64)
     counts[large] >>= excess[:, None]
     counts = counts.astype(np.uint16)
-    shared = spark.sparkContext.broadcast(counts)  # 4 bytes for each cell, see table_sizes
+    shared = spark.sparkContext.broadcast(Model(codes, lengths, counts, sizes))  # 4 bytes for each cell in a worker, see table_sizes
 
     def learn_weights(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        model, hits, n = Model(codes, lengths, shared.value, sizes), np.zeros((GATES, MAP, 2), dtype=np.int64), 0
+        model, hits, n = Model(codes, lengths, shared.value.counts, sizes), np.zeros((GATES, MAP, 2), dtype=np.int64), 0
         for spelling, some in _spelled(batches):
             times = spelling.step_count(some.column("n").to_numpy())
             model.learn(spelling, times, hits)
@@ -338,6 +356,7 @@ def fitted(pairs: DataFrame) -> Model:
 
     size = GATES * len(SIZES)
     found = added_up(learnt, learn_weights, size + GATES * MAP * 2 + 1)
+    shared.destroy()
     model = Model(codes, lengths, counts, sizes)
     if found[-1]:
         model.weights = (found[:size] / FIXED / found[-1]).reshape(GATES, len(SIZES))
@@ -349,19 +368,19 @@ def fitted(pairs: DataFrame) -> Model:
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers below 2^32 by planes of equal bytes, packed."""
-    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return packed(numbers.astype("<u4"))
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(planes), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return unpacked(planes, "<u4")
 
 
 def _rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
     """A batch of the listing; columns that are not named are null."""
     schema = pa.schema(
-        [("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()),
-         ("places", pa.binary()), ("range", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("fresh", pa.binary()),
-         ("before", pa.binary()), ("n", pa.binary())]
+        [("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
+         ("n_bytes", pa.list_(pa.int64())), ("places", pa.binary()), ("range", pa.int64()), ("start", pa.int64()), ("words", pa.binary()),
+         ("marks", pa.binary()), ("n", pa.binary())]
     )
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
 
@@ -387,11 +406,14 @@ def _block(block: int, runs: list[Run], ranges: int) -> Iterator[pa.RecordBatch]
     for (pairs, docs), numbers in zip(runs, number_of):
         at = rank[numbers][pairs.number]
         n += np.bincount(at[np.repeat(np.array([d[3] for d in docs], dtype=bool), pairs.words_of)], minlength=len(n))
-        texts = np.split(at, np.cumsum(pairs.words_of)[:-1])
+        after = np.cumsum(pairs.words_of)
+        cuts = np.flatnonzero(np.diff(after // TOGETHER)) + 1  # documents that begin a row
+        limits = np.concatenate([[0], cuts, [len(docs)]]).astype(np.int32)
+        rows = lambda values, kind: pa.ListArray.from_arrays(pa.array(limits), pa.array(values, kind))
         yield _rows(
-            len(docs), block=pa.array(np.full(len(docs), block)), doc_id=pa.array([d[0] for d in docs], pa.int64()),
-            held_out=pa.array([d[2] for d in docs], pa.bool_()), n_tokens=pa.array(pairs.words_of), n_bytes=pa.array(pairs.bytes_of),
-            places=pa.array([_planes(t) for t in texts], pa.binary()),
+            len(limits) - 1, block=pa.array(np.full(len(limits) - 1, block)), doc_id=rows([d[0] for d in docs], pa.int64()),
+            held_out=rows([d[2] for d in docs], pa.bool_()), n_tokens=rows(pairs.words_of, pa.int64()), n_bytes=rows(pairs.bytes_of, pa.int64()),
+            places=pa.array([_planes(t) for t in np.split(at, after[cuts - 1])], pa.binary()),
         )
     hashes, before, within, rare = hashes[order], before[order], within[order].astype(np.int64), rare[order]
     turns = np.concatenate([[True], (within[1:] != within[:-1]) | (rare[1:] != rare[:-1])])
@@ -402,8 +424,8 @@ def _block(block: int, runs: list[Run], ranges: int) -> Iterator[pa.RecordBatch]
         own = words.take(pa.array(first[order[a:b]][fresh[a:b]]))
         yield _rows(
             1, block=pa.array([block]), range=pa.array([int(within[a])]), start=pa.array([a]),
-            words=pa.array([b"".join(w + b"\n" for w in own.to_pylist())], pa.binary()), fresh=pa.array([fresh[a:b].tobytes()], pa.binary()),
-            before=pa.array([before[a:b].tobytes()], pa.binary()), n=pa.array([_planes(n[a:b])], pa.binary()),
+            words=pa.array([zlib.compress(b"".join(w + b"\n" for w in own.to_pylist()), 1)], pa.binary()),
+            marks=pa.array([packed(before[a:b] * np.uint8(2) + fresh[a:b])], pa.binary()), n=pa.array([_planes(n[a:b])], pa.binary()),
         )
 
 
@@ -438,16 +460,17 @@ class Merged:
     """
 
     def __init__(self, parts: pa.Table):
-        data = b"".join(parts.column("words").to_pylist())
+        data = b"".join(zlib.decompress(x) for x in parts.column("words").to_pylist())
         whole = np.frombuffer(data, dtype=np.uint8)
         ends = np.flatnonzero(whole == 10)
         starts = np.concatenate([[0], ends[:-1] + 1])
         word, _ = _distinct(range_hashes(whole, starts, classes(False)))
-        fresh, before = (np.frombuffer(b"".join(parts.column(k).to_pylist()), dtype=np.uint8) for k in ("fresh", "before"))
+        marks = [unpacked(x, np.uint8) for x in parts.column("marks").to_pylist()]
+        self.sizes, marks = [len(x) for x in marks], np.concatenate(marks)
+        fresh, before = marks & np.uint8(1), marks >> np.uint8(1)
         n = np.concatenate([_numbers(x) for x in parts.column("n").to_pylist()])
         at = np.cumsum(fresh, dtype=np.int64) - 1
         self.pair, first = _distinct(word[at] * (KINDS + 1) + before)
-        self.sizes = [len(x) for x in parts.column("fresh").to_pylist()]
         self.n = np.rint(np.bincount(self.pair, weights=n, minlength=len(first))).astype(np.int64)
         own = word[at[first]]
         self.c = np.rint(np.bincount(own, weights=self.n)).astype(np.int64)[own]
@@ -473,9 +496,9 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
                        F.coalesce(fold != HELD_OUT, F.lit(False)).alias("learnt"))
     characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     found = stored(rows.mapInArrow(tidy(lister(max(1, -(-characters // BLOCK)))), _LISTED), "model-lists")
-    parts = found.filter("range is not null").select("block", "range", "start", "words", "fresh", "before", "n")
+    parts = found.filter("range is not null").select("block", "range", "start", "words", "marks", "n")
     pairs = parts.groupBy("range").applyInArrow(added, "word binary, before int, n long, known long")
-    pairs = stored(pairs, "model-pairs")
+    pairs = stored(pairs, "model-pairs", compression="zstd")
     tokens, distinct = (x or 0 for x in pairs.agg(F.sum("n"), F.sum("known")).first())
     each = math.log10(tokens + distinct + 1)
     model = spark.sparkContext.broadcast(fitted(pairs))
@@ -490,8 +513,8 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
         return pa.table(
             {
                 "home": some.column("block"), "start": some.column("start"),
-                "c": pa.array([zlib.compress(merged.c[e].tobytes(), 1) for e in entries], pa.binary()),
-                "log": pa.array([log[e].tobytes() for e in entries], pa.binary()),
+                "c": pa.array([packed(merged.c[e]) for e in entries], pa.binary()),
+                "log": pa.array([packed(log[e]) for e in entries], pa.binary()),
             }
         )
 
@@ -501,16 +524,16 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
         # a block's parts follow one another from place 0
         by_start = np.argsort(right.column("start").to_numpy())
         c, log = (
-            np.concatenate([np.frombuffer(opened(x), dtype=kind) for x in right.column(name).take(pa.array(by_start)).to_pylist()]).astype(np.float64)
-            for name, kind, opened in (("c", np.int64, zlib.decompress), ("log", np.float32, bytes))
+            np.concatenate([unpacked(x, kind) for x in right.column(name).take(pa.array(by_start)).to_pylist()]).astype(np.float64)
+            for name, kind in (("c", np.int64), ("log", np.float32))
         )
         base, n_known, known_log, score = np.log10(c + 1), [], [], []
-        for planes in left.column("places"):
-            at = _numbers(planes.as_py())
-            n_known.append(int(np.count_nonzero(c[at])))
-            known_log.append(float(base[at].sum()))
-            score.append(float(log[at].sum()))
-        columns = {name: left.column(name) for name in ("doc_id", "held_out", "n_tokens", "n_bytes")}
+        for planes, words in zip(left.column("places"), left.column("n_tokens")):
+            for at in np.split(_numbers(planes.as_py()), np.cumsum(words.values.to_numpy())[:-1]):
+                n_known.append(int(np.count_nonzero(c[at])))
+                known_log.append(float(base[at].sum()))
+                score.append(float(log[at].sum()))
+        columns = {name: pc.list_flatten(left.column(name)) for name in ("doc_id", "held_out", "n_tokens", "n_bytes")}
         columns |= {"n_known": pa.array(n_known, pa.int64()), "known_log": pa.array(known_log, pa.float64()), "score": pa.array(score, pa.float64())}
         return pa.table({name: columns[name] for name in ("doc_id", "held_out", "n_tokens", "n_known", "known_log", "score", "n_bytes")})
 

@@ -15,6 +15,17 @@ BLOCKS = 64
 _KIND = "block int, counts binary"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of any width by planes of equal bytes, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def unpacked(planes: bytes, kind: str | type) -> np.ndarray:
+    """The numbers that were packed, of the width they had."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(planes), dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 class Counts:
     """A table of whole numbers in four bytes each; what could outgrow them is kept aside.
 
@@ -54,8 +65,7 @@ class Counts:
 
 
 def _batch(blocks: list[int], parts: Iterable[np.ndarray]) -> pa.RecordBatch:
-    packed = [zlib.compress(p.tobytes(), 1) for p in parts]
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([packed(p) for p in parts], pa.binary())], ["block", "counts"])
 
 
 def added_up(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray | Counts], cells: int) -> np.ndarray:
@@ -81,7 +91,7 @@ def added_up(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
+                found = unpacked(counts, np.int64)
                 if block in sums:
                     sums[block] += found
                 else:
@@ -91,5 +101,5 @@ def added_up(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarra
 
     table = np.zeros((BLOCKS, width), dtype=np.int64)
     for row in df.mapInArrow(tidy(count), _KIND).repartition(BLOCKS, "block").mapInArrow(tidy(add), _KIND).toLocalIterator():
-        table[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
+        table[row["block"]] = unpacked(row["counts"], np.int64)
     return table.reshape(-1)[:cells]

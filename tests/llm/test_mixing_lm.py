@@ -1,6 +1,7 @@
 """Base scores against plain counts; the model bit by bit; odd rows."""
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -177,3 +178,57 @@ def test_counts_in_four_bytes_are_exact():
             np.add.at(exact, places, n)
     assert exact.max() > 1 << 33
     assert np.concatenate([counts[a : a + 7] for a in range(0, 56, 7)]).tolist() == exact.tolist()
+
+
+def random_texts(count, length, seed=5):
+    """Texts of words that are as unlike as those of a real corpus."""
+    rng = np.random.default_rng(seed)
+    letters = rng.choice(list("etaoinshrdlucmfwygpbvk"), (20_000, 12), p=(w := 1 / np.arange(2, 24)) / w.sum())
+    vocabulary = ["".join(row[:n]) for row, n in zip(letters, rng.integers(2, 12, len(letters)))]
+    drawn = np.minimum(rng.zipf(1.3, (count, length)) - 1, len(vocabulary) - 1)
+    return [" ".join(vocabulary[w] for w in row) for row in drawn]
+
+
+def test_what_a_block_writes_stays_below_its_texts():
+    for count, length in ((300, 400), (12_000, 10)):  # short texts have no cost of their own
+        texts = random_texts(count, length)
+        docs = [(i, None, False, True) for i in range(count)]
+        pairs = lm.Pairs(texts)
+        places, parts = 0, 0
+        for batch in lm._block(0, [(pairs, docs)], 2):
+            for row in batch.to_pylist():
+                size = sum(len(v) for v in row.values() if isinstance(v, bytes))
+                places, parts = places + size * (row["range"] is None), parts + size * (row["range"] is not None)
+        assert places < 1.6 * pairs.words_of.sum()
+        assert parts < 3.5 * len(pairs.keys)
+
+
+def test_the_model_travels_packed():
+    model, _ = fitted_here(random_texts(20, 200))
+    data = pickle.dumps(model)
+    assert len(data) < model.counts.nbytes / 4 + 100_000
+    there = pickle.loads(data)
+    assert there.counts.dtype == model.counts.dtype and np.array_equal(there.counts, model.counts)
+    texts = ["the cat", "", "and the hat"]
+    assert np.array_equal(totals(there, texts), totals(model, texts))
+
+
+def test_rows_of_documents_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOGETHER", 7)
+    rows = [(i, " ".join(["cat", "hat", f"x{i}"][: i % 4] * (1 + i % 5))) for i in range(90)] + [(90, None), (None, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    found = sorted(lm.scored(df).collect(), key=key)
+    for f, e in zip(found, sorted(brute(rows), key=key), strict=True):
+        assert tuple(f)[:5] == e[:5] and f["base_score"] == pytest.approx(e[5], rel=1e-9)
+
+
+def test_tables_travel_by_planes():
+    from cashtrail.llm.tables import _batch, packed, unpacked
+
+    for kind in (np.uint8, np.uint16, np.float32, np.int64):
+        for numbers in (np.zeros(0, dtype=kind), np.array([3], dtype=kind), np.arange(-9, 9).astype(kind)):
+            back = unpacked(packed(numbers), kind)
+            assert back.dtype == numbers.dtype and np.array_equal(back, numbers)
+    counts = np.random.default_rng(3).zipf(1.5, 50_000).clip(0, 1 << 30).astype(np.int64)
+    assert _batch([0], [counts]).nbytes < 0.75 * len(zlib.compress(counts.tobytes(), 1))

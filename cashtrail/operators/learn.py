@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cashtrail.contract import LIMITS, TARGETS, Limits
 from cashtrail.operators import adaboost, splits, trees
 from cashtrail.operators.metrics import regression_metrics
-from cashtrail.operators.neighbours import knn_predict
+from cashtrail.operators.neighbours import DonorIndex, donor_index, predict_from
 from cashtrail.sources.writers import load_model, save_model
 
 SEED = 42
@@ -63,10 +63,11 @@ class PerTarget:
 
 
 class Nearest:
-    """K nearest training rows; keeps the training table, not a fitted model."""
+    """K nearest training rows; keeps the training table, which is laid out for its first answers and not again."""
 
     def __init__(self, train: DataFrame, targets: Sequence[str], k: int):
         self.train, self.targets, self.k = train, targets, k
+        self._laid_out: tuple[list[str], DonorIndex | None] | None = None
 
     @staticmethod
     def _flat(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -78,9 +79,12 @@ class Nearest:
         return df.withColumns({n: array[i] for i, n in enumerate(names)}), names
 
     def transform(self, df: DataFrame) -> DataFrame:
-        train, names = self._flat(self.train)
+        if self._laid_out is None:
+            train, names = self._flat(self.train)
+            self._laid_out = names, donor_index(train, names, self.k, KEY, payload=self.targets)
+        names, index = self._laid_out
         asked, _ = self._flat(df)
-        return knn_predict(asked, train, names, self.targets, self.k, KEY).drop(*names)
+        return predict_from(asked, index, names, self.targets, self.k, KEY).drop(*names)
 
     def save(self, path: str) -> None:
         """The training rows; their number of neighbours goes with the parts."""

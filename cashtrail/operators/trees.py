@@ -9,8 +9,8 @@ Forests with more open nodes than ``CELLS`` allow take several passes per level.
 more than ``FEW`` different rows of bins occur, one pass adds up weight and target for
 each of them, and all levels are cut from these sums: the same trees in fewer passes.
 There, boosting needs no row after the first pass: what a round leaves behind is one
-margin for each row of bins. Rounds on weights read targets packed by fold and row of
-bins, in order of size: a row's weight is the exponential of a broken line over its
+margin for each row of bins. Rounds on weights read the different targets, with the number of
+their rows, packed by fold and row of bins, in order of size: a row's weight is the exponential of a broken line over its
 target, so no weight is stored (``Packed``).
 
 What a round of boosting leaves behind (a row's margin, or its weight) is a column of
@@ -27,7 +27,6 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
@@ -44,7 +43,7 @@ CELLS = 1 << 22  # weight and target sums that a task holds
 SEGMENT = 10  # rounds between two written states
 FEW = 4096  # different rows of bins
 DENSE = 256  # rows of bins whose targets are packed
-SORTED, PACK = 1 << 18, 1024  # rows that a task sorts at once, targets that travel together
+SORTED, PACK = 1 << 18, 1 << 13  # rows that a task sorts at once, targets that travel together
 NODES = 256  # nodes whose sums travel together
 NO_GAIN = 1e-12
 POISSON = tuple(math.fsum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(9))
@@ -95,13 +94,50 @@ def bag_digits(key: Column, members: int) -> Column:
     return F.concat(*sums) if sums else F.lit("")
 
 
-def _drawn(digits: list[str], members: int) -> np.ndarray:
-    """How often each member draws each row: Poisson with mean one."""
-    if not members:
-        return np.zeros((len(digits), 0), dtype=np.uint8)
-    raw = np.frombuffer("".join(digits).encode(), dtype=np.uint8).reshape(len(digits), -1, 7)[:, :members].astype(np.int64)
-    numbers = np.where(raw >= 97, raw - 87, raw - 48) @ (16 ** np.arange(6, -1, -1))
-    return np.searchsorted(np.array(POISSON), numbers / 2.0**28, side="right").astype(np.uint8)
+def _rows_of(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
+    """Texts or bytes of equal length as rows of an array, without a Python object for each."""
+    column = column.cast(pa.binary() if pa.types.is_string(column.type) else column.type).cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+    if ends[0] == ends[-1]:
+        return np.zeros((len(column), 0), dtype=kind)
+    raw = bytes(memoryview(data)[ends[0] : ends[-1]])
+    return np.frombuffer(raw, dtype=kind).reshape(len(column), -1)
+
+
+def _bytes_of(rows: np.ndarray) -> pa.Array:
+    """Rows of an array as bytes."""
+    rows = np.ascontiguousarray(rows)
+    size = rows.shape[1] * rows.itemsize
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+_DIGIT = np.zeros(256, dtype=np.uint16)
+_DIGIT[np.frombuffer(b"0123456789abcdef", dtype=np.uint8)] = np.arange(16)
+_UNSURE = 255
+
+
+def _by_four_digits() -> np.ndarray:
+    """What the first four digits tell of a draw."""
+    first = np.searchsorted(np.array(POISSON), np.arange(1 << 16) / 2.0**16, side="right")
+    last = np.searchsorted(np.array(POISSON), (np.arange(1, (1 << 16) + 1) * 4096 - 1) / 2.0**28, side="right")
+    return np.where(first == last, first, _UNSURE).astype(np.uint8)
+
+
+def _drawn(digits: np.ndarray, members: int) -> np.ndarray:
+    """How often each member draws each row: Poisson with mean one. Four of the seven digits tell most of them."""
+    if not members or not len(digits):
+        return np.zeros((len(digits), members), dtype=np.uint8)
+    raw = digits.reshape(len(digits), -1, 7)[:, :members]
+    known = np.zeros(raw.shape[:2], dtype=np.uint16)
+    for j in range(4):
+        known = known << 4 | _DIGIT[raw[:, :, j]]
+    out = _by_four_digits()[known]
+    row, member = np.nonzero(out == _UNSURE)
+    numbers = _DIGIT[raw[row, member]].astype(np.int64) @ (16 ** np.arange(6, -1, -1))
+    out[row, member] = np.searchsorted(np.array(POISSON), numbers / 2.0**28, side="right")
+    return out
 
 
 def frame(rows: DataFrame, fold: Column, key: str, targets: Sequence[str], members: int = 0, most: int = BINS) -> Frame:
@@ -127,9 +163,9 @@ def frame(rows: DataFrame, fold: Column, key: str, targets: Sequence[str], membe
             if np.isnan(x).any() or batch.column(0).null_count or batch.column(2).flatten().null_count:
                 raise ValueError("fold, features and targets must be there")
             bins = np.stack([np.searchsorted(limits[i], x[:, i], side="left") for i in range(width)], axis=1).astype(np.uint8)
-            drawn = _drawn(batch.column(3).to_pylist(), members)
+            drawn = _drawn(_rows_of(batch.column(3)), members)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(bytes, bins), pa.binary()), batch.column(2), pa.array(map(bytes, drawn), pa.binary()), pa.array([b""] * n, pa.binary())],
+                [batch.column(0), _bytes_of(bins), batch.column(2), _bytes_of(drawn), _bytes_of(np.zeros((n, 0), dtype=np.uint8))],
                 ["fold", "bins", "y", "drawn", "state"],
             )
 
@@ -139,6 +175,11 @@ def frame(rows: DataFrame, fold: Column, key: str, targets: Sequence[str], membe
     return Frame(data, limits, few if 0 < len(few) <= FEW else None)
 
 
+def _without_draws(data: DataFrame) -> DataFrame:
+    """A frame's rows for a pass that needs no draws, which are most of its bytes."""
+    return data.withColumn("drawn", F.lit(bytearray()))
+
+
 @dataclass
 class Batch:
     """Some rows of a frame as arrays."""
@@ -163,14 +204,9 @@ class Batch:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Batch:
-        n = batch.num_rows
-
-        def table(i: int, kind: type) -> np.ndarray:
-            raw = b"".join(batch.column(i).to_pylist())
-            return np.frombuffer(raw, dtype=kind).reshape(n, -1) if raw else np.zeros((n, 0), dtype=kind)
-
-        y = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        return cls(batch.column(0).to_numpy(zero_copy_only=False), table(1, np.uint8), y, table(3, np.uint8), table(4, np.float64))
+        y = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        bins, drawn, state = _rows_of(batch.column(1)), _rows_of(batch.column(3)), _rows_of(batch.column(4), np.float64)
+        return cls(batch.column(0).to_numpy(zero_copy_only=False), bins, y, drawn, state)
 
 
 # ---- trees
@@ -356,7 +392,7 @@ def totals(frame: Frame) -> Totals:
                 row += np.bincount(at, weights=values, minlength=len(row))
         return sums
 
-    sums = _added(frame.data, fill, 1 + 2 * width, len(folds) * len(few)).reshape(1 + 2 * width, len(folds), len(few))
+    sums = _added(_without_draws(frame.data), fill, 1 + 2 * width, len(folds) * len(few)).reshape(1 + 2 * width, len(folds), len(few))
     return Totals(folds, middle, sums[0], np.moveaxis(sums[1 : 1 + width], 0, 2), np.moveaxis(sums[1 + width :], 0, 2))
 
 
@@ -463,12 +499,12 @@ class Ensemble:
         """Adds ``prediction`` for rows with a ``features`` vector."""
         model = self
 
-        @F.pandas_udf("double")
-        def predicted(features: pd.Series) -> pd.Series:
-            x = np.vstack(features.to_numpy()) if len(features) else np.zeros((0, len(model.limits)))
+        @F.arrow_udf("double")
+        def predicted(features: pa.Array) -> pa.Array:
+            x = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), len(model.limits))
             bins = np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(model.limits)], axis=1).astype(np.uint8)
-            few, place = np.unique(bins, axis=0, return_inverse=True)  # each row of bins is answered once
-            return pd.Series(model.predict(few)[place.ravel()])
+            few, place = np.unique(bins.view(f"S{bins.shape[1]}"), return_inverse=True)  # each row of bins is answered once
+            return pa.array(model.predict(_shapes(few))[place.ravel()])
 
         return df.withColumn("prediction", predicted(vector_to_array("features")))
 
@@ -609,7 +645,7 @@ def _sums(data: DataFrame, numbers: Callable[[Batch], np.ndarray], count: int, l
 def _with_state(frame: Frame, state: Callable[[Batch], np.ndarray], purpose: str) -> Frame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in batches:
-            rows = pa.array(map(bytes, np.ascontiguousarray(state(Batch.of(raw)))), pa.binary())
+            rows = _bytes_of(state(Batch.of(raw)))
             yield pa.RecordBatch.from_arrays([*[raw.column(i) for i in range(4)], rows], ["fold", "bins", "y", "drawn", "state"])
 
     return replace(frame, data=shelved(frame.data.mapInArrow(run, _FRAME), purpose))
@@ -669,7 +705,7 @@ def _boosted_few(frame: Frame, models: Sequence[tuple[int, int, float]], rounds:
 
 @dataclass(frozen=True)
 class Packed:
-    """Targets by (fold, row of bins, target), in order of size, a block of them in each row.
+    """Different targets by (fold, row of bins, target) with the number of their rows, in order of size, a block of them in each row.
 
     A model's round multiplies a row's weight by beta ** (1 - |answer - y| / worst). For rows of
     equal bins the answer is the same, so the logarithm of the weight after some rounds is a
@@ -683,34 +719,53 @@ class Packed:
     def of(cls, frame: Frame) -> Packed:
         few = frame.few
 
-        def blocks(waiting: list[Batch]) -> pa.RecordBatch:
-            fold, y = np.concatenate([b.fold for b in waiting]), np.concatenate([b.y for b in waiting])
-            place, rows = np.concatenate([b.places(few) for b in waiting]), []
-            for t in range(y.shape[1]):
-                order = np.lexsort((y[:, t], place, fold))
-                ordered, own = y[order, t], fold[order].astype(np.int64) * len(few) + place[order]
-                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)]):
-                    for c in range(a, b, PACK):
-                        some = ordered[c : min(b, c + PACK)]
-                        rows.append((int(fold[order[a]]), int(place[order[a]]), t, float(some[0]), float(some[-1]), some.tobytes()))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["fold", "place", "target", "low", "high", "y"])
+        def sorted_runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """An order by all columns, the first counting most, and the starts of equal rows."""
+            order = np.lexsort(columns[::-1])
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+            return order, np.flatnonzero(new)
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
             waiting, size = [], 0
             for raw in batches:
-                if raw.num_rows:
-                    waiting.append(Batch.of(raw))
-                    size += raw.num_rows
+                waiting += [raw] if raw.num_rows else []
+                size += raw.num_rows
                 if size >= SORTED:
-                    yield blocks(waiting)
+                    yield waiting
                     waiting, size = [], 0
             if waiting:
-                yield blocks(waiting)
+                yield waiting
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in gathered(batches):
+                rows = [Batch.of(raw) for raw in some]
+                fold, y = np.concatenate([b.fold for b in rows]), np.concatenate([b.y for b in rows])
+                place = np.concatenate([b.places(few) for b in rows])
+                for t in range(y.shape[1]):
+                    order, starts = sorted_runs(fold, place, y[:, t])
+                    first, n = order[starts], np.diff(starts, append=len(order))
+                    found = (fold[first], place[first], np.full(len(first), t), y[first, t], n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], ["fold", "place", "target", "y", "n"])
 
-        kind = "fold int, place int, target int, low double, high double, y binary"
-        data = shelved(frame.data.where("fold >= 0").mapInArrow(pack, kind), "packed")
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in gathered(batches):
+                fold, place, target, y, n = (np.concatenate([raw.column(i).to_numpy() for raw in some]) for i in range(5))
+                order = np.lexsort((y, target, place, fold))
+                y, n, rows = y[order], n[order].astype(float), []
+                own = np.stack([fold[order], place[order], target[order]])
+                starts = np.flatnonzero(np.concatenate([[True], (own[:, 1:] != own[:, :-1]).any(axis=0)]))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(y)]):
+                    for c in range(a, b, PACK):
+                        d = min(b, c + PACK)
+                        rows.append((*own[:, a].tolist(), float(y[c]), float(y[d - 1]), y[c:d].tobytes(), n[c:d].tobytes()))
+                packed = [pa.int32()] * 3 + [pa.float64()] * 2 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), packed)], ["fold", "place", "target", "low", "high", "y", "n"])
+
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
+        counted = _without_draws(frame.data).where("fold >= 0").mapInArrow(count, "fold int, place int, target int, y double, n long")
+        counted = counted.groupBy("fold", "place", "target", "y").agg(F.sum("n").alias("n"))
+        data = shelved(counted.mapInArrow(pack, "fold int, place int, target int, low double, high double, y binary, n binary"), "packed")
         ends = data.groupBy("fold", "place", "target").agg(F.min("low"), F.max("high")).collect()
         return cls(data, {tuple(r)[:3]: tuple(r)[3:] for r in ends})
 
@@ -720,19 +775,19 @@ class Packed:
         return max(found, default=0.0)
 
     def added(self, models: Sequence[Model], lines: Sequence[Lines], size: int, figures: Callable[[int, int, np.ndarray, np.ndarray], tuple]) -> np.ndarray:
-        """Models x rows of bins x 2: sums over the blocks of ``figures`` of model, row of bins, targets and weights."""
+        """Models x rows of bins x 2: sums over the blocks of ``figures`` of model, row of bins, different targets and the weights of their rows."""
 
         def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             sums = np.zeros((len(models), size, 2))
             for raw in batches:
-                for fold, place, target, packed in zip(*[raw.column(i).to_pylist() for i in range(4)]):
-                    y = np.frombuffer(packed, dtype=np.float64)
+                for fold, place, target, packed, counts in zip(*[raw.column(i).to_pylist() for i in range(5)]):
+                    y, n = np.frombuffer(packed, dtype=np.float64), np.frombuffer(counts, dtype=np.float64)
                     for m, (held_out, t) in enumerate(models):
                         if t == target and fold != held_out:
-                            sums[m, place] += figures(m, place, y, lines[m].weights(place, y))
+                            sums[m, place] += figures(m, place, y, n * lines[m].weights(place, y))
             return sums
 
-        return _added(self.data.select("fold", "place", "target", "y"), fill, len(models), 2 * size).reshape(len(models), size, 2)
+        return _added(self.data.select("fold", "place", "target", "y", "n"), fill, len(models), 2 * size).reshape(len(models), size, 2)
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,15 @@ from cashtrail.operators import learn, search, splits, trees
 from cashtrail.session import new_folder
 
 TARGETS = ["withdrawal_probability", "risk_score"]
+SIZES = {name: getattr(trees, name) for name in ("FEW", "CELLS", "NODES")}
+
+
+@pytest.fixture(autouse=True)
+def own_sizes(request, monkeypatch):
+    """Sizes that a frame shared by several tests makes small hold in these tests only."""
+    if "framed" not in request.fixturenames:
+        for name, size in SIZES.items():
+            monkeypatch.setattr(trees, name, size)
 
 
 def table(spark, n=300, values=5, parts=3):
@@ -226,3 +235,50 @@ def test_packed_weights_and_totals_equal_rows(spark):
             own = y[fold == h, t]
             expected.append(1 - ((own - e.predict(bins[fold == h])) ** 2).sum() / ((own - own.mean()) ** 2).sum())
     assert sums[0] == pytest.approx(np.mean(expected), abs=1e-12)
+
+
+def test_draws_and_bytes_are_read_without_a_list(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["".join(hashlib.md5(f"r{i}bag{j}".encode()).hexdigest()[:28] for j in range(2)) for i in range(500)]
+    # on both sides of a limit that the first four digits don't decide
+    edge = int(trees.POISSON[2] * 2**28)
+    texts += [f"{edge:07x}{edge + 1:07x}" + "0" * 42, "f" * 56]
+    expected = [[next((k for k, p in enumerate(trees.POISSON) if int(t[7 * j : 7 * j + 7], 16) / 2**28 < p), 9) for j in range(6)] for t in texts]
+    column = pa.array(["skipped", *texts]).slice(1)
+    assert trees._drawn(trees._rows_of(column), 6).tolist() == expected
+    rows = np.arange(12.0).reshape(4, 3)
+    assert trees._rows_of(trees._bytes_of(rows).slice(1, 2), np.float64).tolist() == rows[1:3].tolist()
+    assert trees._rows_of(trees._bytes_of(np.zeros((4, 0)))).shape == (4, 0)
+
+
+def test_answers_and_totals_leave_draws_unread(spark):
+    df, *_ = table(spark, n=60)
+    frame = trees.frame(df, splits.fold("complaint_id"), "complaint_id", TARGETS, members=8)
+    read = trees._without_draws(frame.data).select("fold", "bins", "y", "drawn")._jdf.queryExecution().executedPlan().toString()
+    assert "drawn" not in read.split("ReadSchema")[1]
+    (model,) = trees.single_trees(frame, [(3, 0)], 2)
+    plan = model.transform(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "pandas" not in plan.lower()
+
+
+def test_equal_targets_are_packed_once_with_their_number(spark):
+    rows = [(f"r{i:03d}", float(i % 2), float(i % 6), float(i % 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "complaint_id string, a double, withdrawal_probability double, risk_score double").repartition(4)
+    frame = trees.frame(VectorAssembler(inputCols=["a"], outputCol="features").transform(df), splits.fold("complaint_id"), "complaint_id", TARGETS)
+    packed = trees.Packed.of(frame)
+    found = {}
+    for r in packed.data.collect():
+        y, n = (np.frombuffer(r[c], dtype=float) for c in ("y", "n"))
+        assert (np.diff(y) > 0).all() and (r["low"], r["high"]) == (y[0], y[-1])
+        for value, number in zip(y.tolist(), n.tolist()):
+            key = (r["fold"], r["place"], r["target"], value)
+            assert key not in found
+            found[key] = number
+    assert len(found) == 3 * 2 * (3 + 3) and sum(found.values()) == 1200
+    expected = {}
+    ids = [int(hashlib.md5(f"r{i:03d}fold".encode()).hexdigest()[:7], 16) % 3 for i in range(600)]
+    for i, f in enumerate(ids):
+        for t, value in enumerate((i % 6, i % 3)):
+            expected[f, i % 2, t, float(value)] = expected.get((f, i % 2, t, float(value)), 0) + 1
+    assert found == expected
